@@ -104,6 +104,8 @@ class Rule:
     weight: float
     pattern: re.Pattern
     keywords: tuple[str, ...]
+    #: Words of the family, one of which any text of the rule holds.
+    family: tuple[str, ...] = ("",)
 
 
 def _longest_word(pattern: str) -> str:
@@ -111,11 +113,21 @@ def _longest_word(pattern: str) -> str:
     return max((w.strip() for w in plain), key=len)
 
 
+_GENERAL = {"license", "licen", "version", "public", "general", "software", "open", "the", "only", "or", "later", "as", "by", "at", "of", "and", "free", "foundation", "published", "either", "to"}
+
+
+def _family_words(pattern: str) -> tuple[str, ...]:
+    return tuple(sorted({" " + w for w in re.findall(r"[a-z]{2,}|0bsd|cc0", pattern)} - {" " + w for w in _GENERAL}))
+
+
 def build_rules() -> list[Rule]:
     rules = []
     for label, name, ident, text in FAMILIES:
+        words = _family_words(f"{name}|{ident}")
         for order, weight, template, keyword in TEMPLATES:
-            rules.append(Rule(order, label, weight, re.compile(r"(?:(?<= )|^)" + template.format(id=f"(?:{ident})", name=name, text=text)), (keyword or _longest_word(text),)))
+            rules.append(Rule(order, label, weight, re.compile(r"(?:(?<= )|^)" + template.format(id=f"(?:{ident})", name=name, text=text)), (keyword or _longest_word(text),), words if keyword else ("",)))
+        if "license" in name:  # a name of its own, without a phrase around it
+            rules.append(Rule(5, label, 0.6, re.compile(rf"(?:(?<= )|^)(?:{name})(?= |$)"), ("licen",), words))
     for label, pattern, keyword in NOTICES:
         rules.append(Rule(6, label, 0.3, re.compile(r"(?:(?<= )|^)(?:" + pattern + r")(?= |$)"), tuple(keyword.split("|"))))
     return sorted(rules, key=lambda r: r.order)
@@ -126,9 +138,9 @@ RULES = build_rules()
 
 def detections(line: str) -> list[tuple[int, int, Rule]]:
     """Kept detections (start, end, rule) in the order of the text, over words joined by blanks."""
-    found = []
+    found, padded = [], f" {line}"
     for rule in RULES:
-        if any(k in line for k in rule.keywords):
+        if any(k in line for k in rule.keywords) and any(w in padded for w in rule.family):
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(line) if m.end() > m.start()]
     kept: list[tuple[int, int, Rule]] = []
     for a, b, rule in sorted(found, key=lambda x: (x[2].order, x[0] - x[1], x[0], x[2].label)):
@@ -140,8 +152,7 @@ def detections(line: str) -> list[tuple[int, int, Rule]]:
 def scan(text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans of a text."""
     raw = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS)
-    words = raw.split(b" ")
-    words = [w for w in words if w] if b"" in words else words
+    words = raw.split()
     if not any(k in raw for k in _ANY):
         return len(words), 0, None, None, "", "", 0.0, ""
     line = b" ".join(words).decode("utf-8", "surrogatepass")
