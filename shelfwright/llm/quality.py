@@ -113,44 +113,72 @@ def distances(hist: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return out
 
 
-def quality_rules(
-    docs: DataFrame, *, min_base_words: int = 50, max_repeat_percent: int = 50, min_words: int = 100, max_char_distance: float = 0.33, max_word_distance: float = 0.325
-) -> DataFrame:
-    """Base counts, distances to the nearest reference and the verdict for each row of docs(doc_id, text, lang).
-
-    A null text counts as empty: zero counts, base_failed, not kept. A null language is a language of its own.
-    Repeated rows get the same verdict each; other columns are ignored. Without any reference (no document
-    passes the base rules, or no language has MIN_SHARE of them) distances are null and the base rules decide.
-    """
-    small_batches(docs.sparkSession)
-    has_lang = "lang" in docs.columns
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col("lang") if has_lang else F.lit(None)).cast("string").alias("lang"))
-    failed = (F.col("n_words") < min_base_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    found = materialize(rows.mapInPandas(_features, FEATURES), "quality").withColumn("base_failed", failed)
+def _references(found: DataFrame) -> np.ndarray:
+    """Summed histograms of the languages that have MIN_SHARE of the documents in found, a row each."""
     sums = (
         found.filter(~F.col("base_failed")).select("lang", "chars", "common").mapInPandas(_sums, "lang string, docs long, hist array<long>")
         .select("lang", "docs", F.posexplode("hist").alias("slot", "n")).groupBy("lang", "slot").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
         .groupBy("lang").agg(F.max("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("hist"))
     )
     total = sums.agg(F.sum("docs")).first()[0] or 0
-    refs = np.array([[x["n"] for x in r["hist"]] for r in sums.filter(F.col("docs") >= MIN_SHARE * total).orderBy("lang").collect()], np.float64).reshape(-1, N_CHAR_SLOTS + N_WORD_SLOTS)
-    cut = N_CHAR_SLOTS
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            out = part.drop(columns=["chars", "common"])
-            out["char_distance"] = out["word_distance"] = None
-            ok = np.ones(len(part), bool)
-            if len(refs) and len(part):
-                chars = distances(np.stack(part["chars"].to_list()).astype(float), refs[:, :cut])
-                words = distances(np.stack(part["common"].to_list()).astype(float), refs[:, cut:])
-                short = part["n_words"].to_numpy() < min_words
-                near = (chars <= max_char_distance) & ((words <= max_word_distance) | short[:, None])
-                best = np.argmin(chars + words, axis=1)
-                at = np.arange(len(part))
-                out["char_distance"], out["word_distance"], ok = chars[at, best], words[at, best], near.any(axis=1)
-            out["kept"] = ok & ~part["base_failed"].to_numpy(bool)
-            yield out
-
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
-    return found.drop("lang").mapInPandas(judge, schema)
+    large = sums.filter(F.col("docs") >= MIN_SHARE * total).orderBy("lang").collect()
+    return np.array([[x["n"] for x in r["hist"]] for r in large], np.float64).reshape(-1, N_CHAR_SLOTS + N_WORD_SLOTS)
+
+
+class Judge:
+    """The base rules and the distances to the references, for frames of features."""
+
+    def __init__(self, refs: np.ndarray, min_base_words: int, max_repeat_percent: int, min_words: int, max_char_distance: float, max_word_distance: float):
+        self.refs, self.base, self.limits = refs, (min_base_words, max_repeat_percent), (min_words, max_char_distance, max_word_distance)
+
+    def __call__(self, part: pd.DataFrame) -> pd.DataFrame:
+        least, percent = self.base
+        words, repeats = part["n_words"].to_numpy(np.int64), part["n_repeat_words"].to_numpy(np.int64)
+        failed = (words < least) | (100 * repeats > percent * words)
+        out = part.drop(columns=["chars", "common"]).assign(base_failed=failed, char_distance=None, word_distance=None, kept=~failed)
+        if len(self.refs) and len(part):
+            min_words, max_char, max_word = self.limits
+            char = distances(np.stack(part["chars"].to_list()).astype(float), self.refs[:, :N_CHAR_SLOTS])
+            word = distances(np.stack(part["common"].to_list()).astype(float), self.refs[:, N_CHAR_SLOTS:])
+            near = (char <= max_char) & ((word <= max_word) | (words < min_words)[:, None])
+            at, best = np.arange(len(part)), np.argmin(char + word, axis=1)
+            out = out.assign(char_distance=char[at, best], word_distance=word[at, best], kept=near.any(axis=1) & ~failed)
+        return out
+
+
+def _prepared(docs: DataFrame, settings: dict) -> tuple[DataFrame, Judge]:
+    small_batches(docs.sparkSession)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang"))
+    settings = {"min_base_words": 50, "max_repeat_percent": 50, "min_words": 100, "max_char_distance": 0.33, "max_word_distance": 0.325} | settings
+    failed = (F.col("n_words") < settings["min_base_words"]) | (100 * F.col("n_repeat_words") > settings["max_repeat_percent"] * F.col("n_words"))
+    found = materialize(rows.mapInPandas(_features, FEATURES), "quality")
+    return found, Judge(_references(found.withColumn("base_failed", failed)), **settings)
+
+
+JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
+
+
+def quality_rules(docs: DataFrame, **settings) -> DataFrame:
+    """Base counts, distances to the nearest reference and the verdict for each row of docs(doc_id, text, lang).
+
+    Settings: min_base_words, max_repeat_percent (base rules), min_words, max_char_distance,
+    max_word_distance. A null text counts as empty: zero counts, base_failed, not kept. A null language is a
+    language of its own. Repeated rows get the same verdict each; other columns are ignored. Without any
+    reference (no document passes the base rules) distances are null and the base rules decide.
+    """
+    found, judge = _prepared(docs, settings)
+    return found.drop("lang").mapInPandas(lambda batches: map(judge, batches), JUDGED)
+
+
+def keep_clean(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns; judged where they lie, without a join."""
+    _, judge = _prepared(docs, settings)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            parts = pd.DataFrame({"text": rows["text"], "doc_id": 0, "lang": None})
+            for features in _features(iter([parts])):
+                yield rows[judge(features)["kept"].to_numpy(bool)]
+
+    return docs.mapInPandas(run, docs.schema)

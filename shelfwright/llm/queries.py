@@ -12,7 +12,10 @@ from .near_dups import near_duplicates
 from .packing import best_fit_packing
 from .pii import pii_report
 from .quality import quality_rules
+from .secrets import secret_scan
+from .sentencepieces import encode_pieces
 from .shared import table
+from .suffix_dedup import suffix_dedup
 from .topk import exact_top_k
 
 
@@ -36,6 +39,18 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents")).select("doc_id", "n_pieces", "ids_crc32", "round_trip")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 

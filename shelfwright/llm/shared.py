@@ -16,9 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 4000) -> None:
-    """Bounds the Arrow batches of this session by rows and bytes, so that very long texts can't fill a worker."""
+    """Bounds the Arrow batches of this session by rows and bytes, so that very long texts can't fill a worker, and frees shuffle files early."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)  # shuffle files go when their query ends
 
 
 def shared_folder(spark: SparkSession) -> str:
