@@ -5,9 +5,9 @@
 2. Documents with the same set form an exact group; its smallest id stands for it.
 3. In each bucket (equal band key) every member is held against the bucket's smallest id: sizes, then the
    similarity that the XOR of the sketches estimates, then the full sets. The confirmed links make components.
-4. Buckets that still hold several components are cut into blocks, and every pair of blocks is searched by
-   sketch for pairs between different components; these are confirmed on full sets too. So no pair that
-   shares a bucket goes unseen unless both are linked already.
+4. Buckets that still hold several components are chained into groups, these are cut into blocks, and every
+   pair of blocks is searched by sketch, then on full sets, for links between different components. So no
+   pair that shares a bucket goes unseen unless both are linked already.
 With 40 bands of 6 rows a pair at similarity 0.8 shares no bucket once in 190 000 times.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, small_batches
 
 BANDS, ROWS, SKETCH_BITS = 40, 6, 1024
-#: Rows of a block in step 4.
+#: Documents of a block in step 4.
 BLOCK = 1024
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 1_000_000
@@ -159,30 +159,51 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def _across(most: int, percent: int):
-    """Pairs of a pair of blocks that lie in different components and may be similar."""
+def _linked(most: int, percent: int):
+    """Links between different components of a pair of blocks: as many as join them, found by sketch and confirmed on sets."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        ls, rs = (np.stack(x["sketch"].to_list()).view(np.uint64) for x in (left, right))
-        ln, rn = left["n_shingles"].to_numpy(np.int64), right["n_shingles"].to_numpy(np.int64)
-        lc, rc = left["comp"].to_numpy(np.int64), right["comp"].to_numpy(np.int64)
-        lid, rid = left["doc_id"].to_numpy(np.int64), right["doc_id"].to_numpy(np.int64)
+        rows = rows.sort_values("doc_id", kind="stable")
+        block = rows["block"].to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        sketch = np.stack(rows["sketch"].to_list()).view(np.uint64)
+        n, ids, comps = (rows[c].to_numpy(np.int64) for c in ("n_shingles", "doc_id", "comp"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        _, root = np.unique(comps, return_inverse=True)  # the current component of each row
         found = []
-        for k in range(len(left)):
-            at = np.flatnonzero((rc != lc[k]) & (100 * np.minimum(rn, ln[k]) >= percent * np.maximum(rn, ln[k])))
-            if i == j:
-                at = at[at > k]
-            at = at[np.bitwise_count(rs[at] ^ ls[k]).sum(axis=1) <= most]
-            found.append(np.stack([np.minimum(rid[at], lid[k]), np.maximum(rid[at], lid[k])], axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+        for k in left:
+            at = right[right > k] if i == j else right
+            at = at[(root[at] != root[k]) & (100 * np.minimum(n[at], n[k]) >= percent * np.maximum(n[at], n[k]))]
+            odd = np.bitwise_count(sketch[at] ^ sketch[k]).sum(axis=1)
+            for m in at[np.argsort(odd, kind="stable")[: (odd <= most).sum()]]:
+                if root[m] == root[k]:
+                    continue
+                both = np.isin(sets[k], sets[m], assume_unique=True, kind="sort").sum() if len(sets[k]) < 64 else int((np.diff(np.sort(np.concatenate([sets[k], sets[m]]))) == 0).sum())
+                if 100 * both >= percent * (len(sets[k]) + len(sets[m]) - both):
+                    root[root == root[m]] = root[k]
+                    found.append((min(ids[k], ids[m]), max(ids[k], ids[m])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _rest(buckets: DataFrame, comps: DataFrame, facts: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that join components which share a bucket: buckets that hold several are chained into groups, and each group is searched by pairs of blocks."""
+    placed = buckets.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "hub", "doc_id", F.coalesce("label", "doc_id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key")
+    placed = materialize(placed.join(mixed, "key", "left_semi").select("hub", "doc_id", "comp").distinct(), "placed")
+    chained = components(placed.filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))).select(F.col("id").alias("doc_id"), F.col("label").alias("chain"))
+    members = materialize(chained.join(placed.select("doc_id", "comp").distinct(), "doc_id"), "members")
+    sizes = members.groupBy("chain").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    texts = rows.join(members.select("doc_id"), "doc_id", "left_semi").mapInPandas(_sets(size), "id long, shingles binary").distinct()
+    same = (F.col("id") == F.col("doc_id")) & (F.length("shingles") == 8 * F.col("n_shingles"))
+    full = members.join(sizes, "chain").join(facts, "doc_id").join(texts, same).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    columns = ["chain", "i", "j", "block", "doc_id", "comp", "n_shingles", "sketch", "shingles"]
+    return pairs.select(*columns).groupBy("chain", "i", "j").applyInPandas(_linked(most_odd_bits(percent / 100), percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text).
 
@@ -206,16 +227,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     stars = materialize(stars.join(side("b"), "b").join(side("a"), "a").filter(fits).select("a", "b").distinct(), "stars")
     links = confirm(stars, rows, size, percent)
     comps = components(links)
-    placed = buckets.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "n", "doc_id", F.coalesce("label", "doc_id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    rest = placed.join(mixed, "key", "left_semi").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    rest = rest.join(facts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    across = rest.select("key", "i", "j", "block", "doc_id", "comp", "n_shingles", "sketch").groupBy("key", "i", "j").applyInPandas(_across(most, percent), "a long, b long")
-    across = materialize(across.distinct().join(stars, ["a", "b"], "left_anti"), "across")
-    if across.limit(1).count():
-        comps = components(links.union(confirm(across, rows, size, percent)))
+    rest = materialize(_rest(buckets, comps, facts, rows, size, percent).distinct(), "rest")
+    if rest.limit(1).count():
+        comps = components(links.unionByName(rest))
     found = signed.select("doc_id", "n_shingles", "h1", "h2").join(groups, ["h1", "h2"], "left").join(comps.select(F.col("id").alias("rep"), "label"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
