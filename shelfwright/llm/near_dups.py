@@ -27,6 +27,8 @@ from .shared import materialize, small_batches
 BANDS, ROWS, SKETCH_BITS = 40, 6, 1024
 #: Documents of a block in step 4.
 BLOCK = 1024
+#: Hash slots of ids that are broadcast before texts are fetched: at most so many longs, 4 MB.
+SLOTS = 1 << 19
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 1_000_000
 
@@ -137,10 +139,17 @@ def _odd_bits(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ids. Their hash slots, SLOTS longs at most, are broadcast first: few other texts are shuffled."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    slots = ids.select(slot.alias("slot")).distinct()
+    return rows.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot").join(ids, "doc_id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of pairs(a, b) whose full sets are similar enough. Each set goes to the pairs that name it."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed, "doc_id", "left_semi").mapInPandas(_sets(size), "id long, shingles binary")
+    sets = _only(docs.select("doc_id", "text"), materialize(needed, "needed")).mapInPandas(_sets(size), "id long, shingles binary")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     return materialize(both.mapInPandas(_confirmed(percent), "a long, b long").distinct(), "links")
 
@@ -196,7 +205,7 @@ def _rest(buckets: DataFrame, comps: DataFrame, facts: DataFrame, rows: DataFram
     chained = components(placed.filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))).select(F.col("id").alias("doc_id"), F.col("label").alias("chain"))
     members = materialize(chained.join(placed.select("doc_id", "comp").distinct(), "doc_id"), "members")
     sizes = members.groupBy("chain").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    texts = rows.join(members.select("doc_id"), "doc_id", "left_semi").mapInPandas(_sets(size), "id long, shingles binary").distinct()
+    texts = _only(rows, members.select("doc_id")).mapInPandas(_sets(size), "id long, shingles binary").distinct()
     same = (F.col("id") == F.col("doc_id")) & (F.length("shingles") == 8 * F.col("n_shingles"))
     full = members.join(sizes, "chain").join(facts, "doc_id").join(texts, same).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
