@@ -150,7 +150,7 @@ def sanitize(docs: DataFrame, *, removal: float = 0.95, **settings) -> DataFrame
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(label, s["kind"]).alias("put")))
     terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,discloses:double>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["discloses"] < removal, F.get(label, s["kind"])).otherwise("").alias("put")))
     cuts = spans.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.array_sort(F.concat(plain, terms)).alias("_cuts")).dropDuplicates(["_id", "_hash"])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, c: Column) -> Column:  # what overlaps an earlier span is only cut
@@ -159,6 +159,7 @@ def sanitize(docs: DataFrame, *, removal: float = 0.95, **settings) -> DataFrame
         return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.when(fresh, F.concat(acc["parts"], F.array(kept, c["put"]))).otherwise(acc["parts"]).alias("parts"))
 
     done = F.aggregate("_cuts", begin, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    keyed = docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long"), text))
-    joined = keyed.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
-    return joined.select(*[F.when(F.col("_cuts").isNotNull(), done).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    id_ = F.col("row.doc_id").cast("long")
+    keyed = docs.select(F.struct("*").alias("row")).withColumn("_h", F.xxhash64(id_, text))
+    joined = keyed.join(cuts, id_.eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    return joined.select(F.col("row").withField("text", F.when(F.col("_cuts").isNotNull(), done).otherwise(F.col("row.text"))).alias("row")).select("row.*")

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,10 +176,10 @@ def keep_clean(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns; judged where they lie, without a join."""
     _, judge = _prepared(docs, settings)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            parts = pd.DataFrame({"text": rows["text"], "doc_id": 0, "lang": None})
-            for features in _features(iter([parts])):
-                yield rows[judge(features)["kept"].to_numpy(bool)]
+            part = pd.DataFrame({"text": rows.column("text").to_pylist(), "doc_id": 0, "lang": None})
+            for features in _features(iter([part])):
+                yield rows.filter(pa.array(judge(features)["kept"].to_numpy(bool)))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

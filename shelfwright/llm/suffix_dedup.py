@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, small_batches
@@ -349,15 +349,20 @@ def merged(spans: list, n: int) -> list[tuple[int, int]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with doc (the id; the least number for null) and sub, which tells the texts of a repeated id apart."""
-    rows = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
+    """row (all columns of docs), doc (the id; the least number for null) and sub, which tells the texts of a repeated id apart."""
+    rows = docs.select(F.struct("*").alias("row")).withColumn("doc", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NULL_ID)))
     twice = rows.groupBy("doc").count().filter("count > 1").select("doc")
     if not twice.limit(1).count():
         return rows.withColumn("sub", F.lit(0))
-    hashed = rows.join(twice, "doc", "left_semi").select("doc", F.xxhash64("_text").alias("_hash")).distinct()
-    ranked = hashed.join(hashed.select("doc", F.col("_hash").alias("_other")), "doc").groupBy("doc", "_hash").agg(F.sum((F.col("_other") < F.col("_hash")).cast("int")).cast("int").alias("_sub"))
-    rows = rows.withColumn("_hash", F.xxhash64("_text")).join(ranked, ["doc", "_hash"], "left")
-    return rows.withColumn("sub", F.coalesce("_sub", F.lit(0))).drop("_hash", "_sub")
+    hash_ = F.xxhash64(_text())
+    hashed = rows.join(twice, "doc", "left_semi").select("doc", hash_.alias("hash")).distinct()
+    ranked = hashed.join(hashed.select("doc", F.col("hash").alias("other")), "doc").groupBy("doc", "hash").agg(F.sum((F.col("other") < F.col("hash")).cast("int")).cast("int").alias("rank"))
+    rows = rows.withColumn("hash", hash_).join(ranked, ["doc", "hash"], "left")
+    return rows.select("row", "doc", F.coalesce("rank", F.lit(0)).alias("sub"))
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("row.text").cast("string"), F.lit(""))
 
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
@@ -380,7 +385,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    rows = _keyed(docs.select("doc_id", "text")).select("doc", "sub", F.col("_text").alias("text"))
+    rows = _keyed(docs.select("doc_id", "text")).select("doc", "sub", _text().alias("text"))
     spans = repeated_spans(rows, length)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -400,10 +405,10 @@ def _kept(raw: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 
 def without_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated bytes cut from each text; bytes of characters that a cut leaves in parts go too. Nulls and other columns stay."""
+    """docs with the repeated bytes cut from each text; bytes of characters that a cut leaves in parts go too. Nulls and other columns, whatever their names, stay."""
     small_batches(docs.sparkSession)
     keyed = _keyed(docs)
-    spans = repeated_spans(keyed.select("doc", "sub", F.col("_text").alias("text")), length)
+    spans = repeated_spans(keyed.select("doc", "sub", _text().alias("text")), length)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -411,5 +416,5 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
         return pd.Series([_kept(r, merged(s, len(r))).decode("utf-8", "ignore") for r, s in zip(raws, spans, strict=True)])
 
     joined = keyed.join(spans, ["doc", "sub"], "left")
-    plain, changed = joined.filter("spans is null"), joined.filter("spans is not null").withColumn("text", cut("_text", "spans"))
-    return plain.select(*docs.columns).unionByName(changed.select(*docs.columns))
+    plain, changed = joined.filter("spans is null"), joined.filter("spans is not null").withColumn("row", F.col("row").withField("text", cut(_text(), "spans")))
+    return plain.select("row.*").unionByName(changed.select("row.*"))
