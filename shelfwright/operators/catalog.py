@@ -87,3 +87,18 @@ def upsert(catalog: DataFrame, batch: DataFrame) -> DataFrame:
     rating = F.when(came & (~known | (F.col("b_rating") != "N/A")), F.col("b_rating")).otherwise(F.col("rating"))
     text = F.when(~known | (F.length("b_text") > F.length("description")), F.col("b_text")).otherwise(F.col("description"))
     return m.select("title_key", rating.alias("rating"), F.greatest("chapter_count", "b_count").alias("chapter_count"), text.alias("description"), F.when(~known, "insert").when(came, "update").otherwise("keep").alias("action"))
+
+
+# What a valid entry's title does not hold.
+NOT_ENTRIES = "manga lists|latest updates|home|search|scythe scans|demonic scans|page not found|404"
+
+
+def valid_entry(df: DataFrame) -> DataFrame:
+    return df.filter((F.length("title") >= 3) & ~F.lower("title").rlike(NOT_ENTRIES))
+
+
+def browse(df: DataFrame, size: int = 30) -> DataFrame:
+    """The first valid titles in order of id, one for each key."""
+    rest = [c for c in df.columns if c != "title_key"]
+    first = valid_entry(df).groupBy("title_key").agg(F.min_by(F.struct(*rest), "id").alias("x"))
+    return first.select("title_key", "x.*").orderBy("id").limit(size)

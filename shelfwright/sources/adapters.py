@@ -54,3 +54,29 @@ records AS (
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
     return events.select("event_id", "ts", F.col("user_id").alias("ip"), F.col("event_type").alias("endpoint"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"))
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chapter for each line of a part: labels of five forms, some with dates, some without url."""
+    n, key = F.col("l_linenumber").cast("string"), F.col("l_orderkey").cast("string")
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    form = F.col("l_orderkey") % 5
+    label = (
+        F.when(form == 0, F.concat(F.lit("Chapter "), n, F.lit(" "), day)).when(form == 1, F.concat(F.lit("Ch. "), n, F.lit(".5"))).when(form == 2, F.concat(F.lit("Episode "), n, F.lit("  3 day ago")))
+        .when(form == 3, "Read First!").otherwise(F.concat(F.lit("Notes "), n, F.lit("d")))
+    )
+    url = F.when(F.col("l_tax") == 0, "").when(form == 3, F.concat(F.lit("https://example.org/read/"), key)).otherwise(F.concat(F.lit("https://example.org/t/"), F.col("l_partkey").cast("string"), F.lit("/chapter-"), n))
+    date = F.when(form == 4, "").otherwise(day)
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_tax", "l_shipdate")
+    return lines.select(F.col("l_partkey").alias("title_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), label.alias("label"), url.alias("url"), date.alias("date"))
+
+
+CHAPTERS_SQL = """
+chapters AS (
+  SELECT l_partkey AS title_id, l_orderkey * 10 + l_linenumber AS pos,
+    CASE l_orderkey % 5 WHEN 0 THEN 'Chapter ' || l_linenumber || ' ' || strftime(l_shipdate, '%Y-%m-%d') WHEN 1 THEN 'Ch. ' || l_linenumber || '.5'
+      WHEN 2 THEN 'Episode ' || l_linenumber || '  3 day ago' WHEN 3 THEN 'Read First!' ELSE 'Notes ' || l_linenumber || 'd' END AS label,
+    CASE WHEN l_tax = 0 THEN '' WHEN l_orderkey % 5 = 3 THEN 'https://example.org/read/' || l_orderkey ELSE 'https://example.org/t/' || l_partkey || '/chapter-' || l_linenumber END AS url,
+    CASE WHEN l_orderkey % 5 = 4 THEN '' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date
+  FROM lineitem
+)"""
