@@ -68,7 +68,7 @@ def is_boilerplate(text: Column) -> Column:
 def alt_titles(text: Column) -> Column:
     """Up to eight other titles after the word Alternative."""
     names = F.split(F.regexp_extract(text, r"(?i)Alternative\s*:?\s*([^\n<]+)", 1), "[;,]")
-    return F.slice(F.filter(F.transform(names, F.trim), lambda s: F.length(s) > 1), 1, 8)
+    return F.slice(F.filter(F.transform(names, lambda s: F.trim(s)), lambda s: F.length(s) > 1), 1, 8)
 
 
 def strip_role(name: Column, role: str) -> Column:

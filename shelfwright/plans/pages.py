@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pages import is_image_url, is_junk_url
+
 LINK = r'<a href="([^"?]*)[^"]*">([^<]*)</a>'
 
 
@@ -20,3 +22,25 @@ def page_meta(pages: DataFrame) -> DataFrame:
     h1, title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     number = F.regexp_extract("url", r"[?&]page=(\d+)", 1).try_cast("int")
     return pages.select("page_id", F.coalesce(F.nullif(h1, F.lit("")), title).alias("title"), F.greatest(F.lit(1), F.coalesce(number, F.lit(1))).alias("page"))
+
+
+IMAGE = r"(?i)<img\b[^>]*>"
+#: Regions in which a reader's images stand, tried in this order.
+REGIONS = (r'(?is)id="readerarea"(.*?)</div>', r'(?is)class="[^"]*reading-content[^"]*"(.*?)</div>', r'(?is)class="[^"]*chapter-content[^"]*"(.*?)</div>', r"(?is)<main\b(.*?)</main>", r"(?is)<article\b(.*?)</article>")
+
+
+def extract_images(pages: DataFrame, regions: tuple[str, ...] = REGIONS, least: int = 3) -> DataFrame:
+    """page_id and its image addresses, each once: region by region until there are `least`; with fewer, also the large ones of the whole page that aren't decoration."""
+    attribute = lambda tag, name: F.nullif(F.regexp_extract(tag, rf'(?i)[\s"]{name}="([^"]*)"', 1), F.lit(""))
+    address = lambda tag: F.coalesce(attribute(tag, "data-src"), attribute(tag, "data-lazy-src"), attribute(tag, "src"), F.lit(""))
+    tags = lambda text: F.regexp_extract_all(text, F.lit(IMAGE), F.lit(0))
+    found = F.array().cast("array<string>")
+    for region in regions:
+        inside = F.flatten(F.transform(F.regexp_extract_all("html", F.lit(region), F.lit(1)), tags))
+        own = F.filter(F.transform(inside, address), is_image_url)
+        found = F.when(F.size(found) >= least, found).otherwise(F.array_union(found, own))
+    small = lambda tag, side: F.coalesce(F.regexp_extract(tag, rf'(?i)\s{side}="(\d{{1,9}})', 1).try_cast("int").between(1, 199), F.lit(False))
+    large = F.filter(tags(F.col("html")), lambda t: ~small(t, "width") & ~small(t, "height"))
+    rest = F.filter(F.transform(large, address), lambda u: is_image_url(u) & ~is_junk_url(u))
+    held = pages.select("page_id", "html", found.alias("found"))
+    return held.select("page_id", F.when(F.size("found") >= least, F.col("found")).otherwise(F.array_union("found", rest)).alias("images"))

@@ -33,9 +33,10 @@ def series_feed_1(raw: DataFrame, base: str, column: str = "value") -> DataFrame
     text = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("description", F.lit("")), "<[^>]+>", " "), r"(?U)\s+", " "))
     none = F.array().cast("array<struct<number:string,published_at:string>>")
     chapters = F.transform(F.coalesce("latest_chapters", none), lambda c: F.struct(F.concat(F.lit("Chapter "), c["number"]).alias("title"), F.concat(url, F.lit("/chapter/"), c["number"]).alias("url"), _day(c["published_at"]).alias("date")))
+    score = F.col("rating").try_cast("double")
     count = F.when(F.col("chapter_count") > 0, F.col("chapter_count")).otherwise(F.size(chapters))
     return x.select(
-        F.coalesce("title", F.lit("")).alias("title"), _or(text, "No description available.").alias("description"), F.coalesce(F.format_string("%.1f", F.nullif(F.col("rating").try_cast("double"), F.lit(0.0))), F.lit("N/A")).alias("rating"),
+        F.coalesce("title", F.lit("")).alias("title"), _or(text, "No description available.").alias("description"), F.when(score != 0, F.format_string("%.1f", score)).otherwise("N/A").alias("rating"),
         capital(_or(F.col("status"), "Ongoing")).alias("status"), capital(_or(F.col("type"), "Manhwa")).alias("type"), F.coalesce(F.transform("genres", lambda g: g["name"]), F.array().cast("array<string>")).alias("genres"),
         chapters.alias("chapters"), count.cast("string").alias("chapter_count"), F.coalesce("cover", F.lit("")).alias("cover_url"), url.alias("url"), _or(F.col("author"), "Unknown").alias("author"), _or(F.col("artist"), "Unknown").alias("artist"),
     )
