@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog_queries import query
 from .functions import chapters as H
 from .functions import pages as U
+from .functions import queries as S
 from .operators import catalog as C
 from .operators import chapters as D
 from .operators import enrich as N
+from .operators import merge as M
 from .sources import feeds
 from .sources.adapters import CHAPTERS_SQL, TITLES_SQL, chapters, read, records, request_log, titles
 
@@ -213,3 +217,62 @@ def fixed_titles(spark, sf_dir):
     d = read(spark, sf_dir, "documents", "doc_id", "lang", "source")
     title = F.concat(F.lit("What'"), F.upper(F.left("lang", F.lit(1))), F.substring("lang", 2, 99), F.lit("  "), F.coalesce("source", F.lit("")))
     return d.select("doc_id", U.fix_title(title).alias("fixed"))
+
+
+_CLEANED = f"left(trim(regexp_replace(regexp_replace(replace(nfc_normalize(text), chr(0), ''), {_sql(S.DROPPED)}, '', 'g'), '[\x01-\x1F\x7F]', '', 'g')), 100)"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, text, {_CLEANED} AS clean FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, clean, CASE WHEN coalesce(trim(text), '') = '' THEN 'required' WHEN length(clean) < 2 THEN 'too short' WHEN regexp_matches(clean, {_sql(S.REFUSED)}) THEN 'invalid' END AS reason FROM q""")
+def classify_queries(spark, sf_dir):
+    q = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").filter("role = 'user'").withColumn("clean", S.clean_query(F.col("text")))
+    return q.select("conv_id", "turn", "clean", S.reject_reason(F.col("text"), F.col("clean")).alias("reason"))
+
+
+NOW = datetime.datetime(2030, 1, 1, tzinfo=datetime.timezone.utc)
+
+
+def _batches(spark, sf_dir):
+    """A snapshot of the titles with even ids, one for each key, and a batch of those with odd ids."""
+    c = chapters(spark, sf_dir).groupBy(F.col("title_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", "label", "url", "date"))).alias("c"))
+    held = F.transform(F.coalesce("c", F.array().cast("array<struct<pos:bigint,label:string,url:string,date:string>>")), lambda x: F.struct(x["label"].alias("title"), x["url"].alias("url"), x["date"].alias("date")))
+    none = F.lit("").alias
+    t = titles(spark, sf_dir).join(c, "id", "left").select(
+        F.col("id").alias("seq"), "title_key", "title", F.repeat("title", (F.col("id") % 3).cast("int")).alias("description"), "rating", none("status"), none("type"), "genres", none("author"), none("artist"), none("cover_url"), "url", "source", held.alias("chapters"),
+        "chapter_count", "published_at", "updated_at",
+    )
+    stored = C.first_of(t.filter("seq % 2 = 0"), ["title_key"], [F.asc("seq")])
+    sources = F.array(F.struct(F.col("source").alias("name"), F.col("url").alias("url"), F.col("updated_at").cast("timestamp").alias("last_seen")))
+    stored = stored.withColumn("sources", sources).withColumn("updated_at", F.col("updated_at").cast("timestamp")).withColumn("created_at", F.col("updated_at"))
+    return stored, t.filter("seq % 2 = 1")
+
+
+_BATCHES = f"""{TITLES_SQL}, {CHAPTERS_SQL}, k AS (SELECT title_id, {_KEY} AS key, date FROM chapters),
+c AS (SELECT * FROM titles WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY id) = 1),
+b AS (SELECT * FROM titles WHERE id % 2 = 1 AND length(title_key) >= 3 QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY id) = 1),
+raw AS (SELECT title_id, count(*) AS n, max(date) FILTER (WHERE length(date) >= 8) AS latest FROM k GROUP BY 1),
+fresh AS (SELECT b.title_key, count(DISTINCT k.key) AS n FROM b JOIN k ON k.title_id = b.id LEFT JOIN c ON c.title_key = b.title_key WHERE NOT EXISTS (SELECT 1 FROM k x WHERE x.title_id = c.id AND x.key = k.key) GROUP BY 1),
+j AS (SELECT coalesce(c.title_key, b.title_key) AS title_key, c.id AS old_id, b.id AS new_id, CASE WHEN c.id IS NULL THEN 'insert' WHEN b.id IS NULL THEN 'keep' ELSE 'update' END AS action,
+  CASE WHEN c.id IS NULL OR (b.id IS NOT NULL AND b.rating <> 'N/A') THEN b.rating ELSE c.rating END AS rating,
+  CASE WHEN c.id IS NULL THEN coalesce(nullif(repeat(b.title, b.id % 3), ''), 'No description available.') WHEN length(repeat(b.title, b.id % 3)) > length(repeat(c.title, c.id % 3)) THEN repeat(b.title, b.id % 3) ELSE repeat(c.title, c.id % 3) END AS description,
+  c.chapter_count AS kept_count, coalesce(r.n, 0) AS stored_n, coalesce(f.n, 0) AS fresh_n, c.source AS old_source, b.source AS new_source, c.published_at AS old_published, nr.latest AS new_published
+  FROM c FULL OUTER JOIN b ON c.title_key = b.title_key LEFT JOIN raw r ON r.title_id = c.id LEFT JOIN raw nr ON nr.title_id = b.id LEFT JOIN fresh f ON f.title_key = b.title_key)"""
+_COUNT = "CAST(CASE WHEN action = 'keep' THEN CAST(kept_count AS BIGINT) ELSE stored_n + fresh_n END AS VARCHAR) AS chapter_count"
+
+
+@query(f"""WITH {_BATCHES} SELECT title_key, action, rating, description, {_COUNT}, CASE WHEN action = 'update' AND old_source <> new_source THEN 2 ELSE 1 END AS n_sources,
+  CASE WHEN action = 'insert' THEN new_published ELSE old_published END AS published_at FROM j""")
+def upsert_titles(spark, sf_dir):
+    done = M.upsert_titles(*_batches(spark, sf_dir), NOW)
+    return done.select("title_key", "action", "rating", "description", "chapter_count", F.size("sources").alias("n_sources"), "published_at")
+
+
+@query(f"WITH {_BATCHES} SELECT title_key, rating, description, {_COUNT}, action = 'update' AS refreshed FROM j WHERE action <> 'insert'")
+def refresh_titles(spark, sf_dir):
+    return M.refresh_titles(*_batches(spark, sf_dir), NOW).select("title_key", "rating", "description", "chapter_count", "refreshed")
+
+
+@query(f"WITH {TITLES_SQL} SELECT min(id) AS id, title_key FROM titles t WHERE id % 2 = 1 AND title_key NOT IN (SELECT title_key FROM titles WHERE id % 4 = 0) GROUP BY 2")
+def append_new(spark, sf_dir):
+    t = titles(spark, sf_dir)
+    return M.append_new(t.filter("id % 4 = 0").select("title_key").distinct(), t.filter("id % 2 = 1"), order="id").select("id", "title_key")
