@@ -203,7 +203,7 @@ def _edits(a: str, b: str, share: float) -> str:
 
 
 _R = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({k}, 'ou', 'o', 'g'), 'uu', 'u', 'g'), 'ou', 'o', 'g'), 'aa', 'a', 'g'), 'ee', 'e', 'g'), 'oo', 'o', 'g')"
-_PAIRS = f"""WITH {RECORDS_SQL}, k AS (SELECT batch_id, seq, title_key AS k, {_R.format(k="title_key")} AS r FROM records WHERE length(title_key) >= 3)
+_PAIRS = f"""WITH {RECORDS_SQL}, k AS (SELECT batch_id, min(seq) AS seq, title_key AS k, {_R.format(k="title_key")} AS r FROM records WHERE length(title_key) >= 3 GROUP BY batch_id, title_key)
 SELECT x.batch_id, x.seq AS a, y.seq AS b FROM k x JOIN k y ON x.batch_id = y.batch_id AND x.seq < y.seq AND (
   x.k = y.k OR x.r = y.r OR (abs(length(x.r) - length(y.r)) <= 3 AND length(x.r) > 3 AND {_edits("x.r", "y.r", 0.15)})
   OR (length(x.k) > 6 AND length(y.k) > 6 AND (starts_with(x.k, y.k) OR starts_with(y.k, x.k) OR ((contains(x.k, y.k) OR contains(y.k, x.k)) AND least(length(x.k), length(y.k)) / greatest(length(x.k), length(y.k)) >= 0.7)))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fuzzy_key_match
+from ..functions.text import fuzzy_key_match, romanize
 
 
 def rating_number(rating: Column) -> Column:
@@ -42,12 +42,55 @@ def top_per(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
 
 
+def representatives(records: DataFrame) -> DataFrame:
+    """The first record of each key of a batch; keys under three characters take no part."""
+    return records.filter(F.length("title_key") >= 3).groupBy("batch_id", "title_key").agg(F.min("seq").alias("seq"))
+
+
+def _within_edits(keys: DataFrame, share: float) -> DataFrame:
+    """Candidate pairs (x, y) of keys(batch_id, seq, k) whose lengths differ by three at most and whose edits are at most max(1, floor(share * longer)).
+
+    With d edits, one of d + 1 segments of the longer key stands unchanged in the shorter one, at a shift s with
+    |s| + |difference - s| <= d. So segments are joined with the substrings at these shifts, by equality.
+    """
+    allowed = lambda m: F.greatest(F.lit(1), F.floor(m * share)).cast("int")
+    start = lambda m, i: F.floor(i * m / (allowed(m) + 1)).cast("int")
+    piece = lambda m, i, at: F.struct(m.alias("m"), i.alias("i"), F.substring("k", at + 1, start(m, i + 1) - start(m, i)).alias("part"))
+    n = F.length("k")
+    own = keys.filter(n >= 3)
+    longer = own.select("batch_id", F.col("seq").alias("x"), F.explode(F.transform(F.sequence(F.lit(0), allowed(n)), lambda i: piece(n, i, start(n, i)))).alias("p"))
+
+    def at_length(t):
+        m = n + t
+        low, high = F.ceil((t - allowed(m)) / 2).cast("int"), F.floor((t + allowed(m)) / 2).cast("int")
+        inside = lambda i: F.filter(F.transform(F.sequence(low, high), lambda s: start(m, i) - s), lambda at: (at >= 0) & (at + start(m, i + 1) - start(m, i) <= n))
+        return F.flatten(F.transform(F.sequence(F.lit(0), allowed(m)), lambda i: F.transform(inside(i), lambda at: piece(m, i, at))))
+
+    shorter = own.select("batch_id", F.col("seq").alias("y"), F.explode(F.array_distinct(F.concat(*[at_length(t) for t in range(4)]))).alias("p"))
+    return longer.select("batch_id", "x", "p.*").join(shorter.select("batch_id", "y", "p.*"), ["batch_id", "m", "i", "part"]).select("batch_id", "x", "y")
+
+
 def fuzzy_pairs(records: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a batch's records, a before b, whose keys match; keys under three characters take no part."""
-    keyed = records.filter(F.length("title_key") >= 3).select("batch_id", "seq", "title_key")
-    a, b = (keyed.select("batch_id", F.col("seq").alias(n), F.col("title_key").alias(f"key_{n}")) for n in "ab")
-    both = a.join(b, "batch_id").filter((F.col("a") < F.col("b")) & fuzzy_key_match(F.col("key_a"), F.col("key_b")))
-    return both.select("batch_id", "a", "b")
+    """Pairs (a, b), a before b, of a batch's representatives whose keys match; see representatives for the other records.
+
+    Candidates come from joins by equality: of romanized keys, of a key with the parts of others that may
+    contain it, and of segments within the bounds on edits. The rule itself then decides.
+    """
+    reps = representatives(records)
+    keys = reps.select("batch_id", "seq", F.col("title_key").alias("k"))
+    roman = reps.select("batch_id", "seq", F.regexp_replace(romanize(F.col("title_key")), " ", "").alias("k"))
+    n = F.length("k")
+    cuts = lambda at, low: F.transform(F.sequence(F.greatest(F.lit(7), low), n - at), lambda size: F.substring("k", at + 1, size))
+    least = F.floor(n * 0.7).cast("int")
+    inner = F.flatten(F.transform(F.sequence(F.lit(0), n - F.greatest(F.lit(7), least)), lambda at: cuts(at, least)))
+    parts = keys.filter(n > 7).select("batch_id", F.col("seq").alias("x"), F.explode(F.array_distinct(F.concat(inner, cuts(F.lit(0), F.lit(7))))).alias("k"))
+    found = parts.join(keys.withColumnRenamed("seq", "y"), ["batch_id", "k"]).select("batch_id", "x", "y")
+    found = found.union(roman.withColumnRenamed("seq", "x").join(roman.withColumnRenamed("seq", "y"), ["batch_id", "k"]).select("batch_id", "x", "y"))
+    found = found.union(_within_edits(keys, 0.2)).union(_within_edits(roman, 0.15))
+    pairs = found.filter("x <> y").select("batch_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda c: reps.select("batch_id", F.col("seq").alias(c), F.col("title_key").alias(f"key_{c}"))
+    both = pairs.join(side("a"), ["batch_id", "a"]).join(side("b"), ["batch_id", "b"])
+    return both.filter(fuzzy_key_match(F.col("key_a"), F.col("key_b"))).select("batch_id", "a", "b")
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -62,8 +105,12 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def fuzzy_cluster(records: DataFrame, pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """seq and its leader: scanning in order, a record joins the first earlier leader it matches, else it leads."""
-    state = _cut(records.filter(F.length("title_key") >= 3).select("seq", F.lit(None).cast("boolean").alias("leads")))
+    """seq and its leader: scanning in order, a record joins the first earlier leader it matches, else it leads.
+
+    The representatives are scanned; a record with an earlier one's key matches what that one matches.
+    """
+    reps = _cut(representatives(records))
+    state = _cut(reps.select("seq", F.lit(None).cast("boolean").alias("leads")))
     for _ in range(max_rounds):
         seen = pairs.join(state.select(F.col("seq").alias("a"), F.col("leads").alias("a_leads")), "a").groupBy(F.col("b").alias("seq"))
         seen = seen.agg(F.max(F.coalesce("a_leads", F.lit(False))).alias("some"), F.min(F.coalesce(~F.col("a_leads"), F.lit(False))).alias("none"))
@@ -75,7 +122,8 @@ def fuzzy_cluster(records: DataFrame, pairs: DataFrame, max_rounds: int = 50) ->
         raise RuntimeError("clustering needs more rounds")
     leaders = state.filter("leads").select(F.col("seq").alias("a"))
     joined = pairs.join(leaders, "a").groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("first"))
-    return state.join(joined, "seq", "left").select("seq", F.when(F.col("leads"), F.col("seq")).otherwise(F.col("first")).alias("leader"))
+    led = state.join(joined, "seq", "left").select("seq", F.when(F.col("leads"), F.col("seq")).otherwise(F.col("first")).alias("leader"))
+    return records.select("batch_id", "title_key", "seq").join(reps.join(led, "seq").select("batch_id", "title_key", "leader"), ["batch_id", "title_key"]).select("seq", "leader")
 
 
 def upsert(catalog: DataFrame, batch: DataFrame) -> DataFrame:

@@ -19,10 +19,15 @@ def test_clusters_equal_a_sequential_scan(spark):
 
     r = records(spark, SF)
     pairs = {(x["a"], x["b"]) for x in fuzzy_pairs(r).collect()}
+    rows = sorted((x["seq"], x["batch_id"], x["title_key"]) for x in r.collect() if len(x["title_key"] or "") >= 3)
+    rep = {}
+    for seq, *key in rows:
+        rep.setdefault(tuple(key), seq)
     got = {x["seq"]: x["leader"] for x in fuzzy_cluster(r, fuzzy_pairs(r)).collect()}
     leaders, expected = [], {}
-    for seq in sorted(got):
-        expected[seq] = next((a for a in leaders if (a, seq) in pairs), seq)
+    for seq, *key in rows:
+        own = rep[tuple(key)]
+        expected[seq] = next((a for a in leaders if a == own or (a, own) in pairs), seq)
         if expected[seq] == seq:
             leaders.append(seq)
     assert got == expected
