@@ -29,12 +29,9 @@ BANDS, ROWS, SKETCH_BITS = 40, 6, 1024
 BLOCK = 1024
 #: Hash slots of ids that are broadcast before texts are fetched: at most so many longs, 4 MB.
 SLOTS = 1 << 19
-#: Words whose hashes a worker keeps.
-CACHE_WORDS = 1_000_000
 
 _MULTIPLY, _ADD = (np.random.default_rng(7).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_known: dict[bytes, int] = {}
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -42,21 +39,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _hash_word(word: bytes) -> int:
-    h = _known.get(word)
-    if h is None:
-        if len(_known) > CACHE_WORDS:
-            _known.clear()
-        h = _known[word] = xxhash.xxh3_64_intdigest(word)
-    return h
-
-
 def shingles(text: str | None, size: int = 2) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a text; of its whole sequence if it has fewer words, none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and x20 and x09-x0D
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hash_word, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(size, len(words))
     out = h[: len(h) - size + 1].copy()
     for k in range(1, size):
