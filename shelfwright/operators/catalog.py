@@ -50,24 +50,26 @@ def representatives(records: DataFrame) -> DataFrame:
 def _within_edits(keys: DataFrame, share: float) -> DataFrame:
     """Candidate pairs (x, y) of keys(batch_id, seq, k) whose lengths differ by three at most and whose edits are at most max(1, floor(share * longer)).
 
-    With d edits, one of d + 1 segments of the longer key stands unchanged in the shorter one, at a shift s with
-    |s| + |difference - s| <= d. So segments are joined with the substrings at these shifts, by equality.
+    The longer key has d + 1 segments for d edits. Some segment i (from 0) stands unchanged in the shorter key
+    with at most i edits before and d - i behind it, so its place differs by s with |s| <= i and
+    |difference - s| <= d - i. Segments are joined with the substrings at these places, by equality.
     """
-    allowed = lambda m: F.greatest(F.lit(1), F.floor(m * share)).cast("int")
-    start = lambda m, i: F.floor(i * m / (allowed(m) + 1)).cast("int")
-    piece = lambda m, i, at: F.struct(m.alias("m"), i.alias("i"), F.substring("k", at + 1, start(m, i + 1) - start(m, i)).alias("part"))
     n = F.length("k")
-    own = keys.filter(n >= 3)
-    longer = own.select("batch_id", F.col("seq").alias("x"), F.explode(F.transform(F.sequence(F.lit(0), allowed(n)), lambda i: piece(n, i, start(n, i)))).alias("p"))
+    allowed = F.greatest(F.lit(1), F.floor(F.col("m") * share)).cast("int")
+    start = lambda i: F.floor(i * F.col("m") / (F.col("d") + 1)).cast("int")
 
-    def at_length(t):
-        m = n + t
-        low, high = F.ceil((t - allowed(m)) / 2).cast("int"), F.floor((t + allowed(m)) / 2).cast("int")
-        inside = lambda i: F.filter(F.transform(F.sequence(low, high), lambda s: start(m, i) - s), lambda at: (at >= 0) & (at + start(m, i + 1) - start(m, i) <= n))
-        return F.flatten(F.transform(F.sequence(F.lit(0), allowed(m)), lambda i: F.transform(inside(i), lambda at: piece(m, i, at))))
+    def segments(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("d", allowed).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+        return rows.withColumns({"from": start(F.col("i")), "size": start(F.col("i") + 1) - start(F.col("i"))})
 
-    shorter = own.select("batch_id", F.col("seq").alias("y"), F.explode(F.array_distinct(F.concat(*[at_length(t) for t in range(4)]))).alias("p"))
-    return longer.select("batch_id", "x", "p.*").join(shorter.select("batch_id", "y", "p.*"), ["batch_id", "m", "i", "part"]).select("batch_id", "x", "y")
+    own = keys.filter(n >= 3)
+    longer = segments(own.withColumn("m", n)).select("batch_id", F.col("seq").alias("x"), "m", "i", F.substring("k", F.col("from") + 1, F.col("size")).alias("part"))
+    placed = segments(own.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("m", n + F.col("t")))
+    low, high = F.greatest(-F.col("i"), F.col("t") - F.col("d") + F.col("i")), F.least(F.col("i"), F.col("t") + F.col("d") - F.col("i"))
+    placed = placed.withColumns({"low": low, "high": high}).filter("low <= high").withColumn("shift", F.explode(F.sequence("low", "high"))).withColumn("at", F.col("from") - F.col("shift"))
+    placed = placed.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= n))
+    shorter = placed.select("batch_id", F.col("seq").alias("y"), "m", "i", F.substring("k", F.col("at") + 1, F.col("size")).alias("part"))
+    return longer.join(shorter, ["batch_id", "m", "i", "part"]).select("batch_id", "x", "y")
 
 
 def fuzzy_pairs(records: DataFrame) -> DataFrame:
