@@ -1,10 +1,12 @@
 """Quality rules: how far a document's histograms lie from those of the corpus' languages.
 
 Each document gets the base counts, a histogram of character classes and one of common words. The
-histograms of all documents that pass the base rules are summed by language; each language with at least
-MIN_SHARE of these documents is a reference. A document is kept if some reference lies within both
-Jensen-Shannon distances (base 2, 0 to 1). Guards: below `min_words` words only the character histogram
-is compared; a document without words fails the base rules.
+histograms of all documents that pass the base rules are summed by language, and each sum of at least
+REFERENCE_WORDS words is a reference. A document is held against its own language's reference, joined by
+language, and against those of all languages with MIN_SHARE of the documents. It is kept if one of them lies
+within both Jensen-Shannon distances (base 2, 0 to 1). Guards: in a language with less text the base rules
+decide; below `min_words` words only the character histogram is compared; a document without words fails the
+base rules.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import materialize, small_batches
 
@@ -29,8 +32,10 @@ COMMON_WORDS = (
 ).split()
 SYMBOLS = b"#*$%&|<>"
 SENTENCE_MARKS = b".,;:!?'\"()-"
-#: A language needs this share of the documents to be a reference, so there are 200 references at most.
+#: References of languages with this share of the documents are held against all documents: 200 at most.
 MIN_SHARE = 1 / 200
+#: With fewer words, chance alone moves a histogram of the common words by a tenth of the distance allowed or more.
+REFERENCE_WORDS = 10_000
 
 _WORD_SLOT = {w.encode(): i + 1 for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
 N_WORD_SLOTS = len(_WORD_SLOT) + 1
@@ -99,35 +104,33 @@ def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": [lang if isinstance(lang, str) else None], "docs": [len(own)], "hist": [np.concatenate([np.sum(np.stack(own[k].to_list()), axis=0, dtype=np.int64) for k in ("chars", "common")])]})
 
 
-def distances(hist: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance, base 2, of each row of hist to each row of refs; 1 for a row without counts."""
+def _distance(hist: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance, base 2, of each row of hist to ref or to ref's row at its place; 1 for a row without counts."""
     total = hist.sum(axis=1, keepdims=True)
-    p = hist / np.maximum(total, 1)
-    out = np.ones((len(hist), len(refs)))
-    for j, q in enumerate(refs / np.maximum(refs.sum(axis=1, keepdims=True), 1)):
-        m = (p + q) / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            kp = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1)
-            kq = np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)
-        out[:, j] = np.sqrt(np.clip((kp + kq) / 2, 0, 1))
-    out[total[:, 0] == 0] = 1
-    return out
-
-
-def _references(found: DataFrame) -> np.ndarray:
-    """Summed histograms of the languages that have MIN_SHARE of the documents in found, a row each."""
+    p, q = hist / np.maximum(total, 1), ref / np.maximum(ref.sum(axis=-1, keepdims=True), 1)
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kp = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1)
+        kq = np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)
+    return np.where(total[:, 0] == 0, 1.0, np.sqrt(np.clip((kp + kq) / 2, 0, 1)))
+
+
+def _references(found: DataFrame) -> DataFrame:
+    """lang, docs, n_words and hist: the summed histograms of each language in found."""
     sums = (
         found.filter(~F.col("base_failed")).select("lang", "chars", "common").mapInPandas(_sums, "lang string, docs long, hist array<long>")
         .select("lang", "docs", F.posexplode("hist").alias("slot", "n")).groupBy("lang", "slot").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-        .groupBy("lang").agg(F.max("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("hist"))
+        .groupBy("lang").agg(F.max("docs").alias("docs"), F.sum(F.when(F.col("slot") >= N_CHAR_SLOTS, F.col("n"))).alias("n_words"), F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("hist"))
     )
-    total = sums.agg(F.sum("docs")).first()[0] or 0
-    large = sums.filter(F.col("docs") >= MIN_SHARE * total).orderBy("lang").collect()
-    return np.array([[x["n"] for x in r["hist"]] for r in large], np.float64).reshape(-1, N_CHAR_SLOTS + N_WORD_SLOTS)
+    return materialize(sums.withColumn("hist", F.transform("hist", lambda x: x["n"])), "references")
 
 
 class Judge:
-    """The base rules and the distances to the references, for frames of features."""
+    """The base rules and the distances to the references, for frames of features.
+
+    refs are held against each row, and so is the row's own reference in the column own, where there is one:
+    null if the row's language is among refs, empty if it has too little text.
+    """
 
     def __init__(self, refs: np.ndarray, min_base_words: int, max_repeat_percent: int, min_words: int, max_char_distance: float, max_word_distance: float):
         self.refs, self.base, self.limits = refs, (min_base_words, max_repeat_percent), (min_words, max_char_distance, max_word_distance)
@@ -136,25 +139,49 @@ class Judge:
         least, percent = self.base
         words, repeats = part["n_words"].to_numpy(np.int64), part["n_repeat_words"].to_numpy(np.int64)
         failed = (words < least) | (100 * repeats > percent * words)
-        out = part.drop(columns=["chars", "common"]).assign(base_failed=failed, char_distance=None, word_distance=None, kept=~failed)
-        if len(self.refs) and len(part):
+        sizes = np.array([-1 if x is None else len(x) for x in part["own"]], int)
+        out = part.drop(columns=["chars", "common", "own"]).assign(base_failed=failed, char_distance=None, word_distance=None, kept=~failed)
+        if len(part) and (len(self.refs) or sizes.max() > 0):
             min_words, max_char, max_word = self.limits
-            char = distances(np.stack(part["chars"].to_list()).astype(float), self.refs[:, :N_CHAR_SLOTS])
-            word = distances(np.stack(part["common"].to_list()).astype(float), self.refs[:, N_CHAR_SLOTS:])
+            hists = np.stack(part["chars"].to_list()).astype(float), np.stack(part["common"].to_list()).astype(float)
+            char, word = (np.full((len(part), len(self.refs) + 1), np.inf) for _ in range(2))
+            for to, hist, slots in zip((char, word), hists, (slice(N_CHAR_SLOTS), slice(N_CHAR_SLOTS, None)), strict=True):
+                for j, ref in enumerate(self.refs):
+                    to[:, j] = _distance(hist, ref[slots])
+                if (own := sizes > 0).any():
+                    to[own, -1] = _distance(hist[own], np.stack(part["own"][own].to_list()).astype(float)[:, slots])
             near = (char <= max_char) & ((word <= max_word) | (words < min_words)[:, None])
             at, best = np.arange(len(part)), np.argmin(char + word, axis=1)
-            out = out.assign(char_distance=char[at, best], word_distance=word[at, best], kept=near.any(axis=1) & ~failed)
+            known = np.isfinite(char[at, best])
+            out = out.assign(char_distance=np.where(known, char[at, best], None), word_distance=np.where(known, word[at, best], None), kept=(near.any(axis=1) | (sizes == 0)) & ~failed)
         return out
 
 
-def _prepared(docs: DataFrame, settings: dict) -> tuple[DataFrame, Judge]:
+def _prepared(docs: DataFrame, settings: dict) -> tuple[DataFrame, Judge, DataFrame]:
+    """The features of docs, their judge and lang_, own: the references that are not the judge's, empty ones for languages with too little text."""
     small_batches(docs.sparkSession)
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _lang(docs).alias("lang"))
     settings = {"min_base_words": 50, "max_repeat_percent": 50, "min_words": 100, "max_char_distance": 0.33, "max_word_distance": 0.325} | settings
     failed = (F.col("n_words") < settings["min_base_words"]) | (100 * F.col("n_repeat_words") > settings["max_repeat_percent"] * F.col("n_words"))
     found = materialize(rows.mapInPandas(_features, FEATURES), "quality")
-    return found, Judge(_references(found.withColumn("base_failed", failed)), **settings)
+    every = _references(found.withColumn("base_failed", failed))
+    total = every.agg(F.sum("docs")).first()[0] or 0
+    enough = F.col("n_words") >= REFERENCE_WORDS
+    shared = (F.col("docs") >= MIN_SHARE * total) & enough
+    refs = np.array([r["hist"] for r in every.filter(shared).orderBy("lang").collect()], np.float64).reshape(-1, N_CHAR_SLOTS + N_WORD_SLOTS)
+    others = every.filter(~shared).select(F.col("lang").alias("lang_"), F.when(enough, F.col("hist")).otherwise(F.array().cast("array<long>")).alias("own"))
+    return found, Judge(refs, **settings), others
+
+
+def _lang(docs: DataFrame) -> Column:
+    return (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string")
+
+
+def _with_own(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """rows with own, joined by lang; Spark broadcasts the references where they are few, and splits frequent languages where they are not."""
+    if others.isEmpty():
+        return rows.withColumn("own", F.lit(None).cast("array<long>"))
+    return rows.join(others, F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
 
 
 JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
@@ -165,21 +192,26 @@ def quality_rules(docs: DataFrame, **settings) -> DataFrame:
 
     Settings: min_base_words, max_repeat_percent (base rules), min_words, max_char_distance,
     max_word_distance. A null text counts as empty: zero counts, base_failed, not kept. A null language is a
-    language of its own. Repeated rows get the same verdict each; other columns are ignored. Without any
-    reference (no document passes the base rules) distances are null and the base rules decide.
+    language of its own. Repeated rows get the same verdict each; other columns are ignored. Where a language
+    has too little text for a reference the base rules decide. Without any reference to compare with,
+    distances are null.
     """
-    found, judge = _prepared(docs, settings)
-    return found.drop("lang").mapInPandas(lambda batches: map(judge, batches), JUDGED)
+    found, judge, others = _prepared(docs, settings)
+    return _with_own(found, others).drop("lang").mapInPandas(lambda batches: map(judge, batches), JUDGED)
 
 
 def keep_clean(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns; judged where they lie, without a join."""
-    _, judge = _prepared(docs, settings)
+    """The rows of docs that quality_rules keeps, with all their columns; judged where they lie."""
+    _, judge, others = _prepared(docs, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            part = pd.DataFrame({"text": rows.column("text").to_pylist(), "doc_id": 0, "lang": None})
+            part = pd.DataFrame({"text": rows.column("row").field("text").to_pylist(), "doc_id": 0, "lang": None})
+            own = pd.Series(rows.column("own").to_pylist(), dtype=object)
             for features in _features(iter([part])):
-                yield rows.filter(pa.array(judge(features)["kept"].to_numpy(bool)))
+                kept = judge(features.assign(own=own))["kept"].to_numpy(bool)
+                yield rows.select(["row"]).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = _with_own(docs.select(F.struct("*").alias("row"), _lang(docs).alias("lang")), others)
+    kind = StructType().add("row", docs.schema)
+    return rows.select("row", "own").mapInArrow(run, kind).select("row.*")

@@ -81,6 +81,20 @@ def test_quality(spark):
     assert got == {1: (7, 8, 1, 1, 6, True), 2: (0, 0, 0, 0, 0, True)}
 
 
+def test_quality_of_rare_languages(spark):
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    text = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    many = [(i, text("aeinorst", 60), "en") for i in range(2000)]
+    rare = [(3000 + i, text("äökyujpv", 1500), "fi") for i in range(8)]
+    thin = [(4000, text("zqxw", 200), "xx"), (4001, text("zqxw", 120), None)]
+    junk = [(5000, text("#$&|123", 300), "fi"), (5001, text("zqxw", 20), "xx")]
+    docs = spark.createDataFrame(many + rare + thin + junk, "doc_id long, text string, lang string")
+    good = {r[0] for r in many + rare + thin}
+    assert {r["doc_id"] for r in quality_rules(docs).collect() if r["kept"]} == good
+    assert {r["doc_id"] for r in keep_clean(docs).collect()} == good
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8))
