@@ -1,6 +1,7 @@
 """Secret scans: a random forest tells findings from false positives, in DataFrame functions and spark.ml only.
 
-Candidates are unbroken strings of 16 to 200 key characters. The forest sees a candidate's length, its
+Candidates are unbroken strings of 16 key characters or more, and strings of any length that stand right
+after a secret's name; '=' ends a candidate as padding only. The forest sees a candidate's length, its
 character transitions, how much of it common letter groups cover, its path (source) and the words around
 it. It is trained from labelled findings; without any given, candidates in a provider's format or assigned
 to a secret's name count as findings, and candidates of letters only that stand in running text as false ones.
@@ -19,9 +20,15 @@ from .shared import materialize
 
 # Letter groups that are frequent in English, French, German and Spanish words.
 GROUPS = "tion ment eur eux ent ing and the her ere ati ter hat ver all con que les des ait ans oir eau ich sch ein ung gen der die und ber keit ado que ente aci rra ció ñ est res nte ly ed es er on an re in en"
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,200}+={0,2}(?![A-Za-z0-9_+/=-])"
+KEY = "[A-Za-z0-9_+/-]"
+NAME = "(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[\"']?+\\s*+[:=]{1,2}+>?+\\s*+[\"'`]?+"
+STRING = f"{KEY}{{16,}}+(?:={{1,2}}+(?![A-Za-z0-9_+/-]))?+"
+#: After a name: a string as elsewhere, or what stands up to a blank, a delimiter or such a string.
+VALUE = f"(?:{STRING}|(?:(?!(?<!{KEY}){KEY}{{16}})[^\\s\"'`<>&,;|(){{}}\\[\\]:=])(?:(?!(?<!{KEY}){KEY}{{16}})[^\\s\"'`<>&,;|(){{}}\\[\\]])*+)"
+ASSIGNED = f"(?<!{KEY}){KEY}*?{NAME}"
+CANDIDATE = f"{ASSIGNED}{VALUE}|(?<!{KEY}){STRING}"
 PROVIDER = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
-NAMED = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[\"']?\s*[:=]\s*[\"']?$"
+NAMED = NAME + "$"
 FEATURES = ["length", "digits", "upper", "distinct", "transitions", "covered", "named", "assigned", "quoted", "code_path", "other_words"]
 CLASSES = r"([A-Z]+|[a-z]+|[0-9]+|[_+/=-]+)"
 
@@ -31,8 +38,12 @@ def candidates(docs: DataFrame, around: int = 32) -> DataFrame:
     source = F.col("source") if "source" in docs.columns else F.lit(None)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(source.cast("string"), F.lit("")).alias("path"))
     rows = rows.filter(F.col("text").rlike(CANDIDATE)).withColumn("x", F.explode(_places(F.col("text"), CANDIDATE)))
+    bare = F.regexp_replace("x.m", rf"^{ASSIGNED}(?=[^:=])", "")
+    value = F.regexp_replace(bare, r"(?<![.:])[.:]++$", "")  # what ends a sentence
+    start = F.col("x.start") + F.length("x.m") - F.length(bare)
+    rows = rows.select("doc_id", "path", "text", F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("m"), (F.length(bare) < F.length("x.m")).alias("named")).alias("x")).filter("x.m <> ''")
     found = rows.select(
-        "doc_id", "path", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.m").alias("value"),
+        "doc_id", "path", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.m").alias("value"), F.col("x.named").alias("named"),
         F.substring(F.col("text"), F.greatest(F.col("x.start") - around, F.lit(0)) + 1, F.least(F.col("x.start"), F.lit(around))).alias("left"),
         F.substring(F.col("text"), F.col("x.end") + 1, F.lit(around)).alias("right"),
     )
@@ -45,7 +56,7 @@ def candidates(docs: DataFrame, around: int = 32) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / size,
         "transitions": (F.size(F.regexp_extract_all(value, F.lit(CLASSES), F.lit(1))) - 1) / size,
         "covered": 1 - F.length(F.regexp_replace(F.lower(value), groups, "")) / size,
-        "named": flag(F.col("left").rlike(NAMED)), "assigned": flag(F.col("left").rlike(r"[:=]\s*[\"']?$")), "quoted": flag(F.col("left").rlike("[\"']$") & F.col("right").rlike("^[\"']")),
+        "named": flag(F.col("named") | F.col("left").rlike(NAMED)), "assigned": flag(F.col("named") | F.col("left").rlike(r"[:=]\s*[\"']?$")), "quoted": flag(F.col("left").rlike("[\"']$") & F.col("right").rlike("^[\"']")),
         "code_path": flag(F.col("path").rlike(r"(?i)\.(?:env|ya?ml|json|ini|conf|cfg|py|js|ts|go|java|rb|sh|tf)$|code|git")),
         "other_words": F.size(F.regexp_extract_all(F.concat_ws(" ", "left", "right"), F.lit(r"\p{L}{2,}"), F.lit(0))).cast("double"),
     })
@@ -53,7 +64,8 @@ def candidates(docs: DataFrame, around: int = 32) -> DataFrame:
 
 def _own_label() -> Column:
     sure = F.col("value").rlike(PROVIDER) | ((F.col("named") == 1) & (F.col("digits") > 0))
-    return F.when(sure, 1.0).when((F.col("digits") == 0) & (F.col("assigned") == 0) & F.col("value").rlike("^[A-Z]?[a-z-]+$|^[A-Z]+$"), 0.0)
+    prose = (F.col("assigned") == 0) | ((F.col("quoted") == 0) & F.col("right").rlike(r"^[.,;!?]? \p{L}"))
+    return F.when(sure, 1.0).when((F.col("digits") == 0) & prose & F.col("value").rlike("^[A-Z]?[a-z-]+$|^[A-Z]+$"), 0.0)
 
 
 def secret_scan(docs: DataFrame, labelled: DataFrame | None = None, *, sample_per_label: int = 20_000, threshold: float = 0.5) -> DataFrame:
