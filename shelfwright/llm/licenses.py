@@ -92,8 +92,6 @@ NOTICES: list[tuple[str, str, str]] = [
     ("proprietary", r"(?:confidential and proprietary|proprietary and confidential|unauthorized (?:copying|use) (?:\w+ ){0,6}?(?:is )?strictly prohibited)", "proprietary|prohibited"),
 ]
 
-#: Keywords of the prefilter: a text without any of them is not held against the rules.
-_ANY = tuple(k.encode() for k in "licen spdx reserved copyright domain warrant proprietary prohibited permission redistribut gpl cc0 wtfpl commons software beer".split())
 _WORDS = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -114,12 +112,19 @@ def _longest_word(pattern: str) -> str:
 
 
 _GENERAL = {"license", "licen", "version", "public", "general", "software", "open", "the", "only", "or", "later", "as", "by", "at", "of", "and", "free", "foundation", "published", "either", "to"}
+_GENERAL |= {"do", "what", "you", "want", "no", "non", "new", "data", "source"}  # the names that have them have others too
 
 
 def _family_words(pattern: str) -> tuple[str, ...]:
     return tuple(sorted({" " + w for w in re.findall(r"[a-z]{2,}|0bsd|cc0", pattern)} - {" " + w for w in _GENERAL}))
 
 
+def _own_keywords(name: str) -> tuple[str, ...]:
+    """For each alternative of a name its part that is a keyword: 'licen', or what it begins with."""
+    parts = re.split(r"\|(?![^(]*\))", name)
+    return tuple(sorted({"licen" if "licen" in x else re.match(r"[a-z0-9 ]*[a-z0-9](?! ?\?)", x)[0] for x in parts}))
+
+
 def build_rules() -> list[Rule]:
     rules = []
     for label, name, ident, text in FAMILIES:
@@ -127,7 +132,7 @@ def build_rules() -> list[Rule]:
         for order, weight, template, keyword in TEMPLATES:
             rules.append(Rule(order, label, weight, re.compile(r"(?:(?<= )|^)" + template.format(id=f"(?:{ident})", name=name, text=text)), (keyword or _longest_word(text),), words if keyword else ("",)))
         if "license" in name:  # a name of its own, without a phrase around it
-            rules.append(Rule(5, label, 0.6, re.compile(rf"(?:(?<= )|^)(?:{name})(?= |$)"), ("licen",), words))
+            rules.append(Rule(5, label, 0.6, re.compile(rf"(?:(?<= )|^)(?:{name})(?= |$)"), _own_keywords(name), words))
     for label, pattern, keyword in NOTICES:
         rules.append(Rule(6, label, 0.3, re.compile(r"(?:(?<= )|^)(?:" + pattern + r")(?= |$)"), tuple(keyword.split("|"))))
     return sorted(rules, key=lambda r: r.order)
@@ -136,6 +141,18 @@ def build_rules() -> list[Rule]:
 RULES = build_rules()
 
 
+#: The prefilter, from the rules' own keywords: phrases, one of which is enough, and keywords that need a family's word.
+PHRASES = tuple(sorted({k for r in RULES if r.family == ("",) for k in r.keywords} | set(BASE)))
+KEYWORDS = tuple(sorted({k for r in RULES if r.family != ("",) for k in r.keywords}))
+WORDS = tuple(sorted({w for r in RULES if r.family != ("",) for w in r.family}))
+
+
+def may_match(line: str) -> bool:
+    """False only for a text that no rule and no base phrase matches."""
+    padded = f" {line}"
+    return any(k in line for k in PHRASES) or any(k in line for k in KEYWORDS) and any(w in padded for w in WORDS)
+
+
 def detections(line: str) -> list[tuple[int, int, Rule]]:
     """Kept detections (start, end, rule) in the order of the text, over words joined by blanks."""
     found, padded = [], f" {line}"
@@ -153,9 +170,9 @@ def scan(text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans of a text."""
     raw = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS)
     words = raw.split()
-    if not any(k in raw for k in _ANY):
-        return len(words), 0, None, None, "", "", 0.0, ""
     line = b" ".join(words).decode("utf-8", "surrogatepass")
+    if not may_match(line):
+        return len(words), 0, None, None, "", "", 0.0, ""
     places, base = [], set()
     for phrase, label in BASE.items():
         at = line.find(phrase)

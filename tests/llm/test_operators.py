@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 
 from shelfwright.llm.html_text import main_text
-from shelfwright.llm.licenses import license_scan, scan
+from shelfwright.llm.licenses import FAMILIES, RULES, license_scan, scan
 from shelfwright.llm.packing import best_fit, best_fit_packing, lower_bound
 from shelfwright.llm.pii import pii_report, sanitize
 from shelfwright.llm.quality import keep_clean, quality_rules
@@ -121,6 +122,23 @@ def test_licenses(text, base, labels):
     assert scan(text)[4:6] == (base, labels)
 
 
+def test_licenses_without_prefilter():
+    alone = {
+        "This project is released under Apache 2.0": "apache-2.0", "distributed under the MIT": "mit", "available under CC BY 4.0": "cc-by-4.0", "released under the BSD 3-clause": "bsd-3-clause", "published under MPL 2.0": "mpl-2.0",
+        "altered source versions must be plainly marked as such": "zlib", "published under the modified BSD": "bsd-3-clause", "provided under the zero clause BSD": "0bsd", "nothing to see here, under the new source": "",
+    }
+    assert {t: scan(t)[5] for t in alone} == alone
+    plain = lambda x: re.sub(r"\(\?:[^()]*\)\?|[a-z ]\?|\(\?:|\)|\[cs\]", lambda m: "c" if m[0] == "[cs]" else "", x)
+    texts = [t for _, name, ident, text in FAMILIES for n in {*plain(name).split("|"), *plain(ident).split("|")} for t in (text.replace("[a-z0-9 ]{1,80}?", "the owner"), f"released under {n}", f"{n} license", f"license {n}", f"spdx license identifier {n}", n)]
+    for line in texts:
+        found = [(m.start(), m.end(), r) for r in RULES for m in r.pattern.finditer(line) if m.end() > m.start()]
+        kept = []
+        for a, b, rule in sorted(found, key=lambda x: (x[2].order, x[0] - x[1], x[0], x[2].label)):
+            if not any(c <= a and b <= d for c, d, _ in kept):
+                kept.append((a, b, rule))
+        assert {r.label for *_, r in kept} | set(filter(None, scan(line)[4].split(","))) == set(filter(None, scan(line)[5].split(","))), line
+
+
 def test_html():
     page = "<html><body><nav><a href=x>a</a></nav><div class=ad>buy</div><article><h1>T&amp;x</h1><p><b>Long  text<br><p>Second &lt;par</article><footer>f</footer>"
     assert main_text(page) == "T&x\nLong text\nSecond <par"
