@@ -3,7 +3,8 @@
 A page becomes a tree of elements. The density of a node is its characters per tag, adjusted for the
 characters and tags that lie in links; its density sum is that of its children. Below the body the node
 with the greatest density sum is the main subtree, and nodes of it that are less dense than the threshold
-(the least density on the path from the body to it) and no text blocks go.
+(the least density on the path from the body to it) and no text blocks go. Elements whose class, id or role
+names a notice (ads, comments, a sidebar) count for nothing, unless they hold the page's text.
 """
 
 from __future__ import annotations
@@ -29,16 +30,19 @@ TEXT_BLOCK = set("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".
 DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "template", "object", "canvas", "audio", "video", "map"} | RAW
 SCOPE = {"div", "article", "section", "main", "body", "td", "th", "table", "blockquote", "aside", "nav", "header", "footer", "form", "li"}
 _NOTICE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|toolbar|comments?|commentlist|disqus|replies|respond|related|recommended|share|sharing|social|widget|login|search|pagination|pager)(?=$|[\s_-]|\d)", re.I)
+#: A name that tells only what an element has or lacks.
+_ABOUT = re.compile(r"(?:^|(?<=\s))(?:\S*[_-])?(?:has|have|no|not|with|without)[_-]\S*", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "junk", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "junk", "named", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, junk: bool):
-        self.tag, self.parent, self.kids, self.junk = tag, parent, [], junk
+    def __init__(self, tag: str, parent: Node | None, junk: bool, named: bool = False):
+        self.tag, self.parent, self.kids, self.junk, self.named = tag, parent, [], junk, named
+        self.inside = 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -85,8 +89,8 @@ def parse(page: str) -> Node:
                     x = x.parent
                 if x.tag in pair:
                     node = x.parent
-        junk = name in DROPPED or bool(_HIDDEN.search(attrs)) or name not in ("body", "article", "main") and any(_NOTICE.search(v) for found in _NAMED.findall(attrs) for v in found if v)
-        kid = Node(name, node, junk)
+        junk = name in DROPPED or bool(_HIDDEN.search(attrs))
+        kid = Node(name, node, junk, any(_NOTICE.search(_ABOUT.sub("", v)) for found in _NAMED.findall(attrs) for v in found if v))
         node.kids.append(kid)
         if name in RAW:  # up to its own end tag, whatever stands there
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -129,6 +133,34 @@ def densities(body: Node) -> list[Node]:
     return order
 
 
+def drop_notices(body: Node) -> None:
+    """Marks the elements below the body that are named as notices as junk, but for those that hold an article or main, or most of the density where no article or main stands elsewhere."""
+    order, doubtful = _post_order(body), []
+    for x in order:
+        x.inside = sum(k.inside + (k.tag in ("article", "main") and not k.named) for k in x.kids if isinstance(k, Node) and not k.junk)
+    around = {body: 0}
+    for x in reversed(order):  # parents first
+        for k in x.kids:
+            if isinstance(k, Node):
+                around[k] = around[x] + (x is not body and x.tag in ("article", "main") and not x.named)
+        if x.named and not x.inside and x.tag not in ("body", "article", "main"):
+            x.junk = True
+            if around[x] == body.inside:
+                doubtful.append(x)
+    if not doubtful:
+        return
+    for x in doubtful:
+        x.junk = False
+    order = densities(body)
+    weight: dict[Node, float] = {}
+    for x in order:
+        weight[x] = x.density + sum(weight[k] for k in x.kids if isinstance(k, Node) and not k.junk)
+    for x in doubtful:
+        x.junk = x not in weight or 2 * weight[x] <= weight[body]
+    for x in order:
+        x.chars = x.tags = x.link_chars = x.link_tags = 0
+
+
 def _blocks(top: Node, least: float, main: Node) -> list[str]:
     """Texts of the blocks below top in page order."""
     out, now = [], []
@@ -161,6 +193,7 @@ def main_text(page: str | None) -> str:
     """The text of the densest subtree of a page, a line for each block; empty for a page without text."""
     root = parse(page or "")
     body = next((k for k in root.kids if isinstance(k, Node) and k.tag == "body"), root)
+    drop_notices(body)
     order = densities(body)
     main = max(reversed(order), key=lambda x: x.total)  # the outermost of equals
     if main.total == 0:
