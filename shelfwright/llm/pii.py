@@ -3,8 +3,9 @@
 Base spans are four patterns with checks. Around each base span stands a context of `window` code points on
 either side. Over the whole corpus, a term's disclosure of a kind is its pointwise mutual information with
 that kind's contexts, as a share of the kind's own information (1: the term occurs in such contexts only).
-Terms that disclose more than `disclosure` and stand in enough different contexts become spans of kind
-"term" where they stand in a context; sanitising generalises base spans to their kind and such terms to
+It is taken at the lower confidence bound (Wilson's) of the term's share in such contexts, where copies of a
+context count once, so that few occurrences tell less at every table size. Terms that disclose more than
+`disclosure` become spans of kind "term" where they stand in a context; sanitising generalises base spans to their kind and such terms to
 [TERM], and removes terms above `removal`.
 """
 
@@ -101,7 +102,7 @@ def _contexts(text: Column, spans: Column, window: int) -> Column:
     return F.flatten(F.transform(spans, around))
 
 
-def find_spans(docs: DataFrame, *, window: int = 64, disclosure: float = 0.8, min_contexts: int = 5) -> DataFrame:
+def find_spans(docs: DataFrame, *, window: int = 64, disclosure: float = 0.8, z: float = 1.645) -> DataFrame:
     """doc_id, row_hash, base, terms for each row of docs(doc_id, text): arrays of (start, kind, end), and for terms how much they disclose.
 
     A null text counts as empty and has no spans; repeated rows get the same spans each; a null doc_id
@@ -118,9 +119,12 @@ def find_spans(docs: DataFrame, *, window: int = 64, disclosure: float = 0.8, mi
     words = materialize(words.join(pairs.select("term").distinct().withColumn("near", F.lit(True)), "term", "left").groupBy(F.when(F.col("near"), F.col("term")).alias("term")).agg(F.sum("n").alias("n")), "terms")
     total = words.agg(F.sum("n").alias("total"))
     by_kind = pairs.groupBy("kind").agg(F.sum("together").alias("of_kind"))  # four rows at most
-    shares = pairs.filter(F.col("contexts") >= min_contexts).join(F.broadcast(by_kind), "kind").join(words, "term").join(F.broadcast(total))
+    shares = pairs.join(F.broadcast(by_kind), "kind").join(words, "term").join(F.broadcast(total))
     own = F.log2(F.col("total") / F.col("of_kind"))
-    shares = shares.withColumn("discloses", F.when(own > 0, F.log2(F.col("together") * F.col("total") / (F.col("n") * F.col("of_kind"))) / own))
+    share = F.least(F.col("together") / F.col("n"), F.lit(1.0))
+    size = F.col("contexts") / share  # occurrences, with copies of a context counted once
+    least = (share + z * z / (2 * size) - z * F.sqrt(share * (1 - share) / size + z * z / (4 * size * size))) / (1 + z * z / size)
+    shares = shares.withColumn("discloses", F.when(own > 0, F.log2(least * F.col("total") / F.col("of_kind")) / own))
     telling = shares.filter(F.col("discloses") >= disclosure).select("kind", "term", "discloses")
     marked = (
         near.join(telling, ["kind", "term"]).groupBy("doc_id", "row_hash", "start", "end").agg(F.max("discloses").alias("discloses"))

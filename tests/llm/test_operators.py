@@ -77,6 +77,15 @@ def test_pii(spark):
     assert {r["text"] for r in sanitize(table(spark, rows)).collect()} == {"[EMAIL][EMAIL] é [PHONE]", "[IP], [CARD], 256.1.1.1", None}
 
 
+def test_pii_rare_terms(spark):
+    telling = "the Zebulon +1 (835) 555-6426 the"
+    for size in (20, 60):  # the same at both sizes, and with copies of a context that holds a frequent word
+        rows = [(i, "the house and the river " * 1000 + "quill") for i in range(size)] + [(100, telling)] + [(200 + i, "quill a@b.cd") for i in range(8)]
+        got = {r["doc_id"]: r["spans"] for r in pii_report(table(spark, rows)).collect()}
+        assert got[100] == "term:4:11,phone:12:29"
+        assert got[200] == "email:6:12"
+
+
 def test_quality(spark):
     got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality_rules(table(spark, [(1, "a b c\na b c\n é#"), (2, None)])).collect()}
     assert got == {1: (7, 8, 1, 1, 6, True), 2: (0, 0, 0, 0, 0, True)}
