@@ -3,11 +3,14 @@
 1. Each document's distinct shingles are hashed to 64 bits; `bands` x `rows` minima give the band keys, and
    the minima are folded into a parity bitmap (odd sketch).
 2. Documents with the same set form an exact group; its smallest id stands for it.
-3. In each bucket (equal band key) every member is held against the bucket's smallest id: sizes, then the
-   similarity that the XOR of the sketches estimates, then the full sets. The confirmed links make components.
-4. Buckets that still hold several components are chained into groups, these are cut into blocks, and every
-   pair of blocks is searched by sketch, then on full sets, for links between different components. So no
-   pair that shares a bucket goes unseen unless both are linked already.
+3. The smallest id of a bucket (equal band key) is its hub. Each document is held against one hub, the
+   smallest of its buckets: sizes, then the similarity that the XOR of the sketches estimates, then the full
+   sets. The confirmed links make components.
+4. In buckets that still hold several components, each document is held against one hub of each other
+   component, in the same way.
+5. Buckets that hold several components even then are chained into groups, these are cut into blocks, and
+   every pair of blocks is searched by sketch, then on full sets, for links between different components. So
+   no pair that shares a bucket goes unseen unless both are linked already.
 With 40 bands of 6 rows a pair at similarity 0.8 shares no bucket once in 190 000 times.
 """
 
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from .shared import materialize, small_batches
 
 BANDS, ROWS, SKETCH_BITS = 40, 6, 1024
-#: Documents of a block in step 4.
+#: Documents of a block in step 5.
 BLOCK = 1024
+#: Parts that the documents of one hub are dealt to.
+SALTS = 1024
 #: Hash slots of ids that are broadcast before texts are fetched: at most so many longs, 4 MB.
 SLOTS = 1 << 19
 
@@ -114,7 +119,7 @@ def _confirmed(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             keep = []
-            for x, y in zip(rows["sa"], rows["sb"], strict=True):
+            for x, y in zip(rows["a_shingles"], rows["b_shingles"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
@@ -134,12 +139,30 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot").join(ids, "doc_id", "left_semi")
 
 
+def _both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """pairs(a, b) with the columns of facts(id, ...) for both ends, marked a_ and b_.
+
+    A hub's pairs are dealt by salt, and its facts go once to each salt that occurs: so no task gets all
+    documents of a large group, and no more copies are made than there are pairs.
+    """
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    end = lambda x: facts.select(*[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in facts.columns])
+    hubs = salted.select("a", "salt").distinct().join(end("a"), "a")
+    return salted.join(end("b"), "b").join(hubs, ["a", "salt"])
+
+
+def likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose sizes and odd sketches allow the similarity."""
+    both = _both(pairs, heads.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"))
+    sizes = 100 * F.least("a_n_shingles", "b_n_shingles") >= percent * F.greatest("a_n_shingles", "b_n_shingles")
+    return materialize(both.filter(sizes & (_odd_bits(F.col("a_sketch"), F.col("b_sketch")) <= most_odd_bits(percent / 100))).select("a", "b").distinct(), "likely")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of pairs(a, b) whose full sets are similar enough. Each set goes to the pairs that name it."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = _only(docs.select("doc_id", "text"), materialize(needed, "needed")).mapInPandas(_sets(size), "id long, shingles binary")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    return materialize(both.mapInPandas(_confirmed(percent), "a long, b long").distinct(), "links")
+    return materialize(_both(pairs, sets).mapInPandas(_confirmed(percent), "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,20 +208,38 @@ def _linked(most: int, percent: int):
     return run
 
 
-def _rest(buckets: DataFrame, comps: DataFrame, facts: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links that join components which share a bucket: buckets that hold several are chained into groups, and each group is searched by pairs of blocks."""
-    placed = buckets.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "hub", "doc_id", F.coalesce("label", "doc_id").alias("comp"))
+def _placed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """buckets(key, hub, doc_id) with comp, the component of doc_id."""
+    return materialize(buckets.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "hub", "doc_id", F.coalesce("label", "doc_id").alias("comp")), "placed")
+
+
+def _other_hubs(placed: DataFrame) -> DataFrame:
+    """pairs(a, b) of each document with one hub of each other component that its buckets lead to."""
+    hubs = placed.filter("doc_id = hub").select("key", F.col("comp").alias("hub_comp")).distinct()
+    found = placed.join(hubs, "key").filter("comp <> hub_comp").groupBy("doc_id", "hub_comp").agg(F.min("hub").alias("a"))
+    return materialize(found.select("a", F.col("doc_id").alias("b")), "hubs")
+
+
+def _rest(placed: DataFrame, heads: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that join components which share a bucket: buckets that hold several are chained into groups, and
+    each group is searched by pairs of blocks, but for pairs within the component that most of its documents have."""
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key")
-    placed = materialize(placed.join(mixed, "key", "left_semi").select("hub", "doc_id", "comp").distinct(), "placed")
+    placed = materialize(placed.join(mixed, "key", "left_semi").select("hub", "doc_id", "comp").distinct(), "mixed")
     chained = components(placed.filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))).select(F.col("id").alias("doc_id"), F.col("label").alias("chain"))
     members = materialize(chained.join(placed.select("doc_id", "comp").distinct(), "doc_id"), "members")
-    sizes = members.groupBy("chain").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = members.groupBy("chain", "comp").agg(F.count("*").alias("n")).groupBy("chain").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"))
+    sizes = sizes.select("chain", F.col("most.comp").alias("major"), parts(F.col("n") - F.col("most.n")).alias("minors"), parts(F.col("most.n")).alias("majors"))
     texts = _only(rows, members.select("doc_id")).mapInPandas(_sets(size), "id long, shingles binary").distinct()
     same = (F.col("id") == F.col("doc_id")) & (F.length("shingles") == 8 * F.col("n_shingles"))
-    full = members.join(sizes, "chain").join(facts, "doc_id").join(texts, same).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    full = members.join(sizes, "chain").join(heads.select("doc_id", "n_shingles", "sketch"), "doc_id").join(texts, same)
+    # blocks of the other components come first; those of the largest one meet only them
+    of_major, slot = F.col("comp") == F.col("major"), F.xxhash64("doc_id")
+    full = full.withColumn("block", F.when(of_major, F.col("minors") + F.pmod(slot, F.col("majors"))).otherwise(F.pmod(slot, F.col("minors"))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("minors") + F.when(of_major, 0).otherwise(F.col("majors")) - 1)
+    pairs = full.withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     columns = ["chain", "i", "j", "block", "doc_id", "comp", "n_shingles", "sketch", "shingles"]
-    return pairs.select(*columns).groupBy("chain", "i", "j").applyInPandas(_linked(most_odd_bits(percent / 100), percent), "a long, b long")
+    return materialize(pairs.select(*columns).groupBy("chain", "i", "j").applyInPandas(_linked(most_odd_bits(percent / 100), percent), "a long, b long").distinct(), "rest")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
@@ -216,16 +257,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     keys = heads.select("doc_id", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     buckets = materialize(keys.join(hubs, "key"), "buckets")
-    facts = heads.select("doc_id", "n_shingles", "sketch")
-    most = most_odd_bits(percent / 100)
-    side = lambda name: facts.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("sketch").alias(f"k{name}"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_odd_bits(F.col("ka"), F.col("kb")) <= most)
-    stars = buckets.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = materialize(stars.join(side("b"), "b").join(side("a"), "a").filter(fits).select("a", "b").distinct(), "stars")
-    links = confirm(stars, rows, size, percent)
+    first = materialize(buckets.groupBy("doc_id").agg(F.min("hub").alias("a")).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")), "hubs")
+    links = confirm(likely(first, heads, percent), rows, size, percent)
+    placed = _placed(buckets, components(links))
+    links = links.unionByName(confirm(likely(_other_hubs(placed), heads, percent), rows, size, percent))
     comps = components(links)
-    rest = materialize(_rest(buckets, comps, facts, rows, size, percent).distinct(), "rest")
-    if rest.limit(1).count():
+    rest = _rest(_placed(buckets, comps), heads, rows, size, percent)
+    if not rest.isEmpty():
         comps = components(links.unionByName(rest))
     found = signed.select("doc_id", "n_shingles", "h1", "h2").join(groups, ["h1", "h2"], "left").join(comps.select(F.col("id").alias("rep"), "label"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
