@@ -2,8 +2,9 @@
 
 Documents become pieces of at most `size` tokens. Pieces are dealt to shards; each shard is packed by
 best-fit decreasing and its bin count is held against a lower bound from dual-feasible functions. Shards
-whose count is above their bound exchange: their pieces are pooled, dealt anew over half as many shards
-and packed again, and the new packing stands where it needs fewer bins in all.
+whose count is above their bound exchange: what lies in their bins with room is pooled, dealt anew over as
+many shards as the pool needs and packed again, and the new packing stands where it needs fewer bins in all.
+Their full bins stay, and are certified: no packing of what they hold needs fewer.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .shared import materialize, small_batches
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; above it the words are forgotten and found again.
 CACHE_WORDS = 1_000_000
-#: Pieces that a shard has on average, and at most after exchanges.
+#: Pieces that a shard has on average.
 SHARD_PIECES = 100_000
 #: A full stop or comma after a letter at the end of a word is a token of its own.
 _MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,](?:[ \t\n\r\f\v]|$))")
@@ -141,14 +142,19 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(items: DataFrame, size: int) -> DataFrame:
-    """items(doc_id, piece, start, length, ids_crc32, shard) with bin, offset, and the shard's bins and bound."""
+    """items(doc_id, piece, start, length, ids_crc32, shard) with bin, offset, whether the bin is full, and the shard's bins, full bins and bound.
+
+    Pieces of equal length are taken by id, piece and ids, so that the packing doesn't hang on the order of rows.
+    """
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
         lengths = rows["length"].to_numpy(np.int64)
         bins, offsets = best_fit(lengths, size)
-        return rows.assign(bin=bins, offset=offsets, bins=int(bins.max()) + 1, bound=lower_bound(lengths, size))
+        full = np.bincount(bins, lengths).astype(np.int64) == size
+        return rows.assign(bin=bins, offset=offsets, full=full[bins], bins=len(full), full_bins=int(full.sum()), bound=lower_bound(lengths, size))
 
-    return items.groupBy("shard").applyInPandas(pack, f"{PIECES}, shard long, bin long, offset long, bins long, bound long")
+    return items.groupBy("shard").applyInPandas(pack, f"{PIECES}, shard long, bin long, offset long, full boolean, bins long, full_bins long, bound long")
 
 
 def best_fit_packing(docs: DataFrame, *, size: int = 2048, tokenizer: str = TOKENIZER, shard_pieces: int = SHARD_PIECES, exchanges: int = 3) -> DataFrame:
@@ -163,17 +169,17 @@ def best_fit_packing(docs: DataFrame, *, size: int = 2048, tokenizer: str = TOKE
     deal = lambda df, n, salt: df.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(salt)), F.lit(n)))
     packed = materialize(_pack(deal(held, shards, 0), size), "packed").withColumn("round", F.lit(0))
     done, now = [], packed
+    gap = F.col("bins") > F.col("bound")
     for turn in range(1, exchanges + 1):
-        gap = F.col("bins") > F.col("bound")
-        state = now.filter(gap).select("shard", "bins").distinct().agg(F.count("*").alias("n"), F.sum("bins").alias("bins")).first()
+        state = now.filter(gap).groupBy("shard").agg(F.first("bins").alias("bins"), F.first("full_bins").alias("full"), F.count(F.when(~F.col("full"), 1)).alias("pool")).agg(F.count("*").alias("n"), F.sum(F.col("bins") - F.col("full")).alias("open"), F.sum("pool").alias("pool")).first()
         if state["n"] < 2:
             break
-        pool = now.filter(gap).select(*held.columns)
-        again = materialize(_pack(deal(pool, max(1, state["n"] // 2), turn), size), "repacked").withColumn("round", F.lit(turn))
-        need = again.select("shard", "bins").distinct().agg(F.sum("bins")).first()[0]
-        if need >= state["bins"]:
+        pool = now.filter(gap & ~F.col("full")).select(*held.columns)
+        again = materialize(_pack(deal(pool, math.ceil(state["pool"] / shard_pieces), turn), size), "repacked").withColumn("round", F.lit(turn))
+        need = again.groupBy("shard").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()[0]
+        if need >= state["open"]:
             break
-        done.append(now.filter(~gap))
+        done += [now.filter(~gap), now.filter(gap & F.col("full")).withColumn("bins", F.col("full_bins")).withColumn("bound", F.col("full_bins"))]
         now = again
     for part in done:
         now = now.unionByName(part)
