@@ -185,6 +185,10 @@ def pii_report(docs: DataFrame, **settings) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(every)).alias("spans"))
 
 
+def blocks_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
 def _piece(blocks: Column, a: Column, b: Column) -> Column:
     """Code points a to b of a text in blocks."""
     i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
@@ -210,7 +214,7 @@ def sanitize(docs: DataFrame, *, removal_bits: float = 0.75, **settings) -> Data
     cuts = cuts.groupBy("rid").agg(F.array_sort(F.collect_list(kept)).alias("cuts"), F.max("end").alias("rest")).select(F.col("rid").alias("_id"), F.struct("cuts", "rest").alias("_cuts"))
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     parts = lambda b: F.array_join(F.transform("_cuts.cuts", lambda c: F.concat(_piece(b, c["at"], c["start"]), c["put"])), "")
-    done = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda b: F.concat(parts(b), _piece(b, F.col("_cuts.rest"), F.length(text))))
+    done = _let(blocks_of(text), lambda b: F.concat(parts(b), _piece(b, F.col("_cuts.rest"), F.length(text))))
     keyed = docs.select(F.struct("*").alias("row")).withColumn("_rid", _row_id(F.col("row.doc_id").cast("long"), text))
     joined = keyed.join(cuts, F.col("_rid") == F.col("_id"), "left")
     return joined.select(F.col("row").withField("text", F.when(F.col("_cuts").isNotNull(), done).otherwise(F.col("row.text"))).alias("row")).select("row.*")
