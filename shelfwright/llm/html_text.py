@@ -3,8 +3,9 @@
 A page becomes a tree of elements. The density of a node is its characters per tag, adjusted for the
 characters and tags that lie in links; its density sum is that of its children. Below the body the node
 with the greatest density sum is the main subtree, and nodes of it that are less dense than the threshold
-(the least density on the path from the body to it) and no text blocks go. Elements whose class, id or role
-names a notice (ads, comments, a sidebar) count for nothing, unless they hold the page's text.
+(the least density on the path from the body to it) and no text blocks go. Elements whose tag, class, id or
+role tells of a notice (menus, ads, comments, a sidebar) weigh little in these sums and against the threshold,
+unless they hold the page's text: names weigh, densities decide. Only what a browser doesn't show is no text.
 """
 
 from __future__ import annotations
@@ -27,77 +28,110 @@ BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 TEXT_BLOCK = set("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
-DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "template", "object", "canvas", "audio", "video", "map"} | RAW
+UNSEEN = {"head", "select", "svg", "template", "object", "canvas", "audio", "video", "map"} | RAW
+NOTICE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"}
+IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
 SCOPE = {"div", "article", "section", "main", "body", "td", "th", "table", "blockquote", "aside", "nav", "header", "footer", "form", "li"}
 _NOTICE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|toolbar|comments?|commentlist|disqus|replies|respond|related|recommended|share|sharing|social|widget|login|search|pagination|pager)(?=$|[\s_-]|\d)", re.I)
 #: A name that tells only what an element has or lacks.
 _ABOUT = re.compile(r"(?:^|(?<=\s))(?:\S*[_-])?(?:has|have|no|not|with|without)[_-]\S*", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: What a notice weighs.
+LIGHT = 0.02
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "junk", "named", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "junk", "named", "weight", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, junk: bool, named: bool = False):
-        self.tag, self.parent, self.kids, self.junk, self.named = tag, parent, [], junk, named
+    def __init__(self, tag: str, parent: Node | None, junk: bool = False, named: bool = False):
+        self.tag, self.parent, self.kids, self.junk, self.named, self.weight = tag, parent, [], junk, named, 1.0
         self.inside = 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; text stands as strings among the children. Unclosed elements end with their parents, a paragraph before the next block."""
-    root = node = Node("html", None, False)
+class Open:
+    """The open elements of a page, with the depths of each tag's, so that none has to be searched for."""
+
+    def __init__(self, root: Node):
+        self.stack, self.depths = [root], {root.tag: [0]}
+
+    def deepest(self, *tags: str) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, depth: int) -> None:
+        """Closes the element at a depth and all below it."""
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().tag].pop()
+
+
+#: The elements that a cell, an item or a term ends, by its tag.
+ENDS = {"li": ("li",), "tr": ("tr",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+
+
+def parse(page: str) -> tuple[Node, Node]:
+    """The tree of a page and its body; text stands as strings among the children.
+
+    Unclosed elements end with their parents, a paragraph before the next block, a head before what can't
+    stand in it. Of several bodies there is one, that goes on to the page's end; without any the root is it.
+    """
+    root = body = Node("html", None)
+    now = Open(root)
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
+        text = page[at : m.start()] if m else page[at:]
+        if text:
+            if now.stack[-1].tag == "head" and text.strip():
+                now.close(now.deepest("head"))
+            now.stack[-1].kids.append(text)
         if not m:
-            node.kids.append(page[at:])
             break
-        if m.start() > at:
-            node.kids.append(page[at : m.start()])
         at = m.end() if m.end() > m.start() else m.end() + 1
         name = (m[2] or "").lower()
-        if not name:
+        if not name or name == "html":
+            continue
+        if m[1]:  # an end tag closes the nearest open element of its name; an inline one not beyond the block around it
+            depth = now.deepest(name)
+            if depth > 0 and name != "body" and (name in BLOCK or depth > now.deepest(*(SCOPE - {name}))):
+                now.close(depth)
             continue
-        if m[1]:  # an end tag closes the nearest open element of its name
-            x = node
-            while x.parent and x.tag != name and not (name not in BLOCK and x.tag in SCOPE):
-                x = x.parent
-            if x.tag == name and x.parent:
-                node = x.parent
+        if name not in IN_HEAD and name != "head" and now.deepest("head") >= 0:
+            now.close(now.deepest("head"))
+        if name == "body":
+            if body is root:
+                now.close(1)
+                body = Node("body", root)
+                root.kids.append(body)
+                now.push(body)
             continue
-        if name in ("html", "body"):
-            if name == "body" and node is not root:
-                while node.parent:
-                    node = node.parent
-            if name == "html":
-                continue
         attrs = m[3] or ""
         if name in BLOCK:  # a new block ends an open paragraph, and the inline elements that were left open in it
-            x = node
-            while x.parent and x.tag not in SCOPE and x.tag not in ("p", "ul", "ol", "dl", "tr"):
-                x = x.parent
-            if x.tag == "p" or (x is not node and x.tag in SCOPE and name in TEXT_BLOCK):
-                node = x.parent if x.tag == "p" else x
-            if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                pair = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-                x = node
-                while x.parent and x.tag not in (*pair, "ul", "ol", "dl", "table"):
-                    x = x.parent
-                if x.tag in pair:
-                    node = x.parent
-        junk = name in DROPPED or bool(_HIDDEN.search(attrs))
-        kid = Node(name, node, junk, any(_NOTICE.search(_ABOUT.sub("", v)) for found in _NAMED.findall(attrs) for v in found if v))
-        node.kids.append(kid)
+            p, scope = now.deepest("p", "ul", "ol", "dl", "tr"), now.deepest(*SCOPE)
+            if p > scope and now.stack[p].tag == "p":
+                now.close(p)
+            elif scope >= p and scope > 0 and name in TEXT_BLOCK:
+                now.close(scope + 1)
+        if name in ENDS:
+            depth = now.deepest(*ENDS[name])
+            if depth > now.deepest("ul", "ol", "dl", "table"):
+                now.close(depth)
+        junk = name in UNSEEN or bool(_HIDDEN.search(attrs))
+        named = name in NOTICE or any(_NOTICE.search(_ABOUT.sub("", v)) for found in _NAMED.findall(attrs) for v in found if v)
+        kid = Node(name, now.stack[-1], junk, named)
+        kid.parent.kids.append(kid)
         if name in RAW:  # up to its own end tag, whatever stands there
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
         elif name not in VOID and not attrs.endswith("/"):
-            node = kid
-    return root
+            now.push(kid)
+    return root, body
 
 
 def _post_order(root: Node) -> list[Node]:
@@ -129,36 +163,31 @@ def densities(body: Node) -> list[Node]:
         plain = max(x.chars - x.link_chars, 1)
         base = math.log(x.chars / plain * x.link_chars + share * x.chars + math.e)
         x.density = x.chars / tags * math.log(max(x.chars / link_chars * tags / link_tags, 1)) / base if x.chars else 0.0
-        x.total = sum(k.density for k in x.kids if isinstance(k, Node) and not k.junk)
+        x.total = sum(k.weight * k.density for k in x.kids if isinstance(k, Node) and not k.junk)
     return order
 
 
-def drop_notices(body: Node) -> None:
-    """Marks the elements below the body that are named as notices as junk, but for those that hold an article or main, or most of the density where no article or main stands elsewhere."""
-    order, doubtful = _post_order(body), []
+def weigh(body: Node) -> list[Node]:
+    """Sets densities and weights below the body; gives its nodes, children first.
+
+    Notices are light, but for those that hold an article or main, or most of the density where no article or
+    main stands elsewhere.
+    """
+    order = densities(body)
+    around, sums = {body: 0}, {}
     for x in order:
-        x.inside = sum(k.inside + (k.tag in ("article", "main") and not k.named) for k in x.kids if isinstance(k, Node) and not k.junk)
-    around = {body: 0}
+        kids = [k for k in x.kids if isinstance(k, Node) and not k.junk]
+        x.inside = sum(k.inside + (k.tag in ("article", "main") and not k.named) for k in kids)
+        sums[x] = x.density + sum(sums[k] for k in kids)
     for x in reversed(order):  # parents first
         for k in x.kids:
             if isinstance(k, Node):
                 around[k] = around[x] + (x is not body and x.tag in ("article", "main") and not x.named)
-        if x.named and not x.inside and x.tag not in ("body", "article", "main"):
-            x.junk = True
-            if around[x] == body.inside:
-                doubtful.append(x)
-    if not doubtful:
-        return
-    for x in doubtful:
-        x.junk = False
-    order = densities(body)
-    weight: dict[Node, float] = {}
-    for x in order:
-        weight[x] = x.density + sum(weight[k] for k in x.kids if isinstance(k, Node) and not k.junk)
-    for x in doubtful:
-        x.junk = x not in weight or 2 * weight[x] <= weight[body]
+        if x.named and not x.inside and x is not body and x.tag not in ("article", "main"):
+            x.weight = 1.0 if around[x] == body.inside and 2 * sums[x] > sums[body] else LIGHT
     for x in order:
-        x.chars = x.tags = x.link_chars = x.link_tags = 0
+        x.total = sum(k.weight * k.density for k in x.kids if isinstance(k, Node) and not k.junk)
+    return order
 
 
 def _blocks(top: Node, least: float, main: Node) -> list[str]:
@@ -180,7 +209,7 @@ def _blocks(top: Node, least: float, main: Node) -> list[str]:
             now.append(x)
         elif x.tag == "br":
             now.append(" ")
-        elif not x.junk and not (x.tag in BLOCK and x.tag not in TEXT_BLOCK and x is not main and x.density < least and x.link_chars * 2 > x.chars):
+        elif not x.junk and not (x is not main and x.weight * x.density < least and (x.weight < 1 or x.tag in BLOCK - TEXT_BLOCK and x.link_chars * 2 > x.chars)):
             if x.tag in BLOCK:
                 end()
                 todo.append(None)
@@ -191,11 +220,12 @@ def _blocks(top: Node, least: float, main: Node) -> list[str]:
 
 def main_text(page: str | None) -> str:
     """The text of the densest subtree of a page, a line for each block; empty for a page without text."""
-    root = parse(page or "")
-    body = next((k for k in root.kids if isinstance(k, Node) and k.tag == "body"), root)
-    drop_notices(body)
-    order = densities(body)
-    main = max(reversed(order), key=lambda x: x.total)  # the outermost of equals
+    _, body = parse(page or "")
+    order = weigh(body)
+    weight = {body: 1.0}
+    for x in reversed(order[:-1]):  # parents first: a light element makes all that it holds light
+        weight[x] = weight[x.parent] * x.weight
+    main = max(reversed(order), key=lambda x: weight[x] * x.total)  # the outermost of equals
     if main.total == 0:
         main = body
     while main.tag in TEXT_BLOCK and main.parent and main is not body:
