@@ -228,7 +228,7 @@ def main_text(page: str | None) -> str:
     main = max(reversed(order), key=lambda x: weight[x] * x.total)  # the outermost of equals
     if main.total == 0:
         main = body
-    while main.tag in TEXT_BLOCK and main.parent and main is not body:
+    while main.tag in TEXT_BLOCK and main is not body and not any(isinstance(k, Node) and k.tag in BLOCK for k in main.kids):
         main = main.parent
     path, x = [main.density], main
     while x is not body and x.parent:
