@@ -2,16 +2,17 @@
 
 Rules are regexes over the lower-cased words joined by single blanks. Each rule names keywords, one of which
 must be a part of the text before it is tried. Detections are resolved in order of priority, then length,
-then place: one that lies inside an interval already kept is suppressed, unless its label and the keeper's
-are the same family's base phrase. The base phrases are rules of the lowest order that always stay.
+then place: one that lies inside an interval already kept is suppressed. Base phrases always stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ FAMILIES: list[tuple[str, str, str, str]] = [
     ("lgpl", r"gnu (?:lesser|library) general public license", r"lgpl", r"this library is free software you can redistribute it and or modify it"),
     ("agpl-3.0", r"gnu affero general public license(?: version| v)?(?: 3(?: 0)?)?", r"agpl ?(?:v ?)?3(?: 0)?(?: only| or later)?", r"remote network interaction use with the gnu general public license"),
     ("bsd-3-clause", r"(?:new|modified|revised|3 clause) bsd", r"bsd 3 clause", r"neither the name of [a-z0-9 ]{1,80}? nor the names of its contributors may be used"),
-    ("bsd-2-clause", r"(?:simplified|freebsd|2 clause)(?: bsd)?", r"bsd 2 clause", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-2-clause", r"(?:simplified|2 clause) bsd|freebsd", r"bsd 2 clause", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-4-clause", r"(?:original|4 clause) bsd", r"bsd 4 clause", r"all advertising materials mentioning features or use of this software must display"),
     ("0bsd", r"zero clause bsd", r"0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", r"isc", r"isc", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
@@ -92,6 +93,71 @@ NOTICES: list[tuple[str, str, str]] = [
     ("proprietary", r"(?:confidential and proprietary|proprietary and confidential|unauthorized (?:copying|use) (?:\w+ ){0,6}?(?:is )?strictly prohibited)", "proprietary|prohibited"),
 ]
 
+#: Passages and addresses of single licenses: label, weight, pattern. Each holds its rule's keyword.
+PASSAGES: list[tuple[str, float, str]] = [
+    ("mit", 0.9, r"(?:www )?opensource org licenses mit(?: license)?(?: php)?"),
+    ("mit", 0.8, r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions"),
+    ("mit", 0.5, r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("apache-2.0", 0.9, r"(?:www )?apache org licenses license 2 0(?: txt| html)?"),
+    ("apache-2.0", 0.8, r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", 0.9, r"apache license version 2 0 january 2004"),
+    ("gpl-3.0", 0.9, r"(?:www )?gnu org licenses (?:old licenses )?gpl (?:v3|3 0)(?: en)?(?: html| txt)?"),
+    ("gpl-2.0", 0.9, r"(?:www )?gnu org licenses (?:old licenses )?gpl (?:v2|2 0)(?: en)?(?: html| txt)?"),
+    ("gpl-3.0", 0.9, r"gnu general public license version 3 29 june 2007"),
+    ("gpl-2.0", 0.9, r"gnu general public license version 2 june 1991"),
+    ("gpl", 0.8, r"you should have received a copy of the gnu general public license along with"),
+    ("gpl", 0.6, r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
+    ("gpl", 0.8, r"under the same terms as (?:the )?gnu (?:emacs|gcc|general public license)"),
+    ("lgpl-3.0", 0.9, r"(?:www )?gnu org licenses (?:old licenses )?lgpl (?:v3|3 0)(?: en)?(?: html| txt)?"),
+    ("lgpl-2.1", 0.9, r"(?:www )?gnu org licenses (?:old licenses )?lgpl (?:v2 1|2 1)(?: en)?(?: html| txt)?"),
+    ("lgpl", 0.8, r"you should have received a copy of the gnu (?:lesser|library) general public license along with"),
+    ("lgpl-2.1", 0.9, r"gnu lesser general public license version 2 1 february 1999"),
+    ("agpl-3.0", 0.9, r"(?:www )?gnu org licenses agpl (?:v3|3 0)(?: en)?(?: html| txt)?"),
+    ("agpl-3.0", 0.8, r"you should have received a copy of the gnu affero general public license along with"),
+    ("agpl-3.0", 0.9, r"gnu affero general public license version 3 19 november 2007"),
+    ("bsd-3-clause", 0.9, r"(?:www )?opensource org licenses bsd 3 clause"),
+    ("bsd-2-clause", 0.9, r"(?:www )?opensource org licenses bsd 2 clause"),
+    ("bsd-3-clause", 0.7, r"may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-2-clause", 0.5, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2-clause", 0.5, r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-4-clause", 0.8, r"this product includes software developed by the university of california berkeley and its contributors"),
+    ("isc", 0.9, r"(?:www )?opensource org licenses isc(?: license)?(?: txt)?"),
+    ("isc", 0.6, r"the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("mpl-2.0", 0.9, r"(?:www )?mozilla org mpl 2 0"),
+    ("mpl-1.1", 0.9, r"(?:www )?mozilla org mpl mpl 1 1(?: html| txt)?"),
+    ("mpl-2.0", 0.8, r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl-1.0", 0.9, r"(?:www )?eclipse org legal epl v10(?: html)?"),
+    ("epl-2.0", 0.9, r"(?:www )?eclipse org legal epl (?:2 0|v20)(?: html)?"),
+    ("cddl-1.0", 0.9, r"(?:www )?opensource org licenses cddl ?1(?: 0)?(?: php)?"),
+    ("cddl-1.0", 0.7, r"you can obtain a copy of the license at [a-z0-9 ]{1,80}? cddl"),
+    ("artistic-2.0", 0.9, r"(?:www )?(?:opensource org licenses|perlfoundation org) artistic(?: license)? 2 0(?: php)?"),
+    ("artistic-1.0", 0.6, r"under the same terms as perl itself"),
+    ("zlib", 0.7, r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", 0.6, r"this notice may not be removed or altered from any source distribution"),
+    ("bsl-1.0", 0.9, r"(?:www )?boost org license 1 0 txt"),
+    ("unlicense", 0.9, r"for more information please refer to https? (?:www )?unlicense org"),
+    ("wtfpl", 0.9, r"0 you just do what the fuck you want to"),
+    ("cc0-1.0", 0.9, r"creativecommons org publicdomain zero 1 0"),
+    ("cc-by-4.0", 0.9, r"creativecommons org licenses by 4 0"),
+    ("cc-by-3.0", 0.9, r"creativecommons org licenses by 3 0"),
+    ("cc-by-sa-4.0", 0.9, r"creativecommons org licenses by sa 4 0"),
+    ("cc-by-sa-3.0", 0.9, r"creativecommons org licenses by sa 3 0"),
+    ("cc-by-nc-4.0", 0.9, r"creativecommons org licenses by nc 4 0"),
+    ("cc-by-nc-sa-4.0", 0.9, r"creativecommons org licenses by nc sa 4 0"),
+    ("cc-by-nd-4.0", 0.9, r"creativecommons org licenses by nd 4 0"),
+    ("cc-by-nc-nd-4.0", 0.9, r"creativecommons org licenses by nc nd 4 0"),
+    ("ofl-1.1", 0.9, r"scripts sil org ofl"),
+    ("ofl-1.1", 0.7, r"this license becomes null and void if any of the above conditions are not met"),
+    ("odbl-1.0", 0.9, r"opendatacommons org licenses odbl(?: 1 0)?"),
+    ("python-2.0", 0.8, r"psf is making python available to licensee on an as is basis"),
+    ("php-3.01", 0.9, r"(?:www )?php net license 3 01(?: txt)?"),
+    ("postgresql", 0.8, r"in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages"),
+    ("openssl", 0.8, r"the names openssl toolkit and openssl project must not be used to endorse or promote products"),
+    ("eupl-1.2", 0.9, r"joinup ec europa eu [a-z0-9 ]{0,40}?eupl"),
+    ("ncsa", 0.8, r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software"),
+    ("beerware", 0.8, r"as long as you retain this notice you can do whatever you want with this stuff"),
+]
+
 _WORDS = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -133,6 +199,8 @@ def build_rules() -> list[Rule]:
             rules.append(Rule(order, label, weight, re.compile(r"(?:(?<= )|^)" + template.format(id=f"(?:{ident})", name=name, text=text)), (keyword or _longest_word(text),), words if keyword else ("",)))
         if "license" in name:  # a name of its own, without a phrase around it
             rules.append(Rule(5, label, 0.6, re.compile(rf"(?:(?<= )|^)(?:{name})(?= |$)"), _own_keywords(name), words))
+    for label, weight, pattern in PASSAGES:
+        rules.append(Rule(3, label, weight, re.compile(rf"(?:(?<= )|^)(?:{pattern})(?= |$)"), (_longest_word(re.sub(r"\(\?:[^()]*\)\??|\[[^]]*\]\S*|[a-z]\?", "|", pattern)),)))
     for label, pattern, keyword in NOTICES:
         rules.append(Rule(6, label, 0.3, re.compile(r"(?:(?<= )|^)(?:" + pattern + r")(?= |$)"), tuple(keyword.split("|"))))
     return sorted(rules, key=lambda r: r.order)
@@ -160,12 +228,34 @@ def detections(line: str) -> list[tuple[int, int, Rule]]:
         if any(k in line for k in rule.keywords) and any(w in padded for w in rule.family):
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(line) if m.end() > m.start()]
     kept: list[tuple[int, int, Rule]] = []
+    reach = Reach(sorted({a for a, _, _ in found}))
     for a, b, rule in sorted(found, key=lambda x: (x[2].order, x[0] - x[1], x[0], x[2].label)):
-        if not any(c <= a and b <= d for c, d, _ in kept):
+        if reach.to(a) < b:  # no interval already kept holds it
             kept.append((a, b, rule))
+            reach.add(a, b)
     return sorted(kept, key=lambda x: (x[0], x[1], x[2].label))
 
 
+class Reach:
+    """The greatest end of the intervals added that start at a place or before it, in logarithmic time."""
+
+    def __init__(self, starts: list[int]):
+        self.starts, self.ends = starts, [0] * (len(starts) + 1)
+
+    def to(self, start: int) -> int:
+        k, most = bisect_right(self.starts, start), 0
+        while k:
+            most = max(most, self.ends[k])
+            k &= k - 1
+        return most
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect_right(self.starts, start)
+        while k < len(self.ends):
+            self.ends[k] = max(self.ends[k], end)
+            k += k & -k
+
+
 def scan(text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans of a text."""
     raw = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS)
@@ -173,12 +263,14 @@ def scan(text: str | None) -> tuple:
     line = b" ".join(words).decode("utf-8", "surrogatepass")
     if not may_match(line):
         return len(words), 0, None, None, "", "", 0.0, ""
+    blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
+    word_at = lambda at: int(np.searchsorted(blanks, at))  # noqa: E731  words before a place
     places, base = [], set()
     for phrase, label in BASE.items():
         at = line.find(phrase)
         while at >= 0:
             if (at == 0 or line[at - 1] == " ") and line[at + len(phrase) : at + len(phrase) + 1] in ("", " "):
-                places.append(line.count(" ", 0, at))
+                places.append(word_at(at))
                 base.add(label)
             at = line.find(phrase, at + 1)
     kept = detections(line)
@@ -186,7 +278,7 @@ def scan(text: str | None) -> tuple:
     miss = 1.0
     for _, _, r in kept:
         miss *= 1 - r.weight
-    spans = ",".join(f"{r.label}:{line.count(' ', 0, a)}:{line.count(' ', 0, b) + 1}" for a, b, r in kept)
+    spans = ",".join(f"{r.label}:{word_at(a)}:{word_at(b) + 1}" for a, b, r in kept)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), max(1 - miss, 0.8 if base else 0.0), spans
 
 
