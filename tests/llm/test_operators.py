@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from shelfwright.llm.html_text import main_text
-from shelfwright.llm.licenses import FAMILIES, RULES, license_scan, scan
+from shelfwright.llm.licenses import FAMILIES, PASSAGES, RULES, license_scan, may_match, scan
 from shelfwright.llm.packing import best_fit, best_fit_packing, lower_bound
 from shelfwright.llm.pii import pii_report, sanitize
 from shelfwright.llm.quality import keep_clean, quality_rules
@@ -135,7 +135,7 @@ def test_licenses(text, base, labels):
 def test_licenses_without_prefilter():
     alone = {
         "This project is released under Apache 2.0": "apache-2.0", "distributed under the MIT": "mit", "available under CC BY 4.0": "cc-by-4.0", "released under the BSD 3-clause": "bsd-3-clause", "published under MPL 2.0": "mpl-2.0",
-        "altered source versions must be plainly marked as such": "zlib", "published under the modified BSD": "bsd-3-clause", "provided under the zero clause BSD": "0bsd", "nothing to see here, under the new source": "",
+        "altered source versions must be plainly marked as such": "zlib", "published under the modified BSD": "bsd-3-clause", "this simplified license form": "", "see https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa-4.0", "provided under the zero clause BSD": "0bsd", "nothing to see here, under the new source": "",
     }
     assert {t: scan(t)[5] for t in alone} == alone
     plain = lambda x: re.sub(r"\(\?:[^()]*\)\?|[a-z ]\?|\(\?:|\)|\[cs\]", lambda m: "c" if m[0] == "[cs]" else "", x)
@@ -149,6 +149,25 @@ def test_licenses_without_prefilter():
         assert {r.label for *_, r in kept} | set(filter(None, scan(line)[4].split(","))) == set(filter(None, scan(line)[5].split(","))), line
 
 
+def test_license_passages():
+    for label, _, pattern in PASSAGES:
+        text = re.sub(r"\[a-z0-9 \]\{[^}]*\}\?", "x", re.sub(r"\(\?:([^()|]*)[^()]*\)(\?)?", lambda m: "" if m[2] else m[1], pattern)).replace("?", "").strip()
+        rule = next(r for r in RULES if r.label == label and r.pattern.pattern.endswith(f"(?:{pattern})(?= |$)"))
+        assert rule.pattern.search(text), text
+        assert any(k in text for k in rule.keywords) and may_match(text), text
+        assert label in scan(text)[5].split(","), text
+
+
+def test_license_times():
+    took = {}
+    for n in (4_000, 40_000):
+        began = time.time()
+        got = scan("see the MIT License and GPL-3.0 license " * n)
+        took[n] = time.time() - began
+        assert got[:4] == (9 * n, n, 2, 9 * n - 7)
+    assert took[40_000] < 30 * took[4_000] + 5
+
+
 def test_html():
     page = "<html><body><nav><a href=x>a</a></nav><div class=ad>buy</div><article><h1>T&amp;x</h1><p><b>Long  text<br><p>Second &lt;par</article><footer>f</footer>"
     assert main_text(page) == "T&x\nLong text\nSecond <par"
