@@ -32,11 +32,14 @@ PART = 1 << 20
 #: Bytes of a symbol, as digits of base 257 with 0 for the end.
 DIGITS = 7
 
-ANCHOR = np.dtype([("gram", "u8"), ("cls", "u8"), ("doc", "i8"), ("pos", "i8"), ("sub", "i4"), ("lo", "u1"), ("hi", "u1")])
+#: Equal cls and cls2, 128 bits of two independent hashes, stand for equal contexts.
+ANCHOR = np.dtype([("gram", "u8"), ("cls", "u8"), ("cls2", "u8"), ("doc", "i8"), ("pos", "i8"), ("sub", "i8"), ("lo", "u1"), ("hi", "u1")])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_BASE2 = np.uint64(0xBF58476D1CE4E5B9)
+_BACK2 = np.uint64(pow(0xBF58476D1CE4E5B9, -1, 2**64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers = [np.ones(1, np.uint64)] * 4
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -44,26 +47,30 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n."""
+_BYTES2 = _mix(_mix(np.arange(1, 257, dtype=np.uint64) * _BASE2))
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of both bases and of their inverses, up to n."""
     if len(_powers[0]) <= n:
-        for k, base in enumerate((_BASE, _BACK)):
+        for k, base in enumerate((_BASE, _BACK, _BASE2, _BACK2)):
             x = np.full(max(n + 1, 1 << 16), base)
             x[0] = 1
             _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
+    return _powers
 
 
 def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """gram, context hash, place, and the distances to the first and the last window, for each anchor of a text."""
+    """gram, two hashes of the context, place, and the distances to the first and the last window, for each anchor of a text."""
     if len(raw) < length:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.uint8, np.uint8))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.uint8, np.uint8))
     found = []
     for start in range(0, len(raw) - length + 1, PART):
         x = np.frombuffer(raw, np.uint8)[start : start + PART + length - 1]
-        up, down = powers(len(x))
-        sums = np.zeros(len(x) + 1, np.uint64)
+        up, down, up2, down2 = powers(len(x))
+        sums, sums2 = np.zeros(len(x) + 1, np.uint64), np.zeros(len(x) + 1, np.uint64)
         np.cumsum(_mix(x.astype(np.uint64) + np.uint64(1)) * down[: len(x)], out=sums[1:])
+        np.cumsum(_BYTES2[x] * down2[: len(x)], out=sums2[1:])
         h = _mix((sums[GRAM:] - sums[:-GRAM]) * up[: len(x) - GRAM + 1])
         least, at, width, span = h, np.arange(len(h), dtype=np.int32), 1, length - GRAM + 1
         while width < span:  # the leftmost least hash of each window, by doubling
@@ -75,8 +82,10 @@ def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
         low = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         high = np.r_[low[1:], len(at)] - 1
         place = at[low].astype(np.int64)
-        context = _mix((sums[high + length] - sums[low]) * up[low]) + (place - low).astype(np.uint64) * _BASE + (high - low).astype(np.uint64) * _Q
-        found.append((h[place], _mix(context), place + start, (place - low).astype(np.uint8), (place - high).astype(np.uint8)))
+        around = (place - low).astype(np.uint64) * _BASE + (high - low).astype(np.uint64) * _Q
+        context = _mix((sums[high + length] - sums[low]) * up[low]) + around
+        context2 = _mix((sums2[high + length] - sums2[low]) * up2[low]) + around
+        found.append((h[place], _mix(context), _mix(context2), place + start, (place - low).astype(np.uint8), (place - high).astype(np.uint8)))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -175,13 +184,14 @@ def _sides(gram: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nd
     for rows in (right, left):
         packed = _packed(rows)
         text.append(np.concatenate([gram[:, None].astype(np.int64), packed + n, np.full((n, 1), -1)], axis=1))  # packed symbols rank above the grams
-    width = text[0].shape[1]
-    flat = np.concatenate([np.concatenate(text, axis=0).ravel(), [-2]])
+    widths, bounds = [t.shape[1] for t in text], [0, text[0].size, text[0].size + text[1].size]
+    flat = np.concatenate([text[0].ravel(), text[1].ravel(), [-2]])
     _, symbols = np.unique(flat, return_inverse=True)
     order = np.array(suffix_array(symbols.tolist()))
-    starts = order[(order % width == 0) & (order < 2 * n * width)] // width
     out = []
-    for own, rows in ((starts[starts < n], right), (starts[starts >= n] - n, left)):
+    for rows, width, a, b in zip((right, left), widths, bounds[:-1], bounds[1:], strict=True):
+        own = order[(order >= a) & (order < b)] - a
+        own = own[own % width == 0] // width
         same = rows[own[1:]] == rows[own[:-1]]
         shared = np.where(same.all(axis=1), rows.shape[1], np.argmin(same, axis=1))
         shared[gram[own[1:]] != gram[own[:-1]]] = -1
@@ -194,13 +204,13 @@ def covered(found: np.ndarray, contexts: list[bytes], length: int = LENGTH) -> t
     by_place = np.lexsort((found["pos"], found["doc"]))
     found, contexts = found[by_place], [contexts[k] for k in by_place]
     n, span = len(found), length - GRAM
-    left, right = np.zeros((n, span), np.int16), np.zeros((n, span), np.int16)
+    left, right = np.zeros((n, span), np.int16), np.zeros((n, length), np.int16)  # the anchor's own string is the right side's begin
     lo, hi = found["lo"].astype(np.int64), found["hi"].astype(np.int64)
     for k, raw in enumerate(contexts):
         x = np.frombuffer(raw, np.uint8).astype(np.int16) + 1
         a = lo[k]
         left[k, :a] = x[:a][::-1]
-        right[k, : len(x) - a - GRAM] = x[a + GRAM :]
+        right[k, : len(x) - a] = x[a:]
     r_order, r_shared, l_order, l_shared = _sides(found["gram"], left, right)
     far, near = np.full(n, -1), np.full(n, length)
     for o in range(span + 1):  # windows that start o bytes before their anchors
@@ -208,7 +218,7 @@ def covered(found: np.ndarray, contexts: list[bytes], length: int = LENGTH) -> t
         if len(own) < 2:
             continue
         l_id, r_id = np.empty(n, np.int64), np.empty(n, np.int64)
-        l_id[l_order], r_id[r_order] = np.cumsum(l_shared < o), np.cumsum(r_shared < span - o)
+        l_id[l_order], r_id[r_order] = np.cumsum(l_shared < o), np.cumsum(r_shared < length - o)
         _, first, back = np.unique(l_id[own] * (n + 1) + r_id[own], return_index=True, return_inverse=True)
         at = own[first[back]]
         later = own[(found["doc"][own] != found["doc"][at]) | (found["pos"][own] != found["pos"][at])]
@@ -217,7 +227,7 @@ def covered(found: np.ndarray, contexts: list[bytes], length: int = LENGTH) -> t
     return found[hit], found["pos"][hit] - far[hit], found["pos"][hit] - near[hit] + length
 
 
-ROWS = "doc long, sub int, gram long, a long, b long, lo int, hi int"
+ROWS = "doc long, sub long, gram long, a long, b long, lo int, hi int"
 NULL_ID = -(2**63)
 
 
@@ -226,10 +236,15 @@ def _spans(rows: np.ndarray, length: int) -> pd.DataFrame:
     return pd.DataFrame({"doc": rows["doc"], "sub": rows["sub"], "gram": pd.array([None] * len(rows), "Int64"), "a": rows["pos"] - rows["lo"], "b": rows["pos"] - rows["hi"] + length, "lo": 0, "hi": 0})
 
 
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a class begins in x, sorted by class."""
+    return np.r_[True, (x["cls"][1:] != x["cls"][:-1]) | (x["cls2"][1:] != x["cls2"][:-1])][: len(x)]
+
+
 def _first_of_class(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """x by class, document and place; whether each row is an earliest of its class."""
-    x = x[np.lexsort((x["pos"], x["doc"], x["cls"]))]
-    new = np.r_[True, x["cls"][1:] != x["cls"][:-1]] if len(x) else np.empty(0, bool)
+    x = x[np.lexsort((x["pos"], x["doc"], x["cls2"], x["cls"]))]
+    new = _changes(x)
     first = x[new][np.cumsum(new) - 1] if len(x) else x
     return x, (x["doc"] == first["doc"]) & (x["pos"] == first["pos"])
 
@@ -239,9 +254,9 @@ def _dealt(buckets: int, length: int):
         for rows in batches:
             parts = []
             for doc, sub, text in zip(rows["doc"], rows["sub"], rows["text"], strict=True):
-                gram, context, place, lo, hi = anchors(text.encode("utf-8", "surrogatepass"), length)
+                gram, context, context2, place, lo, hi = anchors(text.encode("utf-8", "surrogatepass"), length)
                 own = np.empty(len(gram), ANCHOR)
-                own["gram"], own["cls"], own["pos"], own["lo"], own["hi"] = gram, _mix(gram * _BASE + context), place, lo, hi
+                own["gram"], own["cls"], own["cls2"], own["pos"], own["lo"], own["hi"] = gram, _mix(gram * _BASE + context), context2, place, lo, hi
                 own["doc"], own["sub"] = doc, sub
                 parts.append(own)
             x, first = _first_of_class(np.concatenate(parts) if parts else np.empty(0, ANCHOR))
@@ -274,9 +289,9 @@ def _classed(length: int):
         yield _spans(x[~first], length)
         x = x[first]
         _, back = np.unique(x["gram"], return_inverse=True)
-        order = np.lexsort((x["cls"], back))
+        order = np.lexsort((x["cls2"], x["cls"], back))
         x, back = x[order], back[order]
-        more = np.bincount(back, weights=np.r_[True, x["cls"][1:] != x["cls"][:-1]]) if len(x) else np.empty(0)
+        more = np.bincount(back, weights=_changes(x)) if len(x) else np.empty(0)
         x = x[more[back] > 1]
         for k in range(0, len(x), 1 << 18):
             y = x[k : k + (1 << 18)]
@@ -351,14 +366,8 @@ def merged(spans: list, n: int) -> list[tuple[int, int]]:
 def _keyed(docs: DataFrame) -> DataFrame:
     """row (all columns of docs), doc (the id; the least number for null) and sub, which tells the texts of a repeated id apart."""
     rows = docs.select(F.struct("*").alias("row")).withColumn("doc", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NULL_ID)))
-    twice = rows.groupBy("doc").count().filter("count > 1").select("doc")
-    if not twice.limit(1).count():
-        return rows.withColumn("sub", F.lit(0))
-    hash_ = F.xxhash64(_text())
-    hashed = rows.join(twice, "doc", "left_semi").select("doc", hash_.alias("hash")).distinct()
-    ranked = hashed.join(hashed.select("doc", F.col("hash").alias("other")), "doc").groupBy("doc", "hash").agg(F.sum((F.col("other") < F.col("hash")).cast("int")).cast("int").alias("rank"))
-    rows = rows.withColumn("hash", hash_).join(ranked, ["doc", "hash"], "left")
-    return rows.select("row", "doc", F.coalesce("rank", F.lit(0)).alias("sub"))
+    twice = rows.groupBy("doc").count().filter("count > 1")
+    return rows.withColumn("sub", F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64(_text()))
 
 
 def _text() -> Column:
@@ -372,7 +381,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     classed = materialize(dealt.repartition(buckets, "bucket").mapInPandas(_classed(length), ROWS), "classed")
     wanted = classed.filter("gram is not null").groupBy("doc", "sub").agg(F.collect_list(F.struct("gram", "a", "lo", "hi")).alias("found"))
     fetched = rows.join(wanted, ["doc", "sub"]).select("doc", "sub", "text", "found").mapInPandas(_fetched(buckets, length), "bucket int, blob binary, contexts binary")
-    searched = materialize(fetched.repartition(buckets, "bucket").mapInPandas(_searched(length), "doc long, sub int, a long, b long"), "searched")
+    searched = materialize(fetched.repartition(buckets, "bucket").mapInPandas(_searched(length), "doc long, sub long, a long, b long"), "searched")
     spans = classed.filter("gram is null").select("doc", "sub", "a", "b").unionByName(searched)
     return spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
