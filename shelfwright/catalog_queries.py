@@ -85,7 +85,7 @@ def listing_by_genre(spark, sf_dir):
     return _page(spark, sf_dir, genre="Widget")
 
 
-@query(f"WITH {TITLES_SQL} SELECT source, count(*) AS n FROM titles WHERE len([x FOR x IN genres IF lower(x) IN ('adult', 'mature', 'smut')]) = 0 GROUP BY 1")
+@query(f"WITH {TITLES_SQL} SELECT source, count(*) AS n FROM titles WHERE len([x FOR x IN genres IF lower(x) IN {T.ADULT_GENRES}]) = 0 GROUP BY 1")
 def non_adult_by_source(spark, sf_dir):
     return titles(spark, sf_dir).filter(~T.is_adult(F.col("genres"))).groupBy("source").agg(F.count("*").alias("n"))
 
@@ -285,9 +285,9 @@ def request_levels(spark, sf_dir):
     return request_log(spark, sf_dir).select("event_id", F.when(F.col("status") >= 400, "warn").otherwise("info").alias("level"))
 
 
-@query(f"""WITH {TITLES_SQL}, g AS (SELECT DISTINCT unnest(genres) AS genre FROM titles) SELECT genre FROM g WHERE lower(genre) NOT IN ('adult', 'mature', 'smut', 'ring')""")
+@query(f"""WITH {TITLES_SQL}, g AS (SELECT DISTINCT unnest(genres) AS genre FROM titles) SELECT genre FROM g WHERE lower(genre) NOT IN {T.ADULT_GENRES}""")
 def facets(spark, sf_dir):
-    return titles(spark, sf_dir).select(F.explode("genres").alias("genre")).distinct().filter(~F.lower("genre").isin("adult", "mature", "smut", "ring"))
+    return titles(spark, sf_dir).select(F.explode("genres").alias("genre")).distinct().filter(~F.lower("genre").isin(*T.ADULT_GENRES))
 
 
 @query(f"""WITH {TITLES_SQL}, t AS (SELECT id, row_number() OVER (ORDER BY {_NUMBER}, {_RECENT}, title_key, id) AS rank FROM titles QUALIFY rank <= 30)

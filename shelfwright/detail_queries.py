@@ -166,10 +166,10 @@ def page_functions(spark, sf_dir):
     return read(spark, sf_dir, "pages", "page_id", "url", "html").select("page_id", U.is_end_page(html).alias("is_end"), U.max_page(html).alias("last_page"), U.source_slug(F.col("url")).alias("slug"))
 
 
-@query("""WITH r AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 300), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS flat, source FROM documents)
+@query("""WITH r AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS flat, source FROM documents)
 SELECT doc_id, length(flat) < 30 OR regexp_matches(flat, '(?i)new feature|reading history|read .{0,80} online for free') AS boilerplate, contains(lower(source), 'logo') OR contains(lower(source), 'social') AS junk FROM r""")
 def description_functions(spark, sf_dir):
-    flat = F.trim(F.regexp_replace(F.substring("text", 1, 300), r"[ \t\n\r\f\x0B]+", " "))
+    flat = F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "))
     junk = F.lower("source").contains("logo") | F.lower("source").contains("social")
     return read(spark, sf_dir, "documents", "doc_id", "text", "source").select("doc_id", U.is_boilerplate(flat).alias("boilerplate"), junk.alias("junk"))
 

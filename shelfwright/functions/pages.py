@@ -82,8 +82,9 @@ def is_end_page(html: Column) -> Column:
 
 
 def max_page(html: Column) -> Column:
-    """The greatest page number that a link of the page asks for; 1 at least."""
-    return F.greatest(F.lit(1), F.array_max(F.transform(F.regexp_extract_all(html, F.lit(r"[?&]page=(\d+)"), F.lit(1)), lambda n: n.try_cast("int"))))
+    """The greatest page number that a link of the page or its `Page X of Y` tells of; 1 at least."""
+    most = lambda pattern: F.array_max(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda n: n.try_cast("int")))
+    return F.greatest(F.lit(1), most(r"[?&]page=(\d+)"), most(r"(?i)/page/(\d+)"), F.regexp_extract(html, r"(?i)Page\s+\d+\s+of\s+(\d+)", 1).try_cast("int"))
 
 
 def source_slug(url: Column) -> Column:
@@ -92,6 +93,7 @@ def source_slug(url: Column) -> Column:
     return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
 
 
-def client_ip(forwarded: Column, real: Column) -> Column:
-    first = F.nullif(F.trim(F.get(F.split(forwarded, ","), F.lit(0))), F.lit(""))
-    return F.coalesce(first, F.nullif(F.trim(real), F.lit("")), F.lit("unknown"))
+def client_ip(forwarded: Column, real: Column, real_first: bool = False) -> Column:
+    """The address that a request comes from: the first forwarded one, then the real one, or the other way round; unknown without any."""
+    first, own = F.nullif(F.trim(F.get(F.split(forwarded, ","), F.lit(0))), F.lit("")), F.nullif(F.trim(real), F.lit(""))
+    return F.coalesce(*((own, first) if real_first else (first, own)), F.lit("unknown"))

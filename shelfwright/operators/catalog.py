@@ -2,29 +2,55 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fuzzy_key_match, romanize
+from ..functions.text import ADULT_GENRES, fuzzy_key_match, fuzzy_search_match, fuzzy_title_match, roman_key, search_key, search_words, title_key, title_words
+from ..sources.folders import written
 
 
 def rating_number(rating: Column) -> Column:
     return rating.try_cast("double")
 
 
-def listing(df: DataFrame, sort: str = "latest", *, genre: str | None = None, page: int = 1, size: int = 30, legacy_string_order: bool = False) -> DataFrame:
-    """A page of titles with the total of all matching ones; ties go by key and id. Pages count from 1."""
-    if page < 1 or not 1 <= size <= 60:
-        raise ValueError("page starts at 1, and size lies in 1 to 60")
-    if genre is not None:
-        df = df.filter(F.exists("genres", lambda g: F.lower(g) == genre.lower()))
-    rating, count = (F.col("rating"), F.col("chapter_count")) if legacy_string_order else (rating_number(F.col("rating")), F.col("chapter_count").cast("int"))
+def of_genre(df: DataFrame, genre: str) -> DataFrame:
+    """Titles of a genre, in any case; none of an adult genre, which isn't shown by name."""
+    if genre.strip().lower() in ADULT_GENRES:
+        return df.limit(0)
+    return df.filter(F.exists("genres", lambda g: F.lower(g) == genre.strip().lower()))
+
+
+def check_page(page: int, size: int, most: int = 660) -> None:
+    if not 1 <= page <= most or not 1 <= size <= 60:
+        raise ValueError(f"pages lie in 1 to {most}, sizes in 1 to 60")
+
+
+def ordered(df: DataFrame, sort: str = "latest", legacy_string_order: bool = False) -> DataFrame:
+    """df in one of the listings' orders; ties go by key and id. As text, "9.5" comes before "10"."""
+    number = F.col("rating") if legacy_string_order else rating_number(F.col("rating"))
+    count = F.col("chapter_count") if legacy_string_order else F.col("chapter_count").cast("int")
     recent = [F.desc("published_at"), F.desc("updated_at")]
-    orders = {"latest": recent, "popular": [rating.desc(), count.desc(), *recent], "rating": [rating_number(F.col("rating")).desc(), *recent], "chapters": [count.desc(), *recent], "title": [F.asc("title")], "adult": [F.desc("updated_at"), rating.desc()]}
-    ordered = df.orderBy(*orders[sort], "title_key", "id")
-    return (ordered.offset((page - 1) * size) if page > 1 else ordered).limit(size)
+    orders = {"latest": recent, "popular": [number.desc(), count.desc(), *recent], "rating": [number.desc(), *recent], "chapters": [count.desc(), *recent], "title": [F.asc("title")], "adult": [F.desc("updated_at"), number.desc()], "landing": [number.desc(), F.desc("updated_at")]}
+    return df.orderBy(*orders[sort], "title_key", "id")
+
+
+def listing(df: DataFrame, sort: str = "latest", *, genre: str | None = None, page: int = 1, size: int = 30, legacy_string_order: bool = False) -> DataFrame:
+    """A page of titles; pages count from 1."""
+    check_page(page, size)
+    rows = ordered(df if genre is None else of_genre(df, genre), sort, legacy_string_order)
+    return (rows.offset((page - 1) * size) if page > 1 else rows).limit(size)
+
+
+def with_total(page_rows: DataFrame, all_rows: DataFrame, page: int, size: int) -> DataFrame:
+    """page_rows with the total of all rows and whether more follow: one count, joined as a single row."""
+    total = all_rows.agg(F.count("*").alias("total"))
+    return page_rows.crossJoin(F.broadcast(total)).withColumn("has_more", F.lit(page * size) < F.col("total"))
+
+
+def listing_page(df: DataFrame, sort: str = "latest", *, genre: str | None = None, page: int = 1, size: int = 30, legacy_string_order: bool = False) -> DataFrame:
+    """A page of titles with total and has_more."""
+    rows = df if genre is None else of_genre(df, genre)
+    return with_total(listing(rows, sort, page=page, size=size, legacy_string_order=legacy_string_order), rows, page, size)
 
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -32,10 +58,18 @@ def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def least_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of each key whose order is least; combined before the shuffle, so that a frequent key fills no task."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_x")).select(*keys, "_x.*").select(*df.columns)
+
+
 def dedupe_catalog(df: DataFrame) -> DataFrame:
     """One title for each key: the newest, then the largest count as text, then the smallest id; titles without a key stay."""
     keyed, rest = df.filter("title_key <> ''"), df.filter("title_key = '' or title_key is null")
-    return first_of(keyed, ["title_key"], [F.desc("updated_at"), F.desc("chapter_count"), F.asc("id")]).unionByName(rest)
+    others = [c for c in df.columns if c != "title_key"]
+    best = keyed.groupBy("title_key").agg(F.max_by(F.struct(*others), F.struct("updated_at", "chapter_count", -F.col("id"))).alias("_x")).select("title_key", "_x.*").select(*df.columns)
+    return best.unionByName(rest)
 
 
 def top_per(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
@@ -72,59 +106,102 @@ def _within_edits(keys: DataFrame, share: float) -> DataFrame:
     return longer.join(shorter, ["batch_id", "m", "i", "part"]).select("batch_id", "x", "y")
 
 
-def fuzzy_pairs(records: DataFrame) -> DataFrame:
-    """Pairs (a, b), a before b, of a batch's representatives whose keys match; see representatives for the other records.
+#: Sizes of the begins by which contained keys are found: a key is looked for by the longest that it has.
+BEGINS = (6, 8, 11, 15, 20, 27, 36, 48)
+
 
-    Candidates come from joins by equality: of romanized keys, of a key with the parts of others that may
-    contain it, and of segments within the bounds on edits. The rule itself then decides.
+def _contained(keys: DataFrame, ratio: float) -> DataFrame:
+    """Candidate pairs (x, y) where y is in x and has at least `ratio` of its length, or begins x.
+
+    y's begin, of the longest size in BEGINS that it has, stands in x at most as far from the start as x is
+    longer than y. So x gives its parts of these sizes there, and a begin meets them by equality.
+    """
+    n, size = F.length("k"), F.col("size")
+    sizes = F.filter(F.array(*map(F.lit, BEGINS)), lambda s: s <= F.length("k"))
+    begins = keys.filter(n >= BEGINS[0]).select("batch_id", F.col("seq").alias("y"), F.array_max(sizes).alias("size"), "k").select("batch_id", "y", "size", F.substring("k", F.lit(1), size).alias("part"))
+    least = F.ceil(n * ratio).cast("int")
+    spread = keys.filter(n >= BEGINS[0]).withColumn("size", F.explode(sizes))
+    # a y of this size class is shorter than the next class begins; only then it may lie inside
+    following = F.coalesce(F.array_min(F.filter(F.array(*map(F.lit, BEGINS)), lambda s: s > size)), F.lit(1 << 30))
+    last = F.when(following > least, n - F.greatest(least, size)).otherwise(0)
+    parts = spread.withColumn("at", F.explode(F.sequence(F.lit(0), last))).select("batch_id", F.col("seq").alias("x"), "size", F.substring("k", F.col("at") + 1, size).alias("part")).distinct()
+    return parts.join(begins, ["batch_id", "size", "part"]).select("batch_id", "x", "y")
+
+
+def _sharing_words(rows: DataFrame, share: float) -> DataFrame:
+    """Candidate pairs (x, y) of rows(batch_id, seq, words) where y has so large a share of the fewer words, by number of x's words.
+
+    Of x's n words, some must be y's: of the n - ceil(share * fewer) + 1 rarest ones at least one is. So only
+    those are joined, for each number of words that y may have.
     """
-    reps = representatives(records)
+    own = rows.filter(F.size("words") >= 2).withColumn("n", F.size("words"))
+    most = own.agg(F.max("n")).first()[0] or 2
+    each = own.select("batch_id", "seq", "n", F.posexplode("words").alias("pos", "word"))
+    often = each.select("batch_id", "seq", "word").distinct().groupBy("batch_id", "word").agg(F.count("*").alias("often"))
+    rare = F.row_number().over(Window.partitionBy("batch_id", "seq").orderBy("often", "word", "pos"))
+    ranked = each.join(often, ["batch_id", "word"]).withColumn("rank", rare).withColumn("m", F.explode(F.sequence(F.lit(2), F.lit(most))))
+    left = ranked.filter(F.col("rank") <= F.col("n") - F.ceil(share * F.least("n", "m")) + 1).select("batch_id", F.col("seq").alias("x"), "word", "m").distinct()
+    right = each.select("batch_id", F.col("seq").alias("y"), "word", F.col("n").alias("m")).distinct()
+    return left.join(right, ["batch_id", "word", "m"]).select("batch_id", "x", "y")
+
+
+#: Of each rule: the decision, the form that is compared beside the key, shares of edits of keys and of that form, of containment and of words.
+RULES = {
+    "key": (fuzzy_key_match, lambda t: roman_key(title_key(t)), 0.2, 0.15, 0.7, None, None),
+    "title": (fuzzy_title_match, roman_key, 0.2, 0.15, 0.7, title_words, 0.7),
+    "search": (lambda a, b: fuzzy_search_match(b, a), search_key, 0.2, None, 0.65, search_words, 0.7),
+}
+
+
+def fuzzy_pairs(records: DataFrame, rule: str = "key") -> DataFrame:
+    """Pairs (a, b), a before b, of a batch's records that a rule matches.
+
+    "key" compares keys of representatives (see there for the other records), "title" whole titles, "search"
+    whole titles as search results: b is held against a, found before. Keys under three characters take no
+    part. Candidates come from joins by equality: of keys, of their other forms, of begins with the parts of
+    keys that may contain them, of segments within the bounds on edits, and of rare words. The rule decides.
+    """
+    match, form, edits, form_edits, ratio, words, share = RULES[rule]
+    reps = representatives(records).withColumn("title", F.col("title_key")) if rule == "key" else records.filter(F.length("title_key") >= 3).select("batch_id", "seq", "title", "title_key")
     keys = reps.select("batch_id", "seq", F.col("title_key").alias("k"))
-    roman = reps.select("batch_id", "seq", F.regexp_replace(romanize(F.col("title_key")), " ", "").alias("k"))
-    n = F.length("k")
-    cuts = lambda at, low: F.transform(F.sequence(F.greatest(F.lit(7), low), n - at), lambda size: F.substring("k", at + 1, size))
-    least = F.floor(n * 0.7).cast("int")
-    inner = F.flatten(F.transform(F.sequence(F.lit(0), n - F.greatest(F.lit(7), least)), lambda at: cuts(at, least)))
-    parts = keys.filter(n > 7).select("batch_id", F.col("seq").alias("x"), F.explode(F.array_distinct(F.concat(inner, cuts(F.lit(0), F.lit(7))))).alias("k"))
-    found = parts.join(keys.withColumnRenamed("seq", "y"), ["batch_id", "k"]).select("batch_id", "x", "y")
-    found = found.union(roman.withColumnRenamed("seq", "x").join(roman.withColumnRenamed("seq", "y"), ["batch_id", "k"]).select("batch_id", "x", "y"))
-    found = found.union(_within_edits(keys, 0.2)).union(_within_edits(roman, 0.15))
+    other = reps.select("batch_id", "seq", form(F.col("title")).alias("k"))
+    equal = lambda rows: rows.withColumnRenamed("seq", "x").join(rows.withColumnRenamed("seq", "y"), ["batch_id", "k"]).select("batch_id", "x", "y")
+    found = _contained(keys, ratio).union(equal(other)).union(_within_edits(keys, edits))
+    found = found if rule == "key" else found.union(equal(keys))
+    found = found.union(_within_edits(other, form_edits)) if form_edits else found
+    found = found.union(_sharing_words(reps.select("batch_id", "seq", words(F.col("title")).alias("words")), share)) if words else found
     pairs = found.filter("x <> y").select("batch_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    side = lambda c: reps.select("batch_id", F.col("seq").alias(c), F.col("title_key").alias(f"key_{c}"))
+    side = lambda c: reps.select("batch_id", F.col("seq").alias(c), F.col("title").alias(f"title_{c}"))
     both = pairs.join(side("a"), ["batch_id", "a"]).join(side("b"), ["batch_id", "b"])
-    return both.filter(fuzzy_key_match(F.col("key_a"), F.col("key_b"))).select("batch_id", "a", "b")
-
+    return both.filter(match(F.col("title_a"), F.col("title_b"))).select("batch_id", "a", "b")
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df, written and read again where a checkpoint folder is set, so that rounds don't pile up."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/cluster-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def scan_leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """seq and leader of nodes(seq): scanning in order, a node joins the first earlier leader that pairs(a, b) links it with, else it leads.
 
-def fuzzy_cluster(records: DataFrame, pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """seq and its leader: scanning in order, a record joins the first earlier leader it matches, else it leads.
-
-    The representatives are scanned; a record with an earlier one's key matches what that one matches.
+    A round decides all nodes whose earlier neighbours are decided, the first open one at least.
     """
-    reps = _cut(representatives(records))
-    state = _cut(reps.select("seq", F.lit(None).cast("boolean").alias("leads")))
-    for _ in range(max_rounds):
+    pairs = written(pairs.select("a", "b"), "pairs")
+    state = written(nodes.select("seq", F.lit(None).cast("boolean").alias("leads")), "leads")
+    while True:
         seen = pairs.join(state.select(F.col("seq").alias("a"), F.col("leads").alias("a_leads")), "a").groupBy(F.col("b").alias("seq"))
         seen = seen.agg(F.max(F.coalesce("a_leads", F.lit(False))).alias("some"), F.min(F.coalesce(~F.col("a_leads"), F.lit(False))).alias("none"))
         verdict = F.coalesce("leads", F.when(F.coalesce("some", F.lit(False)), False).when(F.coalesce("none", F.lit(True)), True))
-        state = _cut(state.join(seen, "seq", "left").select("seq", verdict.alias("leads")))
-        if not state.filter("leads is null").limit(1).count():
+        state = written(state.join(seen, "seq", "left").select("seq", verdict.alias("leads")), "leads")
+        if state.filter("leads is null").isEmpty():
             break
-    else:
-        raise RuntimeError("clustering needs more rounds")
     leaders = state.filter("leads").select(F.col("seq").alias("a"))
     joined = pairs.join(leaders, "a").groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("first"))
-    led = state.join(joined, "seq", "left").select("seq", F.when(F.col("leads"), F.col("seq")).otherwise(F.col("first")).alias("leader"))
+    return state.join(joined, "seq", "left").select("seq", F.when(F.col("leads"), F.col("seq")).otherwise(F.col("first")).alias("leader"))
+
+
+def fuzzy_cluster(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """seq and its leader: scanning in order, a record joins the first earlier leader it matches, else it leads.
+
+    The representatives are scanned; a record with an earlier one's key matches what that one matches.
+    """
+    reps = written(representatives(records), "representatives")
+    led = scan_leaders(reps, pairs)
     return records.select("batch_id", "title_key", "seq").join(reps.join(led, "seq").select("batch_id", "title_key", "leader"), ["batch_id", "title_key"]).select("seq", "leader")
 
 
@@ -147,8 +224,32 @@ def valid_entry(df: DataFrame) -> DataFrame:
     return df.filter((F.length("title") >= 3) & ~F.lower("title").rlike(NOT_ENTRIES))
 
 
-def browse(df: DataFrame, size: int = 30) -> DataFrame:
-    """The first valid titles in order of id, one for each key."""
-    rest = [c for c in df.columns if c != "title_key"]
-    first = valid_entry(df).groupBy("title_key").agg(F.min_by(F.struct(*rest), "id").alias("x"))
-    return first.select("title_key", "x.*").orderBy("id").limit(size)
+def browse(df: DataFrame, page: int = 1, size: int = 30, most: int = 17) -> DataFrame:
+    """A page of the valid titles in order of id, one for each key, with has_more: whether any is left and pages go on."""
+    check_page(page, size, most)
+    first = least_of(valid_entry(df), ["title_key"], "id")
+    rows = first.orderBy("id")
+    shown = with_total((rows.offset((page - 1) * size) if page > 1 else rows).limit(size), first, page, size)
+    return shown.withColumn("has_more", F.col("has_more") & F.lit(page < most)).drop("total")
+
+
+def lookup_title(df: DataFrame, slug: str) -> DataFrame:
+    """The title that a page's slug names: with that key first, else the first whose address holds the slug."""
+    low = slug.lower()
+    key = "".join(c for c in low if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    hit = df.filter((F.col("title_key") == key) | F.lower("url").contains(low))
+    return hit.orderBy((F.col("title_key") != key), "title_key", "id").limit(1)
+
+
+#: What a record lacks for its detail page to be fetched, and how many of a batch are.
+LACKS = {
+    "cover": (lambda: F.coalesce("cover_url", F.lit("")) == "", 10),
+    "facts": (lambda: (F.coalesce("cover_url", F.lit("")) != "") & F.coalesce("rating", F.lit("N/A")).isin("N/A", "") & (F.coalesce("description", F.lit("")) == ""), 15),
+    "any": (lambda: (F.coalesce("description", F.lit("")) == "") | F.coalesce("rating", F.lit("N/A")).isin("N/A", ""), 10),
+}
+
+
+def needs_detail(df: DataFrame, rule: str) -> DataFrame:
+    """The first records of each batch, in order of seq, that lack what the rule names."""
+    lacks, cap = LACKS[rule]
+    return top_per(df.filter(lacks()), "batch_id", [F.asc("seq")], cap)
