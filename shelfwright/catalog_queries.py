@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import catalog as C
+from .operators import output as O
+from .operators import reports as S
 from .operators import requests as R
+from .operators import search as X
 from .plans import pages as P
 from .sources.adapters import RECORDS_SQL, TITLES_SQL, read, records, request_log, titles
 
@@ -132,13 +135,13 @@ def dedupe_catalog(spark, sf_dir):
 
 @query(f"WITH {TITLES_SQL} SELECT title_key, count(*) AS n, min(id) AS first_id FROM titles GROUP BY 1 HAVING count(*) > 1")
 def duplicate_keys(spark, sf_dir):
-    return titles(spark, sf_dir).groupBy("title_key").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1")
+    return S.duplicate_keys(titles(spark, sf_dir))
 
 
 @query("SELECT s_name AS source, count(DISTINCT l_partkey) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
 def source_counts(spark, sf_dir):
-    pairs = read(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    return read(spark, sf_dir, "supplier", "s_suppkey", "s_name").join(pairs, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_name").alias("source"), "n")
+    links, suppliers = read(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey"), read(spark, sf_dir, "supplier", "s_suppkey", "s_name").withColumnRenamed("s_suppkey", "l_suppkey")
+    return S.source_counts(links, suppliers, "l_partkey", "l_suppkey", "s_name")
 
 
 @query(f"WITH {RECORDS_SQL}, n AS (SELECT batch_id, seq, row_number() OVER (PARTITION BY batch_id ORDER BY seq) AS k FROM records) SELECT batch_id, seq FROM n WHERE k <= 8")
@@ -148,21 +151,20 @@ def top_per_source(spark, sf_dir):
 
 @query(f"WITH {TITLES_SQL} SELECT id, title, updated_at FROM titles WHERE url <> '' ORDER BY updated_at NULLS FIRST, id LIMIT 30")
 def pick_stale(spark, sf_dir):
-    return titles(spark, sf_dir).filter("url <> ''").orderBy("updated_at", "id").limit(30).select("id", "title", "updated_at")
+    return S.pick_stale(titles(spark, sf_dir)).select("id", "title", "updated_at")
 
 
-@query("SELECT source, status, count(*) AS n, grouping(status) AS total FROM (SELECT p_brand AS source, CASE WHEN p_size % 7 = 0 THEN 'insert' ELSE 'update' END AS status FROM part) GROUP BY ROLLUP (source, status)")
+@query("SELECT p_brand AS source, count(*) AS items, sum(CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END) AS inserted, sum(CASE WHEN p_size % 7 = 0 THEN 0 ELSE 1 END) AS updated FROM part GROUP BY ROLLUP (p_brand)")
 def sync_report(spark, sf_dir):
-    parts = read(spark, sf_dir, "part", "p_brand", "p_size").select(F.col("p_brand").alias("source"), F.when(F.col("p_size") % 7 == 0, "insert").otherwise("update").alias("status"))
-    return parts.rollup("source", "status").agg(F.count("*").alias("n"), F.grouping("status").cast("long").alias("total"))
+    fresh = (F.col("p_size") % 7 == 0).cast("int")
+    return S.sync_report(read(spark, sf_dir, "part", "p_brand", "p_size").select(F.col("p_brand").alias("source"), F.lit(1).alias("items"), fresh.alias("inserted"), (1 - fresh).alias("updated")))
 
 
 @query("""WITH c AS (SELECT DISTINCT l_orderkey AS title, l_linenumber AS number FROM lineitem)
 SELECT title, number, lag(number) OVER w AS previous, lead(number) OVER w AS next FROM c WINDOW w AS (PARTITION BY title ORDER BY number)""")
 def chapter_neighbors(spark, sf_dir):
-    w = Window.partitionBy("title").orderBy("number")
-    c = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").select(F.col("l_orderkey").alias("title"), F.col("l_linenumber").alias("number")).distinct()
-    return c.select("title", "number", F.lag("number").over(w).alias("previous"), F.lead("number").over(w).alias("next"))
+    c = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").select(F.col("l_orderkey").alias("title"), F.col("l_linenumber").alias("number"))
+    return S.neighbors(c, "title", "number")
 
 
 @query("""WITH n AS (SELECT l_partkey AS title, l_linenumber AS number, l_shipdate, row_number() OVER (PARTITION BY l_partkey, l_linenumber ORDER BY l_shipdate DESC, l_orderkey) AS k, l_orderkey FROM lineitem)
@@ -186,16 +188,12 @@ def relevance(spark, sf_dir):
 @query(f"""WITH {TITLES_SQL}, tok AS (SELECT id, title_key, unnest(string_split(title, ' ')) AS t, 10 AS weight FROM titles UNION ALL SELECT id, title_key, lower(unnest(list_distinct(genres))), 4 FROM titles)
 SELECT id, sum(weight) AS score FROM tok WHERE t IN ('red', 'widget') GROUP BY id, title_key ORDER BY score DESC, title_key, id LIMIT 50""")
 def text_search(spark, sf_dir):
-    t = titles(spark, sf_dir)
-    title_words = t.select("id", "title_key", F.explode(F.split("title", " ")).alias("t"), F.lit(10).alias("weight"))
-    genre_words = t.select("id", "title_key", F.explode("genres").alias("t")).select("id", "title_key", F.lower("t").alias("t"), F.lit(4).alias("weight"))
-    hits = title_words.unionByName(genre_words).filter(F.col("t").isin(*Q.split()))
-    return hits.groupBy("id", "title_key").agg(F.sum("weight").alias("score")).orderBy(F.desc("score"), "title_key", "id").limit(50).select("id", "score")
+    return X.text_search(titles(spark, sf_dir), Q)
 
 
 @query(f"WITH {RECORDS_SQL} SELECT seq FROM records WHERE contains(lower(title), 'the') OR contains(lower(description), 'the')")
 def contains_any(spark, sf_dir):
-    return records(spark, sf_dir).filter(F.lower("title").contains("the") | F.lower("description").contains("the")).select("seq")
+    return X.contains_any(records(spark, sf_dir), "the", ["title", "description"]).select("seq")
 
 
 def _edits(a: str, b: str, share: float) -> str:
@@ -233,10 +231,11 @@ def upsert(spark, sf_dir):
     return C.upsert(stored, t.filter("id % 2 = 1").withColumn("description", F.col("url")))
 
 
-@query(f"WITH {TITLES_SQL}, d AS (SELECT DISTINCT title_key FROM titles WHERE id % 3 = 0) SELECT DISTINCT t.title_key FROM titles t ANTI JOIN d ON t.title_key = d.title_key")
+@query("""WITH c AS (SELECT DISTINCT lower(regexp_extract(url, '^https?://([a-z0-9.-]+)', 1)) AS slug, page_id % 3 = 0 AS held FROM pages)
+SELECT DISTINCT slug FROM c WHERE slug <> '' AND slug NOT IN (SELECT slug FROM c WHERE held)""")
 def find_missing(spark, sf_dir):
-    t = titles(spark, sf_dir)
-    return t.select("title_key").distinct().join(t.filter("id % 3 = 0").select("title_key"), "title_key", "left_anti")
+    p = read(spark, sf_dir, "pages", "page_id", "url")
+    return S.find_missing(p, p.filter("page_id % 3 = 0"), "^https?://([a-z0-9.-]+)")
 
 
 @query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"?]*)[^"]*">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"?]*)[^"]*">([^<]*)</a>', 2) AS n FROM pages),
@@ -277,31 +276,33 @@ def query_frequency(spark, sf_dir):
 
 @query("SELECT event_type AS query, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, query LIMIT 3")
 def top_queries(spark, sf_dir):
-    return read(spark, sf_dir, "events", "event_type").groupBy(F.col("event_type").alias("query")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query").limit(3)
+    return S.top_queries(read(spark, sf_dir, "events", "event_type").withColumnRenamed("event_type", "query"), 3)
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'warn' ELSE 'info' END AS level FROM events")
 def request_levels(spark, sf_dir):
-    return request_log(spark, sf_dir).select("event_id", F.when(F.col("status") >= 400, "warn").otherwise("info").alias("level"))
+    return S.with_level(request_log(spark, sf_dir)).select("event_id", "level")
 
 
 @query(f"""WITH {TITLES_SQL}, g AS (SELECT DISTINCT unnest(genres) AS genre FROM titles) SELECT genre FROM g WHERE lower(genre) NOT IN {T.ADULT_GENRES}""")
 def facets(spark, sf_dir):
-    return titles(spark, sf_dir).select(F.explode("genres").alias("genre")).distinct().filter(~F.lower("genre").isin(*T.ADULT_GENRES))
+    return O.facets(titles(spark, sf_dir))
+
+
+_NEW = ", ".join(f"({k + 1}, {rank + 1})" for k, rank in enumerate(O._newly_released(30)[:12]))
 
 
-@query(f"""WITH {TITLES_SQL}, t AS (SELECT id, row_number() OVER (ORDER BY {_NUMBER}, {_RECENT}, title_key, id) AS rank FROM titles QUALIFY rank <= 30)
-SELECT id, rank, CASE WHEN rank <= 12 THEN 'trending' WHEN rank <= 24 THEN 'popular' ELSE 'rest' END AS shelf FROM t""")
+@query(f"""WITH {TITLES_SQL}, t AS (SELECT id, list_contains([lower(g) FOR g IN genres], 'widget') AS fits, row_number() OVER (ORDER BY {_NUMBER}, updated_at DESC NULLS LAST, title_key, id) AS rank FROM titles QUALIFY rank <= 30),
+u AS (SELECT *, count(*) OVER () AS n, sum(CAST(fits AS INTEGER)) OVER () AS n_fits, sum(CAST(fits AS INTEGER)) OVER (ORDER BY rank) AS nth FROM t), new(place, rank) AS (VALUES {_NEW})
+SELECT id, 'trending' AS shelf, CAST(rank AS INTEGER) AS place FROM u WHERE rank <= 12 UNION ALL SELECT id, 'daily', CAST(rank AS INTEGER) FROM u WHERE rank <= 12
+UNION ALL SELECT id, 'popular', CAST(CASE WHEN n >= 24 THEN rank - 12 ELSE rank END AS INTEGER) FROM u WHERE CASE WHEN n >= 24 THEN rank BETWEEN 13 AND 24 ELSE rank <= 12 END
+UNION ALL SELECT id, 'genre', CAST(CASE WHEN n_fits >= 6 THEN nth ELSE rank END AS INTEGER) FROM u WHERE CASE WHEN n_fits >= 6 THEN fits ELSE rank <= 12 END
+UNION ALL SELECT id, 'newly released', new.place FROM u JOIN new ON u.rank = new.rank""")
 def shelves(spark, sf_dir):
-    top = C.listing(titles(spark, sf_dir), "rating", size=30)
-    order = Window.orderBy(C.rating_number(F.col("rating")).desc(), F.desc("published_at"), F.desc("updated_at"), "title_key", "id")
-    rank = F.row_number().over(order)  # over the 30 rows of the page
-    return top.select("id", rank.alias("rank")).withColumn("shelf", F.when(F.col("rank") <= 12, "trending").when(F.col("rank") <= 24, "popular").otherwise("rest"))
+    return O.shelves(titles(spark, sf_dir), "Widget")
 
 
 @query(f"WITH {TITLES_SQL}, e AS (SELECT p_brand AS source, count(*) + 5 AS expected FROM part GROUP BY 1) SELECT e.source, expected, greatest(0, expected - count(t.id)) AS missing FROM e LEFT JOIN titles t ON t.source = e.source AND t.id % 2 = 0 GROUP BY 1, 2")
 def coverage(spark, sf_dir):
     t = titles(spark, sf_dir)
-    expected = t.groupBy("source").agg((F.count("*") + 5).alias("expected"))
-    have = t.filter("id % 2 = 0").groupBy("source").agg(F.count("*").alias("have"))
-    return expected.join(have, "source", "left").select("source", "expected", F.greatest(F.lit(0).cast("long"), F.col("expected") - F.coalesce("have", F.lit(0))).alias("missing"))
+    return S.coverage(t.groupBy("source").agg((F.count("*") + 5).alias("expected")), t.filter("id % 2 = 0"))
\ No newline at end of file

@@ -15,6 +15,7 @@ from .operators import catalog as C
 from .operators import chapters as D
 from .operators import enrich as N
 from .operators import merge as M
+from .operators import reports as P
 from .sources import feeds
 from .sources.adapters import CHAPTERS_SQL, TITLES_SQL, chapters, read, records, request_log, titles
 
@@ -133,13 +134,15 @@ def match_fresh(spark, sf_dir):
     return N.match_fresh(t, t.filter("id % 3 = 0").withColumn("url", F.when(F.col("id") % 6 == 0, "").otherwise(F.col("url"))))
 
 
-@query("""WITH rules AS (SELECT DISTINCT '/' || left(r_name, 1) AS route_key FROM region UNION SELECT DISTINCT '/' || left(n_name, 3) FROM nation), p AS (SELECT n_nationkey AS id, '/' || n_name || '/x' AS path FROM nation)
-SELECT id, path, (SELECT arg_max(route_key, length(route_key)) FROM rules WHERE starts_with(path, route_key)) AS route_key FROM p""")
+_PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), rules AS (SELECT DISTINCT left(path, 2) AS route_key FROM p WHERE page_id % 5 = 0 UNION SELECT DISTINCT left(path, 5) FROM p WHERE page_id % 3 = 0)
+SELECT page_id, path, (SELECT arg_max(route_key, length(route_key)) FROM rules WHERE starts_with(path, route_key)) AS route_key FROM p""")
 def match_rule(spark, sf_dir):
-    region, nation = read(spark, sf_dir, "region", "r_name"), read(spark, sf_dir, "nation", "n_nationkey", "n_name")
-    key = lambda c, n: F.concat(F.lit("/"), F.left(c, F.lit(n))).alias("route_key")
-    rules = region.select(key("r_name", 1)).union(nation.select(key("n_name", 3))).distinct()
-    return N.match_rule(nation.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("/"), "n_name", F.lit("/x")).alias("path")), rules)
+    p = read(spark, sf_dir, "pages", "page_id", "url").select("page_id", F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+    key = lambda each, n: p.filter(F.col("page_id") % each == 0).select(F.left("path", F.lit(n)).alias("route_key"))
+    return N.match_rule(p, key(5, 2).union(key(3, 5)).distinct())
 
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
@@ -197,13 +200,21 @@ def failed_pages(spark, sf_dir):
 
 @query(f"WITH {TITLES_SQL} SELECT source, count(*) AS results, max(id) AS last_id, bool_or(rating <> 'N/A') AS ok FROM titles GROUP BY 1")
 def source_stats(spark, sf_dir):
-    return titles(spark, sf_dir).groupBy("source").agg(F.count("*").alias("results"), F.max("id").alias("last_id"), F.bool_or(F.col("rating") != "N/A").alias("ok"))
+    return P.source_stats(titles(spark, sf_dir))
+
 
+_VALID = f"""WITH {TITLES_SQL}, v AS (SELECT title_key, min(id) AS id FROM titles WHERE length(title) >= 3 AND NOT regexp_matches(lower(title), 'manga lists|latest updates|home|search|page not found|404') GROUP BY 1)
+SELECT title_key, id, (SELECT count(*) FROM v) > {{0}} AS has_more FROM v ORDER BY id LIMIT 30 OFFSET {{1}}"""
 
-@query(f"""WITH {TITLES_SQL}, v AS (SELECT * FROM titles WHERE length(title) >= 3 AND NOT regexp_matches(lower(title), 'manga lists|latest updates|home|search|page not found|404'))
-SELECT title_key, min(id) AS id FROM v GROUP BY 1 ORDER BY id LIMIT 30""")
+
+@query(_VALID.format(30, 0))
 def browse(spark, sf_dir):
-    return C.browse(titles(spark, sf_dir)).select("title_key", "id")
+    return C.browse(titles(spark, sf_dir)).select("title_key", "id", "has_more")
+
+
+@query(_VALID.format(60, 30))
+def browse_second_page(spark, sf_dir):
+    return C.browse(titles(spark, sf_dir), 2).select("title_key", "id", "has_more")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -272,7 +283,8 @@ def refresh_titles(spark, sf_dir):
     return M.refresh_titles(*_batches(spark, sf_dir), NOW).select("title_key", "rating", "description", "chapter_count", "refreshed")
 
 
-@query(f"WITH {TITLES_SQL} SELECT min(id) AS id, title_key FROM titles t WHERE id % 2 = 1 AND title_key NOT IN (SELECT title_key FROM titles WHERE id % 4 = 0) GROUP BY 2")
+@query(f"WITH {TITLES_SQL} SELECT min(id) AS id, url || '/' || id % 50 AS url FROM titles t WHERE id % 2 = 1 AND url || '/' || id % 50 NOT IN (SELECT url || '/' || (id + 7) % 50 FROM titles WHERE id % 2 = 0) GROUP BY 2")
 def append_new(spark, sf_dir):
     t = titles(spark, sf_dir)
-    return M.append_new(t.filter("id % 4 = 0").select("title_key").distinct(), t.filter("id % 2 = 1"), order="id").select("id", "title_key")
+    numbered = lambda shift: F.concat("url", F.lit("/"), ((F.col("id") + shift) % 50).cast("string")).alias("url")
+    return M.append_new(t.filter("id % 2 = 0").select(numbered(7)).distinct(), t.filter("id % 2 = 1").select("id", numbered(0)), key="url", order="id").select("id", "url")

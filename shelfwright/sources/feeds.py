@@ -67,3 +67,14 @@ def stitch_pages(raw: DataFrame, base: str, column: str = "value", most: int = 1
     kept = x.withColumn("stop", stops).filter((F.col("stop").isNull() | (F.col("offset") <= F.col("stop"))) & (F.col("offset") <= most))
     c = kept.select("slug", "offset", F.posexplode("chapters").alias("at", "c"))
     return c.select("slug", (F.col("offset") + F.col("at")).alias("pos"), F.col("c.chapter_name").alias("title"), F.concat(F.lit(base), F.lit("/manga/"), "slug", F.lit("/"), "c.chapter_slug").alias("url"), _day(F.col("c.updated_at")).alias("date"))
+
+
+def chapter_feed_2(raw: DataFrame, base: str, request_slug: str, column: str = "value") -> DataFrame:
+    """slug, title, url and date of a chapter feed's entries that have a slug of their own; the series' slug, else the one that was asked for."""
+    item = "struct<chapter_slug:string,chapter_name:string,chapter_title:string,created_at:string,series:struct<series_slug:string>>"
+    c = parsed(raw, column, f"data array<{item}>").select(F.explode("x.data").alias("c")).select("c.*").filter(F.coalesce("chapter_slug", F.lit("")) != "")
+    label = F.concat_ws(" - ", F.nullif("chapter_name", F.lit("")), F.nullif("chapter_title", F.lit("")))
+    slug = F.coalesce(F.nullif("series.series_slug", F.lit("")), F.lit(request_slug))
+    title = F.coalesce(F.nullif(label, F.lit("")), F.col("chapter_slug"), F.lit("Chapter"))
+    date = F.coalesce(F.date_format(F.try_to_timestamp("created_at"), "MMM d, yyyy"), F.lit(""))
+    return c.select(slug.alias("slug"), title.alias("title"), F.concat(F.lit(base), F.lit("/series/"), slug, F.lit("/"), "chapter_slug").alias("url"), date.alias("date"))

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.merge import CHAPTERS, SOURCES, upsert_titles
+
+SNAPSHOT_SCHEMA = (
+    "title_key string, title string, description string, rating string, status string, type string, genres array<string>, author string, artist string, cover_url string, url string, source string, "
+    f"chapters {CHAPTERS}, chapter_count string, sources {SOURCES}, published_at string, created_at timestamp, updated_at timestamp"
+)
 
 
 def windowed_counts(log: DataFrame, window: str = "60 seconds", slide: str = "10 seconds", late: str = "2 minutes") -> DataFrame:
@@ -23,6 +33,51 @@ def errors_only(log: DataFrame) -> DataFrame:
     return log.filter(F.col("status") >= 400)
 
 
+def apply_blocks(log: DataFrame, blocks: DataFrame, hold: str = "3600 seconds", late: str = "2 minutes") -> DataFrame:
+    """The requests of log(ip, ts, ...) that come while a block of their ip (ts) holds; both sides' state goes with the watermark."""
+    left = log.withWatermark("ts", late)
+    right = blocks.select(F.col("ip").alias("_ip"), F.col("ts").alias("_from")).withWatermark("_from", late)
+    held = F.expr(f"ip = _ip AND ts >= _from AND ts <= _from + INTERVAL {hold}")
+    return left.join(right, held, "left_semi")
+
+
+STREAK = "source string, page long, streak long, dead boolean"
+
+
+def empty_streaks(crawl: DataFrame, limit: int = 5, most: int = 3600) -> DataFrame:
+    """Each page of crawl(source, page, items, more) with how many empty ones precede and include it, and whether its source's chain is dead.
+
+    Pages of a source come in order of page within a batch; the streak lives in state between batches. Dead:
+    `limit` empty pages in a row, no more pages told of, or the last page allowed.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        streak = state.get[0] if state.exists else 0
+        rows = pd.concat(parts).sort_values("page")
+        out = []
+        for page, items, more in zip(rows["page"], rows["items"], rows["more"], strict=True):
+            streak = 0 if items else streak + 1
+            out.append((key[0], page, streak, bool(streak >= limit or not more or page >= most)))
+        state.update((streak,))
+        yield pd.DataFrame(out, columns=["source", "page", "streak", "dead"])
+
+    return crawl.groupBy("source").applyInPandasWithState(step, STREAK, "streak long", "append", GroupStateTimeout.NoTimeout)
+
+
+def snapshot_merge(path: str, now: datetime.datetime) -> Callable[[DataFrame, int], None]:
+    """merge(batch, id) for run_sync_stream: the snapshot before is read, the batch upserted, and path/v=id written.
+
+    A batch that is run again reads the same snapshot and writes the same one. Version -1 is the first.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        stored = spark.read.schema(SNAPSHOT_SCHEMA).parquet(f"{path}/v={number - 1}")
+        upsert_titles(stored, batch, now).drop("action").write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return merge
+
+
 def run_sync_stream(records: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
     """Feeds each micro-batch of records to merge(batch, id); the batch id makes the merge repeatable."""
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
