@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pages import host_of, host_suffixes, is_private_host
-from .catalog import first_of
+from .catalog import least_of
 
 
 def _given(c: Column) -> Column:
@@ -14,31 +14,34 @@ def _given(c: Column) -> Column:
     return F.when(~c.isin("", "N/A", "Unknown"), c)
 
 
+def _once(details: DataFrame, columns: list[str], on: str) -> DataFrame:
+    """_on and _d, the columns of the least of the detail records of each key, so that repeated ones multiply no rows."""
+    return details.groupBy(F.col(on).alias("_on")).agg(F.min(F.struct(*columns)).alias("_d"))
+
+
 def overlay_details(listed: DataFrame, details: DataFrame, columns: list[str], on: str = "url") -> DataFrame:
-    """listed with a detail record's columns where there is one with the same url; details name each url once."""
-    d = details.select(F.col(on).alias("_on"), F.struct(*columns).alias("_d"))
-    joined = listed.join(d, listed[on] == F.col("_on"), "left")
+    """listed with a detail record's columns where there is one with the same url, the least of several."""
+    joined = listed.join(_once(details, columns, on), listed[on] == F.col("_on"), "left")
     return joined.select(*[F.when(F.col("_d").isNotNull(), F.col("_d")[c]).otherwise(listed[c]).alias(c) if c in columns else listed[c] for c in listed.columns])
 
 
 def enrich(listed: DataFrame, details: DataFrame, columns: list[str], on: str = "url") -> DataFrame:
-    """listed with the known ones of a detail record's columns; empty, N/A and Unknown replace nothing."""
-    d = details.select(F.col(on).alias("_on"), F.struct(*columns).alias("_d"))
-    joined = listed.join(d, listed[on] == F.col("_on"), "left")
+    """listed with the known ones of a detail record's columns; empty, N/A and Unknown replace nothing. Of several records the least counts."""
+    joined = listed.join(_once(details, columns, on), listed[on] == F.col("_on"), "left")
     return joined.select(*[F.coalesce(_given(F.col("_d")[c]), listed[c]).alias(c) if c in columns else listed[c] for c in listed.columns])
 
 
 def backfill_ratings(catalog: DataFrame, fresh: DataFrame) -> DataFrame:
-    """catalog(title_key, rating) with fresh ratings other than N/A, and whether each was updated."""
-    found = catalog.join(fresh.select("title_key", F.col("rating").alias("_new")), "title_key", "left")
-    new = F.when(F.col("_new") != "N/A", F.col("_new"))
-    return found.withColumn("updated", new.isNotNull()).withColumn("rating", F.coalesce(new, "rating")).drop("_new")
+    """catalog(title_key, rating) with fresh ratings other than N/A, the least of several, and whether each was updated."""
+    new = fresh.groupBy("title_key").agg(F.min(F.when(F.col("rating") != "N/A", F.col("rating"))).alias("_new"))
+    found = catalog.join(new, "title_key", "left")
+    return found.withColumn("updated", F.col("_new").isNotNull()).withColumn("rating", F.coalesce("_new", "rating")).drop("_new")
 
 
 def match_fresh(stale: DataFrame, fresh: DataFrame) -> DataFrame:
     """id and fresh_id of each stale title: by url, else the first of fresh with its key."""
-    by_url = first_of(fresh.filter("url <> ''"), ["url"], [F.asc("id")]).select("url", F.col("id").alias("by_url"))
-    by_key = first_of(fresh.filter("title_key <> ''"), ["title_key"], [F.asc("id")]).select("title_key", F.col("id").alias("by_key"))
+    by_url = least_of(fresh.filter("url <> ''"), ["url"], "id").select("url", F.col("id").alias("by_url"))
+    by_key = least_of(fresh.filter("title_key <> ''"), ["title_key"], "id").select("title_key", F.col("id").alias("by_key"))
     return stale.join(by_url, "url", "left").join(by_key, "title_key", "left").select("id", F.coalesce("by_url", "by_key").alias("fresh_id"))
 
 
@@ -71,16 +74,20 @@ def with_origin(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return urls.withColumn("origin", origin)
 
 
-def apply_blocks(log: DataFrame, blocks: DataFrame) -> DataFrame:
-    """log(ip, ts) with blocked: whether the ip's latest block by then (ts, duration_s) still holds; as-of by one window.
+def apply_blocks(log: DataFrame, blocks: DataFrame, stretch_s: int = 3600) -> DataFrame:
+    """log(ip, ts) with blocked: whether a block of the ip (ts, duration_s) that began by then still holds; as-of by one window.
 
-    Of blocks that overlap, the one that ends last holds.
+    Of blocks that overlap, the one that ends last holds. Time is cut into stretches, and a block goes to
+    each that it reaches into, so that a frequent ip's requests are dealt to many tasks.
     """
-    marks = blocks.select("ip", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) + F.col("duration_s").cast("long") * 1_000_000).alias("_until"), F.lit(0).alias("_kind"))
-    both = log.withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    seen = Window.partitionBy("ip").orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    at, size = F.unix_micros(F.col("ts").cast("timestamp")), stretch_s * 1_000_000
+    stretch = lambda t: F.floor(t / size)
+    until = at + F.col("duration_s").cast("long") * 1_000_000
+    marks = blocks.select("ip", "ts", until.alias("_until"), F.lit(0).alias("_kind"), F.explode(F.sequence(stretch(at), stretch(until))).alias("_stretch"))
+    both = log.withColumns({"_kind": F.lit(1), "_stretch": stretch(at)}).unionByName(marks, allowMissingColumns=True)
+    seen = Window.partitionBy("ip", "_stretch").orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_end", F.max("_until").over(seen)).filter("_kind = 1")
-    return both.withColumn("blocked", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) <= F.col("_end"), F.lit(False))).drop("_kind", "_until", "_end")
+    return both.withColumn("blocked", F.coalesce(at <= F.col("_end"), F.lit(False))).drop("_kind", "_until", "_end", "_stretch")
 
 
 def pending_pages(done: DataFrame, last: DataFrame) -> DataFrame:

@@ -34,8 +34,11 @@ def _joined(catalog: DataFrame, batch: DataFrame, kind: str) -> DataFrame:
     both = catalog.select("title_key", F.struct(*SNAPSHOT[1:]).alias("old")).join(first, "title_key", kind)
     both = both.withColumn("came", _array(F.col("new.chapters"), CHAPTERS)).withColumn("stored", _array(F.col("old.chapters"), CHAPTERS))
     both = both.withColumns({"came_keys": _keys(F.col("came")), "stored_keys": _keys(F.col("stored"))})
-    fresh = F.filter(F.arrays_zip("came", "came_keys"), lambda x, i: (F.array_position("came_keys", x["came_keys"]) == i + 1) & ~F.array_contains("stored_keys", x["came_keys"]))
-    return both.withColumn("fresh_chapters", F.transform(fresh, lambda x: x["came"]))
+    # stored keys come before those that came, by key and place: a key's first entry tells whether it is new
+    entry = lambda k, i: F.struct(k.alias("k"), i.alias("i"))
+    both = both.withColumn("keyed", F.array_sort(F.concat(F.transform("stored_keys", lambda k: entry(k, F.lit(-1))), F.transform("came_keys", entry))))
+    new = F.filter("keyed", lambda x, j: (x["i"] >= 0) & ((j == 0) | ~F.get("keyed", j - 1)["k"].eqNullSafe(x["k"])))
+    return both.withColumn("fresh_chapters", F.transform(F.array_sort(F.transform(new, lambda x: x["i"])), lambda i: F.get("came", i)))
 
 
 def _better() -> dict[str, Column]:

@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rate_limit_audit(log: DataFrame, most: int, seconds: int) -> DataFrame:
-    """Each request with how many its ip made on its endpoint in the window that ends with it, and whether that is too many."""
-    span = Window.partitionBy("ip", "endpoint").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return log.withColumn("in_window", F.count("*").over(span)).withColumn("limited", F.col("in_window") > most)
+def rate_limit_audit(log: DataFrame, most: int, seconds: int, spans: int = 16) -> DataFrame:
+    """Each request with how many its ip made on its endpoint in the window that ends with it, and whether that is too many.
+
+    Time is cut into stretches of some windows; the requests of a stretch's last window are also seen by the
+    next one. So a frequent ip's requests are dealt to many tasks.
+    """
+    at, window = F.unix_micros(F.col("ts").cast("timestamp")), seconds * 1_000_000
+    stretch = F.floor(F.col("_at") / (window * spans))
+    seen = log.withColumn("_at", at).withColumn("_own", stretch).withColumn("_stretch", F.explode(F.sequence(stretch, F.floor((F.col("_at") + window) / (window * spans)))))
+    span = Window.partitionBy("ip", "endpoint", "_stretch").orderBy("_at").rangeBetween(-window, 0)
+    counted = seen.withColumn("in_window", F.count("*").over(span)).filter("_own = _stretch").drop("_at", "_own", "_stretch")
+    return counted.withColumn("limited", F.col("in_window") > most)
 
 
 def empty_streaks(crawl: DataFrame, limit: int = 5) -> DataFrame:
