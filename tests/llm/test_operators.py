@@ -117,6 +117,22 @@ def test_top_k(spark):
         assert [got[q, k + 1] for k in range(5)] == [(i, v[i] @ v[q]) for i in best]
 
 
+def test_top_k_in_cells(spark):
+    """Clusters, a group of copies, ties, two lengths and a query id that two vectors share; small blocks, so that cells and parts of cells meet."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6, 12))[rng.integers(0, 6, 900)] * 3 + rng.normal(size=(900, 12)) * 0.05
+    x[300:600] = x[300]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, v[:5].tolist()) for i, v in enumerate(x[:120])] + [(50, (x[50] + 1).tolist()), (None, x[0].tolist()), (7, [1.0, None] * 6), (8, [])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=64, query_block_rows=4).collect()}
+    held = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows if i is not None and v and None not in v]
+    expected = {}
+    for q in {i for i, _ in held if i % 50 == 0}:
+        own = min((v for i, v in held if i == q), key=lambda v: (len(v), v.tolist()))
+        best = sorted((-int(own @ v), i) for i, v in held if i != q and len(v) == len(own))[:5]
+        expected |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
+    assert got == expected
+
+
 def test_sentencepieces(spark):
     import public_tokenizers
     import sentencepiece
