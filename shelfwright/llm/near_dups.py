@@ -87,22 +87,22 @@ def most_odd_bits(similarity: float, sigmas: float = 4.5) -> int:
     return min(n, math.ceil(expected + 2 * math.sqrt(max(expected, 1))))
 
 
-SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>"
+SIGNATURES = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>"
 
 
 def _signatures(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
+            for doc, text, hash_ in zip(rows["doc_id"], rows["text"], rows["text_hash"], strict=True):
                 s = shingles(text, size)
                 if not len(s) or doc is None or doc != doc:
-                    out.append((None if doc != doc else doc, len(s), None, None, None, None))
+                    out.append((None if doc != doc else doc, hash_, len(s), None, None, None, None))
                     continue
                 best = minima(s)
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                out.append((doc, len(s), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, band_keys(best), odd_sketch(best)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"]).astype({"doc_id": "Int64", "h1": "Int64", "h2": "Int64"})
+                out.append((doc, hash_, len(s), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, band_keys(best), odd_sketch(best)))
+            yield pd.DataFrame(out, columns=["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands", "sketch"]).astype({"doc_id": "Int64", "h1": "Int64", "h2": "Int64"})
 
     return run
 
@@ -243,17 +243,24 @@ def _rest(placed: DataFrame, heads: DataFrame, rows: DataFrame, size: int, perce
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text).
+    """doc_id, n_shingles, component_id, kept and text_hash (Spark's xxhash64) for each row of docs(doc_id, text).
 
     Shingles have `size` words; documents are linked where 100 * intersection >= percent * union. A null or
     empty text has no shingles and no links; a row without doc_id has no links, a null component and is kept;
-    rows that share a doc_id are linked by their texts. Other columns are ignored; no rows give no rows.
+    rows that share a doc_id are judged each by its text. Other columns are ignored; no rows give no rows.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = materialize(rows.mapInPandas(_signatures(size), SIGNATURES), "signatures")
     groups = materialize(signed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "groups")
-    heads = materialize(signed.join(groups, ["h1", "h2"]).filter("doc_id = rep").select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id", "n_shingles", "bands"]), "heads")
+    own = ["doc_id", "text_hash", "h1", "h2", "n_shingles", "bands", "sketch"]
+    heads = materialize(signed.join(groups, ["h1", "h2"]).filter("doc_id = rep").select(*own).dropDuplicates(["doc_id", "h1", "h2"]), "heads")
+    repeated = not heads.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if repeated:  # ids with several texts: below, each set has a number in order of ids for its id
+        numbered = materialize(heads.orderBy("doc_id", "h1", "h2").withColumn("node", F.monotonically_increasing_id()), "numbered")
+        rows = rows.join(numbered.select("doc_id", "text_hash", "node"), ["doc_id", "text_hash"]).select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        groups = numbered.select("h1", "h2", F.col("node").alias("rep"))
+        heads = numbered.drop("doc_id").withColumnRenamed("node", "doc_id")
     keys = heads.select("doc_id", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     buckets = materialize(keys.join(hubs, "key"), "buckets")
@@ -265,6 +272,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     rest = _rest(_placed(buckets, comps), heads, rows, size, percent)
     if not rest.isEmpty():
         comps = components(links.unionByName(rest))
-    found = signed.select("doc_id", "n_shingles", "h1", "h2").join(groups, ["h1", "h2"], "left").join(comps.select(F.col("id").alias("rep"), "label"), "rep", "left")
-    component = F.coalesce("label", "rep", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    found = signed.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(groups, ["h1", "h2"], "left").join(comps.select(F.col("id").alias("rep"), "label"), "rep", "left")
+    found = found.withColumn("node", F.coalesce("label", "rep"))
+    if repeated:
+        found = found.join(numbered.select("node", F.col("doc_id").alias("first")), "node", "left")
+    component = F.coalesce("first" if repeated else "node", "doc_id")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
