@@ -11,6 +11,8 @@ the same string are searched together, and an anchor's windows form one context.
    anchor, and those left of it backwards, are packed into symbols; one suffix array over all of them
    (linear grouping construction) ranks both sides, and the longest common prefixes of neighbours tell
    for each distance which windows are equal. The later ones are covered.
+   Strings with more than CROWDED such contexts, which would fill one task, are searched window by window
+   instead: windows of equal 128-bit digests are equal, and all but the earliest are covered.
 3. Each document's covered intervals are merged and its kept bytes digested.
 """
 
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from .shared import materialize, small_batches
 LENGTH, GRAM = 100, 32
 #: Windows that are looked at in one go; longer texts are taken in parts.
 PART = 1 << 20
+#: Contexts of one string that one suffix array takes.
+CROWDED = 20_000
 #: Bytes of a symbol, as digits of base 257 with 0 for the end.
 DIGITS = 7
 
@@ -353,6 +358,32 @@ def _searched(length: int):
     return run
 
 
+def _windows(length: int):
+    """A row for each window of the anchors found in each document: its digest, its start and its anchor."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for doc, sub, text, found in zip(rows["doc"], rows["sub"], rows["text"], rows["found"], strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                for f in found:
+                    for start in range(f["a"] - f["lo"], f["a"] - f["hi"] + 1):
+                        digest = xxhash.xxh3_128_intdigest(raw[start : start + length])
+                        out.append(((digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, doc, sub, f["a"], start))
+            yield pd.DataFrame(out, columns=["h1", "h2", "doc", "sub", "anchor", "start"])
+
+    return run
+
+
+def _crowded_spans(rows: DataFrame, anchors_: DataFrame, length: int) -> DataFrame:
+    """doc, sub, a and b of the covered windows of anchors(doc, sub, gram, a, lo, hi): one interval for each anchor, as its windows overlap."""
+    found = anchors_.groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("found"))
+    windows = materialize(rows.join(found, ["doc", "sub"]).select("doc", "sub", "text", "found").mapInPandas(_windows(length), "h1 long, h2 long, doc long, sub long, anchor long, start long"), "windows")
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = windows.join(first, ["h1", "h2"]).filter("doc <> first.doc or start <> first.start")
+    return later.groupBy("doc", "sub", "anchor").agg(F.min("start").alias("a"), (F.max("start") + length).alias("b")).drop("anchor")
+
+
 def merged(spans: list, n: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted((s["a"], min(s["b"], n)) for s in spans):
@@ -374,19 +405,23 @@ def _text() -> Column:
     return F.coalesce(F.col("row.text").cast("string"), F.lit(""))
 
 
-def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int, crowded: int = CROWDED) -> DataFrame:
     """doc, sub and spans (a, b), not yet merged, for the rows(doc, sub, text) that have any."""
     buckets = max(8, 2 * rows.rdd.getNumPartitions())
     dealt = rows.mapInPandas(_dealt(buckets, length), "bucket int, done boolean, blob binary")
     classed = materialize(dealt.repartition(buckets, "bucket").mapInPandas(_classed(length), ROWS), "classed")
-    wanted = classed.filter("gram is not null").groupBy("doc", "sub").agg(F.collect_list(F.struct("gram", "a", "lo", "hi")).alias("found"))
+    wanted, spans = classed.filter("gram is not null"), classed.filter("gram is null").select("doc", "sub", "a", "b")
+    full = materialize(wanted.groupBy("gram").count().filter(F.col("count") > crowded).select("gram"), "crowded")
+    if not full.isEmpty():
+        spans = spans.unionByName(_crowded_spans(rows, wanted.join(full, "gram", "left_semi"), length))
+        wanted = wanted.join(full, "gram", "left_anti")
+    wanted = wanted.groupBy("doc", "sub").agg(F.collect_list(F.struct("gram", "a", "lo", "hi")).alias("found"))
     fetched = rows.join(wanted, ["doc", "sub"]).select("doc", "sub", "text", "found").mapInPandas(_fetched(buckets, length), "bucket int, blob binary, contexts binary")
     searched = materialize(fetched.repartition(buckets, "bucket").mapInPandas(_searched(length), "doc long, sub long, a long, b long"), "searched")
-    spans = classed.filter("gram is null").select("doc", "sub", "a", "b").unionByName(searched)
-    return spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return spans.unionByName(searched).groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs(doc_id, text).
 
     A null text counts as empty; a null doc_id is smaller than all others; rows that share a doc_id are one
@@ -395,7 +430,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = _keyed(docs.select("doc_id", "text")).select("doc", "sub", _text().alias("text"))
-    spans = repeated_spans(rows, length)
+    spans = repeated_spans(rows, length, crowded)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

@@ -33,7 +33,8 @@ def test_suffix_array():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("crowded", [20_000, 3])
+def test_suffix_dedup(spark, crowded):
     rng = random.Random(3)
     base = "".join(rng.choice("abcé ") for _ in range(300))
     rows = [(i, base[rng.randint(0, 150) :] + rng.choice(["", "xyz", base])) for i in range(12)]
@@ -50,8 +51,9 @@ def test_suffix_dedup(spark):
         for k in range(len(b) - 99):
             if first[b[k : k + 100]] < (i, k):
                 gone[k : k + 100] = b"\1" * 100
-        expected.append((i, len(b), sum(gone), hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
-    got = [(key(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup(table(spark, rows)).collect()]
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        expected.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+    got = [(key(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup(table(spark, rows), crowded=crowded).collect()]
     assert sorted(got) == sorted(expected)
 
 
