@@ -107,14 +107,14 @@ def proxy_url(url: Column) -> Column:
     return F.when(F.length(u) < 5, "").when(u.startswith("/api/") | ~u.startswith("http"), u).otherwise(F.concat(F.lit("/api/img?url="), code))
 
 
-def title_case(t: Column) -> Column:
-    """Hyphens and underscores become blanks, words begin with capitals."""
-    return F.concat_ws(" ", F.transform(F.filter(F.split(t, "[-_]+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))))
+def title_case(t: Column, marks: str = "[-_]+") -> Column:
+    """Marks become blanks, words begin with capitals."""
+    return F.concat_ws(" ", F.transform(F.filter(F.split(t, marks), lambda w: w != ""), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))))
 
 
 def title_from_url(url: Column) -> Column:
     """The title in an address's slug between /en/x/ and /list; empty without one."""
-    return title_case(F.regexp_extract(url, "/en/[^/]+/([^/]+)/list", 1))
+    return title_case(F.regexp_extract(url, "/en/[^/]+/([^/]+)/list", 1), "-")
 
 
 def is_nav_label(title: Column) -> Column:

@@ -106,3 +106,33 @@ def test_rules_and_sources(spark):
     assert registry.source_named("three") is None
     with pytest.raises(ValueError):
         registry.union_sources(spark, [])
+
+
+def test_page_details_and_cards(spark):
+    from shelfwright.plans.pages import link_cards, page_details
+
+    html = """<html><head><title>Red &amp; Blue | Site</title><meta property="og:description" content="meta text"></head><body><h1>Red &amp; Blue – Site</h1>
+    <script>completed</script><p>short</p><p>A <b>paragraph</b> that is   long enough to be the description of it.</p><span class="num rating">8.7</span> Status : hiatus, a manga series
+    <a class=x title="By title" href="/t/one?x=1">text</a><a href='/t/two'><img alt="By  alt" src=i></a><a href="/t/one">again</a><a href="/t/three"><b>By</b> text</a><a href="/t/four">Popular ones</a><a href="/other">other</a></body></html>"""
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<title>Only</title><meta name='description' content='x'>")], "page_id long, html string")
+    rows = {r["page_id"]: tuple(r)[1:] for r in page_details(pages).collect()}
+    assert rows[1] == ("Red & Blue", "A paragraph that is long enough to be the description of it.", "8.7", "hiatus", "Manga")
+    assert rows[3] == ("Only", "x", "N/A", "Ongoing", "Manhwa")
+    cards = link_cards(pages, "https://x.example", "^/t/", 3).orderBy("pos").collect()
+    assert [(r["url"], r["title"]) for r in cards] == [("https://x.example/t/one", "By title"), ("https://x.example/t/two", "By alt"), ("https://x.example/t/three", "By text")]
+
+
+def test_output_functions(spark):
+    from shelfwright.functions import text as T
+    from shelfwright.operators.catalog import of_genre
+
+    assert values(spark, T.proxy_url, [("",), ("/api/x/y",), ("rel/path.png",), ("https://a.b/c d+(e)'!*~",), (None,)]) == ["", "/api/x/y", "rel/path.png", "/api/img?url=https%3A%2F%2Fa.b%2Fc%20d%2B(e)'!*~", ""]
+    assert values(spark, T.split_genres, [(["ActionFantasy", " sci fi", "Action", ""],), (["DRAMARomance"],)], "a array<string>") == [["Action", "Fantasy", "Sci-Fi"], ["DRAMARomance"]]
+    assert values(spark, T.source_name, [("Source G",), ("other",), ("",), (None,)]) == ["Omega Scans", "other", "Unknown", "Unknown"]
+    assert values(spark, T.clean_text, [("a\0<b>&amp;lt;</b> &nbsp;x ",), (None,)]) == ["a<  x", None]
+    assert values(spark, T.clean_url, [(" JavaScript:x",), ("data:text/x",), ("data:image/png",), ("a'b",)]) == ["", "", "data:image/png", "ab"]
+    assert values(spark, T.title_from_url, [("https://x/en/drama/the-red_one/list?title_no=1",), ("none",)]) == ["The Red_one", ""]
+    assert values(spark, T.is_adult_loose, [(["SM_bdsm"], "x"), (["ok"], "Omega x"), (None, None), (["smutty"], "x")], "a array<string>, b string") == [True, True, False, False]
+    assert values(spark, lambda t: T.is_nav_label(t), [("Latest",), ("Spoiler",), ("New Moon",), ("Newton",)]) == [True, True, True, False]
+    titles = spark.createDataFrame([(["Smut", "Drama"],)], "genres array<string>")
+    assert of_genre(titles, " SMUT").count() == 0 and of_genre(titles, "drama").count() == 1
