@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .shared import materialize, small_batches
 
 BANDS, ROWS, SKETCH_BITS = 40, 6, 1024
-#: Documents of a block in step 5.
-BLOCK = 1024
+#: Documents of a block in step 5, and shingles of all of them, on average at most.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Parts that the documents of one hub are dealt to.
 SALTS = 1024
 #: Hash slots of ids that are broadcast before texts are fetched: at most so many longs, 4 MB.
@@ -226,13 +226,14 @@ def _rest(placed: DataFrame, heads: DataFrame, rows: DataFrame, size: int, perce
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key")
     placed = materialize(placed.join(mixed, "key", "left_semi").select("hub", "doc_id", "comp").distinct(), "mixed")
     chained = components(placed.filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))).select(F.col("id").alias("doc_id"), F.col("label").alias("chain"))
-    members = materialize(chained.join(placed.select("doc_id", "comp").distinct(), "doc_id"), "members")
-    parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = members.groupBy("chain", "comp").agg(F.count("*").alias("n")).groupBy("chain").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"))
-    sizes = sizes.select("chain", F.col("most.comp").alias("major"), parts(F.col("n") - F.col("most.n")).alias("minors"), parts(F.col("most.n")).alias("majors"))
+    facts = heads.select("doc_id", "n_shingles", "sketch")
+    members = materialize(chained.join(placed.select("doc_id", "comp").distinct(), "doc_id").join(facts, "doc_id"), "members")
+    parts = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("chain", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).groupBy("chain").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "comp")).alias("most"))
+    sizes = sizes.select("chain", F.col("most.comp").alias("major"), parts(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("minors"), parts(F.col("most.n"), F.col("most.size")).alias("majors"))
     texts = _only(rows, members.select("doc_id")).mapInPandas(_sets(size), "id long, shingles binary").distinct()
     same = (F.col("id") == F.col("doc_id")) & (F.length("shingles") == 8 * F.col("n_shingles"))
-    full = members.join(sizes, "chain").join(heads.select("doc_id", "n_shingles", "sketch"), "doc_id").join(texts, same)
+    full = members.join(sizes, "chain").join(texts, same)
     # blocks of the other components come first; those of the largest one meet only them
     of_major, slot = F.col("comp") == F.col("major"), F.xxhash64("doc_id")
     full = full.withColumn("block", F.when(of_major, F.col("minors") + F.pmod(slot, F.col("majors"))).otherwise(F.pmod(slot, F.col("minors"))).cast("int"))
@@ -249,7 +250,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     empty text has no shingles and no links; a row without doc_id has no links, a null component and is kept;
     rows that share a doc_id are judged each by its text. Other columns are ignored; no rows give no rows.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, rows=1000, size=4 << 20)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = materialize(rows.mapInPandas(_signatures(size), SIGNATURES), "signatures")
     groups = materialize(signed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "groups")

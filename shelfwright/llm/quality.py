@@ -159,7 +159,7 @@ class Judge:
 
 def _prepared(docs: DataFrame, settings: dict) -> tuple[DataFrame, Judge, DataFrame]:
     """The features of docs, their judge and lang_, own: the references that are not the judge's, empty ones for languages with too little text."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, rows=1000, size=4 << 20)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _lang(docs).alias("lang"))
     settings = {"min_base_words": 50, "max_repeat_percent": 50, "min_words": 100, "max_char_distance": 0.33, "max_word_distance": 0.325} | settings
     failed = (F.col("n_words") < settings["min_base_words"]) | (100 * F.col("n_repeat_words") > settings["max_repeat_percent"] * F.col("n_words"))

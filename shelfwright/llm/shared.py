@@ -6,16 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.folders import written as materialize  # noqa: F401
 
-#: Most bytes of rows that a Python worker gets at once.
-BATCH_BYTES = 16 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 4000) -> None:
+def small_batches(spark: SparkSession, rows: int = 4000, size: int = 16 << 20) -> None:
     """Bounds the Arrow batches of this session by rows and bytes, so that very long texts can't fill a worker, and frees shuffle files early."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)  # shuffle files go when their query ends
