@@ -162,17 +162,20 @@ def exact_top_k(vectors: DataFrame, *, k: int = 5, query_every: int = 50, scale:
     facts = lambda df: df.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("r"))
     sizes = facts(placed).join(facts(asked).withColumnsRenamed({"n": "nq", "r": "rq"}), ["dim", "cell"], "left").fillna(0).toPandas()  # a row for each cell and length
     sizes["parts"] = np.ceil(sizes["n"] / block_rows).astype(int)
-    sizes["q_parts"] = np.ceil(sizes["nq"] / query_block_rows).astype(int)
     part = lambda parts: F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col(parts))
-    keys = ["dim", "cell", "other", "q_part", "part"]
+    keys = ["dim", "other", "q_part", "part"]
 
     def search(pairs: pd.DataFrame, least: DataFrame | None) -> DataFrame:
-        """What the query cells `cell` find in the cells `other`."""
-        pairs = spark.createDataFrame(pairs[["dim", "cell", "other", "q_parts", "parts"]], "dim int, cell int, other int, q_parts int, parts int")
+        """What the query cells `cell` find in the cells `other`. Queries of all cells that visit a block of data meet it together."""
+        visits = pairs.groupby(["dim", "other"])["nq"].transform("sum")
+        pairs = pairs.assign(q_parts=np.ceil(visits / query_block_rows).astype(int))
+        visited = pairs[["dim", "other", "q_parts", "parts"]].drop_duplicates()
+        pairs = F.broadcast(spark.createDataFrame(pairs[["dim", "cell", "other", "q_parts", "parts"]], "dim int, cell int, other int, q_parts int, parts int"))
+        visited = F.broadcast(spark.createDataFrame(visited, "dim int, other int, q_parts int, parts int"))
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         queries = asked.withColumn("least", F.lit(float("-inf"))) if least is None else asked.join(least, "vec_id")
-        queries = queries.join(F.broadcast(pairs), ["dim", "cell"]).withColumn("q_part", part("q_parts").cast("int")).withColumn("part", each("parts"))
-        data = placed.withColumnRenamed("cell", "other").join(F.broadcast(pairs), ["dim", "other"]).withColumn("part", part("parts").cast("int")).withColumn("q_part", each("q_parts"))
+        queries = queries.join(pairs, ["dim", "cell"]).withColumn("q_part", part("q_parts").cast("int")).withColumn("part", each("parts"))
+        data = placed.withColumnRenamed("cell", "other").join(visited, ["dim", "other"]).withColumn("part", part("parts").cast("int")).withColumn("q_part", each("q_parts"))
         left, right = queries.select(*keys, "vec_id", "x", "least"), data.select(*keys, "vec_id", "x")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(k), "query_id long, vec_id long, score long")
 
@@ -194,6 +197,6 @@ def exact_top_k(vectors: DataFrame, *, k: int = 5, query_every: int = 50, scale:
         asking = cells[cells["nq"] > 0]
         reach = _reach(c[asking["cell"]], asking["rq"].to_numpy(float), c[cells["cell"]], cells["r"].to_numpy(float))
         a, b = np.nonzero((reach >= np.array([worst[dim, cell] for cell in asking["cell"]])[:, None]) & (asking["cell"].to_numpy()[:, None] != cells["cell"].to_numpy()))
-        pairs.append(pd.DataFrame({"dim": dim, "cell": asking["cell"].to_numpy()[a], "other": cells["cell"].to_numpy()[b], "q_parts": asking["q_parts"].to_numpy()[a], "parts": cells["parts"].to_numpy()[b]}))
+        pairs.append(pd.DataFrame({"dim": dim, "cell": asking["cell"].to_numpy()[a], "other": cells["cell"].to_numpy()[b], "nq": asking["nq"].to_numpy()[a], "parts": cells["parts"].to_numpy()[b]}))
     every = pd.concat(pairs)
     return best(found.drop("rank").unionByName(search(every, least.select("vec_id", "least")))) if len(every) else found
