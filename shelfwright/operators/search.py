@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -65,24 +65,17 @@ def ranked(df: DataFrame, query: str) -> DataFrame:
 def dedupe_search(results: DataFrame, order: list[Column]) -> DataFrame:
     """results(batch_id, seq, title, title_key, ...) but for those that repeat one kept before, taken in the given order within a batch; keys under three characters go.
 
-    Places in the order are numbered over all results, so that the pair join and the scan know who comes first.
+    Places are numbered within a batch; with the batch they name the nodes of the pair join and the scan.
     """
     rest = results.filter(F.length("title_key") >= 3)
-    place = F.row_number().over(_by("batch_id", order))
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy(*order))
     placed = written(rest.withColumn("_row", F.struct("*")).select("batch_id", "title", "title_key", "_row", place.alias("_place")), "placed")
-    # places are unique within a batch; with the batch they number the nodes
     numbered = placed.withColumn("seq", F.struct("batch_id", "_place"))
     pairs = fuzzy_pairs(numbered, "search").select("a", "b")
     led = scan_leaders(numbered.select("seq"), pairs)
     return numbered.join(led.filter("seq = leader").select("seq"), "seq", "left_semi").select("_row.*")
 
 
-def _by(key: str, order: list[Column]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(*order)
-
-
 def clean_record(df: DataFrame) -> DataFrame:
     """Records whose texts are free of markup and whose addresses are safe, also in genres and chapters."""
     kinds = dict(df.dtypes)
