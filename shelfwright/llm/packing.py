@@ -24,7 +24,7 @@ from .shared import materialize, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; above it the words are forgotten and found again.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Pieces that a shard has on average.
 SHARD_PIECES = 100_000
 #: A full stop or comma after a letter at the end of a word is a token of its own.
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, size: int, tokenizer: str) -> DataFrame:
                     out.append((doc, k // (4 * size), k // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=8 << 20)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES)
 
 

@@ -31,7 +31,7 @@ from .shared import materialize, small_batches
 
 LENGTH, GRAM = 100, 32
 #: Windows that are looked at in one go; longer texts are taken in parts.
-PART = 1 << 20
+PART = 1 << 18
 #: Contexts of one string that one suffix array takes.
 CROWDED = 20_000
 #: Bytes of a symbol, as digits of base 257 with 0 for the end.
@@ -428,7 +428,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, crowded: int = CROWDE
     document for what is earlier, and equal places of theirs are not earlier than each other. Other columns
     are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=8 << 20)
     rows = _keyed(docs.select("doc_id", "text")).select("doc", "sub", _text().alias("text"))
     spans = repeated_spans(rows, length, crowded)
 
@@ -450,7 +450,7 @@ def _kept(raw: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 def without_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """docs with the repeated bytes cut from each text; bytes of characters that a cut leaves in parts go too. Nulls and other columns, whatever their names, stay."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=8 << 20)
     keyed = _keyed(docs)
     spans = repeated_spans(keyed.select("doc", "sub", _text().alias("text")), length)
 
