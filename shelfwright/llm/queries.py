@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .html_text import extract_main_text
 from .licenses import license_scan
+from .merkle import merkle_manifest
 from .near_dups import near_duplicates
 from .packing import best_fit_packing
 from .pii import pii_report
@@ -59,6 +60,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
