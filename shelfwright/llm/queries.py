@@ -17,6 +17,7 @@ from .secrets import secret_scan
 from .sentencepieces import encode_pieces
 from .shared import table
 from .suffix_dedup import suffix_dedup
+from .token_files import token_file_digests
 from .topk import exact_top_k
 
 
@@ -60,6 +61,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"))
 
