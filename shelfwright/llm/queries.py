@@ -16,6 +16,7 @@ from .quality import quality_rules
 from .secrets import secret_scan
 from .sentencepieces import encode_pieces
 from .shared import table
+from .spelling import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .token_files import token_file_digests
 from .topk import exact_top_k
@@ -61,6 +62,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"))
 
