@@ -38,7 +38,7 @@ FOOTER = struct.Struct("<QQQII8s")
 #: Ids of a block: a multiple of 8.
 BLOCK = 1 << 14
 #: Chunks whose ids a worker keeps, and their longest; above the first the later half is forgotten and found again.
-CACHE_CHUNKS, CACHE_LENGTH = 500_000, 64
+CACHE_CHUNKS, CACHE_LENGTH = 800_000, 64
 #: Ids that the reader gives in a batch, unless one document has more.
 READ_IDS = 1 << 20
 
@@ -84,40 +84,40 @@ class ChunkEncoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.bits = vocabulary_bits(self.tokenizer.get_vocab_size())
+        # ids of tokens that begin with a space, of which a chunk behind one has exactly one
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[k for x, k in self.tokenizer.get_vocab().items() if x[0] == "\u0120"]] = True
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def wholes(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def split(self, text: str) -> tuple[str, list[str]]:
-        """The text up to the first cut, and the chunks behind it: without their leading spaces, or behind BARE if they have none."""
+    def split(self, text: str) -> list[str]:
+        """Chunks of the text, the first behind BARE, the others without their leading spaces or behind BARE if they have none."""
         raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         odd = (_BEFORE[raw[:-2]] & (raw[1:-1] == 32) & _BEHIND[raw[2:]]).any() if len(raw) > 2 else True
         if odd or text[-1] == " " or text[0] == " ":
             first, *rest = _CUT.split(text)
-            return first, [x[1:] for x in rest]
-        first, *rest = _LINE.sub(" \0\n \0", _MARK.sub(" \0\\g<0>", text)).split(" ")
-        return first, rest
+            return [BARE + first, *(x[1:] for x in rest)]
+        return (BARE + _LINE.sub(" \0\n \0", _MARK.sub(" \0\\g<0>", text))).split(" ")
 
     def learn(self, chunks: list[str]) -> list[str]:
         """Puts the chunks' ids into `known`; returns the chunks that are too long to stay there."""
-        plain = [x for x in chunks if x and x[0] != BARE and len(x) <= CACHE_LENGTH and not x[0].isspace() and not x[-1].isspace()]
+        plain = [x for x in chunks if x and x[0] != BARE and len(x) <= CACHE_LENGTH and " " not in x and not x[0].isspace() and not x[-1].isspace()]
         for k in range(0, len(plain), 20_000):
             part = plain[k : k + 20_000]
-            got = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            ends = np.searchsorted([a for a, _ in got.offsets], np.cumsum([0] + [len(x) + 1 for x in part]))
-            self.known.update((x, ids[a:b].tobytes()) for x, a, b in zip(part, ends[:-1], ends[1:], strict=True))
+            ids = np.frombuffer(self.wholes([" " + " ".join(part)])[0], "<u4")
+            starts = np.append(np.flatnonzero(self.begins[ids]), len(ids)).tolist()
+            self.known.update((x, ids[a:b].tobytes()) for x, a, b in zip(part, starts[:-1], starts[1:], strict=True))
         rest = [x for x in chunks if x not in self.known]
-        self.known.update((x, self.whole(x[1:] if x[:1] == BARE else " " + x)) for x in rest)
+        self.known.update(zip(rest, self.wholes([x[1:] if x[:1] == BARE else " " + x for x in rest]), strict=True))
         return [x for x in rest if len(x) > CACHE_LENGTH]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in t or BARE in t or not t else self.split(t) for t in texts]
+        split = [None if "<|" in t or BARE in t else self.split(t) if t else [] for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.known = dict(islice(self.known.items(), CACHE_CHUNKS // 2))
-        new = set().union(*(s[1] for s in split if s)) - self.known.keys()
-        long = self.learn(list(new))
-        out = [self.whole(t) if s is None else self.whole(s[0]) + b"".join(map(self.known.__getitem__, s[1])) for t, s in zip(texts, split, strict=True)]
+        long = self.learn(list(set().union(*filter(None, split)) - self.known.keys()))
+        out = [self.wholes([t])[0] if s is None else b"".join(map(self.known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
         for x in long:
             del self.known[x]
         return out
