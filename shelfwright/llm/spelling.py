@@ -190,7 +190,7 @@ def _search(rows: pd.DataFrame) -> pd.DataFrame:
     targets, searches = rows[rows["depth"] < 0], rows[rows["depth"] >= 0]
     t, q = _Words(targets["word"].tolist()), _Words(searches["word"].tolist())
     if not len(targets) or not len(searches):
-        return pd.DataFrame({"word": [], "n_near": [], "best_n": [], "best": []})
+        return pd.DataFrame({"word": [], "n_near": [], "best_n": [], "best": []}, dtype=object)
     order = np.lexsort(t.vec.T[::-1])
     targets = targets.iloc[order]
     t = _Words(targets["word"].tolist())
@@ -216,7 +216,7 @@ def _search(rows: pd.DataFrame) -> pd.DataFrame:
     both = pd.concat([pd.concat([a, b], axis=1, ignore_index=True), pd.concat([b, a], axis=1, ignore_index=True)])
     both.columns = ["word", "n", "best", "best_n"]
     both = both.sort_values(["best_n", "best"], ascending=[False, True])
-    return both.groupby("word", sort=False).agg(n_near=("best", "size"), best_n=("best_n", "first"), best=("best", "first")).reset_index()
+    return both.groupby("word", sort=False).agg(n_near=("best", "size"), best_n=("best_n", "first"), best=("best", "first")).reset_index().astype({"word": object, "best": object})
 
 
 def _joined(large: DataFrame, targets: DataFrame, searches: DataFrame) -> DataFrame:
