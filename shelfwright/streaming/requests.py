@@ -10,13 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.merge import CHAPTERS, SOURCES, upsert_titles
-
-SNAPSHOT_SCHEMA = (
-    "title_key string, title string, description string, rating string, status string, type string, genres array<string>, author string, artist string, cover_url string, url string, source string, "
-    f"chapters {CHAPTERS}, chapter_count string, sources {SOURCES}, published_at string, created_at timestamp, updated_at timestamp"
-)
-
+from ..operators.store import Catalog
 
 def windowed_counts(log: DataFrame, window: str = "60 seconds", slide: str = "10 seconds", late: str = "2 minutes") -> DataFrame:
     """Requests by ip, endpoint and sliding window; late rows are taken up to the watermark."""
@@ -64,16 +58,14 @@ def empty_streaks(crawl: DataFrame, limit: int = 5, most: int = 3600) -> DataFra
     return crawl.groupBy("source").applyInPandasWithState(step, STREAK, "streak long", "append", GroupStateTimeout.NoTimeout)
 
 
-def snapshot_merge(path: str, now: datetime.datetime) -> Callable[[DataFrame, int], None]:
-    """merge(batch, id) for run_sync_stream: the snapshot before is read, the batch upserted, and path/v=id written.
+def catalog_merge(catalog: Catalog, now: datetime.datetime) -> Callable[[DataFrame, int], None]:
+    """merge(batch, id) for run_sync_stream: upserts a batch into the stored catalog, of which only the buckets that it touches are written.
 
-    A batch that is run again reads the same snapshot and writes the same one. Version -1 is the first.
+    A batch that is run again changes nothing that it has committed before.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stored = spark.read.schema(SNAPSHOT_SCHEMA).parquet(f"{path}/v={number - 1}")
-        upsert_titles(stored, batch, now).drop("action").write.mode("overwrite").parquet(f"{path}/v={number}")
+        catalog.upsert(batch, now, number)
 
     return merge
 

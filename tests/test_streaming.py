@@ -7,8 +7,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwright.operators.merge import SNAPSHOT
+from shelfwright.operators.merge import SNAPSHOT, SNAPSHOT_SCHEMA
 from shelfwright.operators.reports import write_request_log
+from shelfwright.operators.store import Catalog
 from shelfwright.sources.adapters import TITLE, read_catalog
 from shelfwright.streaming import requests as S
 
@@ -92,16 +93,15 @@ def test_sync_stream_is_repeatable(spark, feed, tmp_path):
     schema = "seq long, title_key string, title string, description string, rating string, status string, type string, genres array<string>, author string, artist string, cover_url string, url string, source string, chapters array<struct<title:string,url:string,date:string>>"
     chapter = lambda n: {"title": f"Chapter {n}", "url": f"/c-{n}", "date": "2027-01-01"}
     record = lambda key, rating, *n: {"seq": 1, "title_key": key, "title": key, "description": "", "rating": rating, "genres": ["x"], "url": "u", "source": "s", "chapters": [chapter(k) for k in n]}
-    path = str(tmp_path / "snapshots")
-    spark.createDataFrame([], S.SNAPSHOT_SCHEMA).write.parquet(f"{path}/v=-1")
+    catalog = Catalog(spark, str(tmp_path / "catalog"), 4)
     feed.write(record("one", "N/A", 1, 2))
     feed.write(record("one", "7.5", 2, 3), record("two", "9", 1))
-    merge = S.snapshot_merge(path, now)
+    merge = S.catalog_merge(catalog, now)
     S.run_sync_stream(feed.stream(schema), merge, str(tmp_path / "sync")).awaitTermination()
-    again = spark.read.schema(schema).json(str(feed.folder / "002.json"))
-    merge(again, 1)  # as after a failure
-    last = spark.read.parquet(f"{path}/v=1")
-    assert last.columns == SNAPSHOT
+    before = [x.table.version() for x in (catalog.words, catalog.grams, catalog.matches)]
+    merge(spark.read.schema(schema).json(str(feed.folder / "002.json")), 1)  # as after a failure
+    last = catalog.titles.read()
+    assert last.columns == SNAPSHOT and [x.table.version() for x in (catalog.words, catalog.grams, catalog.matches)] == before
     assert sorted((r["title_key"], r["rating"], r["chapter_count"]) for r in last.collect()) == [("one", "7.5", "3"), ("two", "9", "1")]
 
 
@@ -121,7 +121,7 @@ def test_search_and_merge(spark):
     schema = "seq long, title_key string, title string, description string, rating string, status string, type string, genres array<string>, author string, artist string, cover_url string, url string, source string, chapters array<struct<title:string,url:string,date:string>>"
     record = lambda seq, title: (seq, "".join(c for c in title.lower() if c.isalnum()), title, "", "8", "", "", ["<b>x</b>"], "", "", "", "javascript:x", "s", [])
     rows = [record(1, "The Red Tower Saga"), record(2, "Red Tower"), record(3, "the red tower sagaa"), record(4, "Blue Lake"), record(5, "Latest updates red tower")]
-    catalog = spark.createDataFrame([], S.SNAPSHOT_SCHEMA)
+    catalog = spark.createDataFrame([], SNAPSHOT_SCHEMA)
     now = datetime.datetime(2027, 1, 1, tzinfo=datetime.timezone.utc)
     got = search_and_merge(catalog, spark.createDataFrame(rows, schema), "red tower", now).collect()
     assert {(r["title"], r["url"], tuple(r["genres"]), r["action"]) for r in got} == {("Red Tower", "", ("x",), "insert")}
