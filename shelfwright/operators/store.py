@@ -241,6 +241,10 @@ class Catalog:
         name = {"title_key": "string"}
         self.words, self.grams, self.matches = (Postings(spark, f"{path}/{kind}", kind, name, buckets) for kind in ("words", "grams", "matches"))
 
+    def titles_only(self, batch: DataFrame, now: datetime.datetime, number: int | None = None) -> bool:
+        """Upserts a batch and leaves the indexes as they are, to be built anew."""
+        return self.titles.change(batch.filter(F.length("title_key") >= 3), lambda stored, b: upsert_titles(stored, b, now).select(*SNAPSHOT), number)
+
     def upsert(self, batch: DataFrame, now: datetime.datetime, number: int | None = None) -> bool:
         """Upserts a batch: buckets of its keys are written anew, then those of the tokens that its titles lost and won.
 
@@ -248,7 +252,7 @@ class Catalog:
         titles as they were before and are after the batch, which both stay until the next one.
         """
         keys = batch.filter(F.length("title_key") >= 3).select("title_key").distinct()
-        put = self.titles.change(batch.filter(F.length("title_key") >= 3), lambda stored, b: upsert_titles(stored, b, now).select(*SNAPSHOT), number)
+        put = self.titles_only(batch, now, number)
         old, new = self.titles.lookup(keys, back=1), self.titles.lookup(keys)
         for index in (self.words, self.grams, self.matches):
             index.update(old, new, number)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from shelfwright import catalog_queries, detail_queries, search_queries  # noqa: F401
+from shelfwright import catalog_queries, detail_queries, search_queries, store_queries  # noqa: F401
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
