@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_batches
+from .shared import materialize, released, small_batches
 
 BANDS, ROWS, SKETCH_BITS = 40, 6, 1024
 #: Documents of a block in step 5, and shingles of all of them, on average at most.
@@ -161,8 +161,8 @@ def likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of pairs(a, b) whose full sets are similar enough. Each set goes to the pairs that name it."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = _only(docs.select("doc_id", "text"), materialize(needed, "needed")).mapInPandas(_sets(size), "id long, shingles binary")
-    return materialize(_both(pairs, sets).mapInPandas(_confirmed(percent), "a long, b long").distinct(), "links")
+    sets = _only(docs.select("doc_id", "text"), materialize(needed, "needed")).mapInPandas(released(_sets(size)), "id long, shingles binary")
+    return materialize(_both(pairs, sets).mapInPandas(released(_confirmed(percent)), "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def _rest(placed: DataFrame, heads: DataFrame, rows: DataFrame, size: int, perce
     parts = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
     sizes = members.groupBy("chain", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).groupBy("chain").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "comp")).alias("most"))
     sizes = sizes.select("chain", F.col("most.comp").alias("major"), parts(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("minors"), parts(F.col("most.n"), F.col("most.size")).alias("majors"))
-    texts = _only(rows, members.select("doc_id")).mapInPandas(_sets(size), "id long, shingles binary").distinct()
+    texts = _only(rows, members.select("doc_id")).mapInPandas(released(_sets(size)), "id long, shingles binary").distinct()
     same = (F.col("id") == F.col("doc_id")) & (F.length("shingles") == 8 * F.col("n_shingles"))
     full = members.join(sizes, "chain").join(texts, same)
     # blocks of the other components come first; those of the largest one meet only them
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     """
     small_batches(docs.sparkSession, rows=1000, size=4 << 20)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    signed = materialize(rows.mapInPandas(_signatures(size), SIGNATURES), "signatures")
+    signed = materialize(rows.mapInPandas(released(_signatures(size)), SIGNATURES), "signatures")
     groups = materialize(signed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "groups")
     own = ["doc_id", "text_hash", "h1", "h2", "n_shingles", "bands", "sketch"]
     heads = materialize(signed.join(groups, ["h1", "h2"]).filter("doc_id = rep").select(*own).dropDuplicates(["doc_id", "h1", "h2"]), "heads")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import materialize, small_batches
+from .shared import materialize, released, small_batches
 
 # Frequent words of English, French, German and Spanish.
 COMMON_WORDS = (
@@ -163,7 +163,7 @@ def _prepared(docs: DataFrame, settings: dict) -> tuple[DataFrame, Judge, DataFr
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _lang(docs).alias("lang"))
     settings = {"min_base_words": 50, "max_repeat_percent": 50, "min_words": 100, "max_char_distance": 0.33, "max_word_distance": 0.325} | settings
     failed = (F.col("n_words") < settings["min_base_words"]) | (100 * F.col("n_repeat_words") > settings["max_repeat_percent"] * F.col("n_words"))
-    found = materialize(rows.mapInPandas(_features, FEATURES), "quality")
+    found = materialize(rows.mapInPandas(released(_features), FEATURES), "quality")
     every = _references(found.withColumn("base_failed", failed))
     total = every.agg(F.sum("docs")).first()[0] or 0
     enough = F.col("n_words") >= REFERENCE_WORDS

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_batches
+from .shared import materialize, released, small_batches
 
 LENGTH, GRAM = 100, 32
 #: Windows that are looked at in one go; longer texts are taken in parts.
@@ -407,17 +407,17 @@ def _text() -> Column:
 
 def repeated_spans(rows: DataFrame, length: int, crowded: int = CROWDED) -> DataFrame:
     """doc, sub and spans (a, b), not yet merged, for the rows(doc, sub, text) that have any."""
-    buckets = max(8, 2 * rows.rdd.getNumPartitions())
-    dealt = rows.mapInPandas(_dealt(buckets, length), "bucket int, done boolean, blob binary")
-    classed = materialize(dealt.repartition(buckets, "bucket").mapInPandas(_classed(length), ROWS), "classed")
+    buckets = max(8, 4 * rows.rdd.getNumPartitions())
+    dealt = rows.mapInPandas(released(_dealt(buckets, length)), "bucket int, done boolean, blob binary")
+    classed = materialize(dealt.repartition(buckets, "bucket").mapInPandas(released(_classed(length)), ROWS), "classed")
     wanted, spans = classed.filter("gram is not null"), classed.filter("gram is null").select("doc", "sub", "a", "b")
     full = materialize(wanted.groupBy("gram").count().filter(F.col("count") > crowded).select("gram"), "crowded")
     if not full.isEmpty():
         spans = spans.unionByName(_crowded_spans(rows, wanted.join(full, "gram", "left_semi"), length))
         wanted = wanted.join(full, "gram", "left_anti")
     wanted = wanted.groupBy("doc", "sub").agg(F.collect_list(F.struct("gram", "a", "lo", "hi")).alias("found"))
-    fetched = rows.join(wanted, ["doc", "sub"]).select("doc", "sub", "text", "found").mapInPandas(_fetched(buckets, length), "bucket int, blob binary, contexts binary")
-    searched = materialize(fetched.repartition(buckets, "bucket").mapInPandas(_searched(length), "doc long, sub long, a long, b long"), "searched")
+    fetched = rows.join(wanted, ["doc", "sub"]).select("doc", "sub", "text", "found").mapInPandas(released(_fetched(buckets, length)), "bucket int, blob binary, contexts binary")
+    searched = materialize(fetched.repartition(buckets, "bucket").mapInPandas(released(_searched(length)), "doc long, sub long, a long, b long"), "searched")
     return spans.unionByName(searched).groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
