@@ -205,10 +205,11 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def fuzzy_key_match(a: Column, b: Column) -> Column:
     """Whether two title keys name the same work: equal, romanized alike, one in the other, or few edits."""
-    return _key_match(a, b, roman_key(a), roman_key(b))
+    return key_match(a, b, roman_key(a), roman_key(b))
 
 
-def _key_match(a: Column, b: Column, ra: Column, rb: Column) -> Column:
+def key_match(a: Column, b: Column, ra: Column, rb: Column) -> Column:
+    """fuzzy_key_match on keys and their romanized forms."""
     la, lb = F.length(a), F.length(b)
     close = (F.abs(F.length(ra) - F.length(rb)) <= 3) & (F.length(ra) > 3) & _edits(ra, rb, 0.15)
     long = (la > 6) & (lb > 6)
@@ -242,15 +243,23 @@ def _shared(wa: Column, wb: Column) -> Column:
 
 def fuzzy_title_match(a: Column, b: Column) -> Column:
     """Whether two titles name the same work: by their keys, or by seven in ten of the fewer words, two at least; a's repeated words count each."""
-    wa, wb = title_words(a), title_words(b)
-    words = (F.size(wa) >= 2) & (F.size(wb) >= 2) & (_shared(wa, wb) >= 2) & (_shared(wa, wb) / F.least(F.size(wa), F.size(wb)) >= 0.7)
-    return _key_match(title_key(a), title_key(b), roman_key(a), roman_key(b)) | words
+    return title_match(title_key(a), title_key(b), roman_key(a), roman_key(b), title_words(a), title_words(b))
+
+
+def title_match(ka: Column, kb: Column, ra: Column, rb: Column, wa: Column, wb: Column) -> Column:
+    """fuzzy_title_match on keys, romanized forms and words."""
+    enough = (F.size(wa) >= 2) & (F.size(wb) >= 2)
+    return key_match(ka, kb, ra, rb) | (enough & (_shared(wa, wb) >= 2) & (_shared(wa, wb) / F.least(F.size(wa), F.size(wb)) >= 0.7))
 
 
 def fuzzy_search_match(a: Column, b: Column) -> Column:
     """Whether the search result a repeats b, which was found before."""
-    ka, kb, wa, wb = title_key(a), title_key(b), search_words(a), search_words(b)
+    return search_match(title_key(a), title_key(b), search_key(a), search_key(b), search_words(a), search_words(b))
+
+
+def search_match(ka: Column, kb: Column, sa: Column, sb: Column, wa: Column, wb: Column) -> Column:
+    """fuzzy_search_match on keys, search keys and words."""
     inside = (F.length(ka) > 5) & (F.length(kb) > 5) & (ka.contains(kb) | kb.contains(ka)) & (_ratio(ka, kb) >= 0.65)
     near = (F.abs(F.length(ka) - F.length(kb)) <= 3) & (F.length(ka) > 5) & _edits(ka, kb, 0.2)
     words = (F.size(wa) >= 2) & (F.size(wb) >= 2) & (_shared(wa, wb) / F.least(F.size(wa), F.size(wb)) >= 0.7)
-    return (ka == kb) | (search_key(a) == search_key(b)) | inside | near | words
+    return (ka == kb) | (sa == sb) | inside | near | words

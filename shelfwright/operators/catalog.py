@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ADULT_GENRES, fuzzy_key_match, fuzzy_search_match, fuzzy_title_match, roman_key, search_key, search_words, title_key, title_words
-from ..sources.folders import written
+from ..functions.text import ADULT_GENRES
+from .matching import fuzzy_cluster, fuzzy_pairs, representatives, scan_leaders  # noqa: F401
 
 
 def rating_number(rating: Column) -> Column:
@@ -76,135 +76,6 @@ def top_per(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
 
 
-def representatives(records: DataFrame) -> DataFrame:
-    """The first record of each key of a batch; keys under three characters take no part."""
-    return records.filter(F.length("title_key") >= 3).groupBy("batch_id", "title_key").agg(F.min("seq").alias("seq"))
-
-
-def _within_edits(keys: DataFrame, share: float) -> DataFrame:
-    """Candidate pairs (x, y) of keys(batch_id, seq, k) whose lengths differ by three at most and whose edits are at most max(1, floor(share * longer)).
-
-    The longer key has d + 1 segments for d edits. Some segment i (from 0) stands unchanged in the shorter key
-    with at most i edits before and d - i behind it, so its place differs by s with |s| <= i and
-    |difference - s| <= d - i. Segments are joined with the substrings at these places, by equality.
-    """
-    n = F.length("k")
-    allowed = F.greatest(F.lit(1), F.floor(F.col("m") * share)).cast("int")
-    start = lambda i: F.floor(i * F.col("m") / (F.col("d") + 1)).cast("int")
-
-    def segments(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("d", allowed).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
-        return rows.withColumns({"from": start(F.col("i")), "size": start(F.col("i") + 1) - start(F.col("i"))})
-
-    own = keys.filter(n >= 3)
-    longer = segments(own.withColumn("m", n)).select("batch_id", F.col("seq").alias("x"), "m", "i", F.substring("k", F.col("from") + 1, F.col("size")).alias("part"))
-    placed = segments(own.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("m", n + F.col("t")))
-    low, high = F.greatest(-F.col("i"), F.col("t") - F.col("d") + F.col("i")), F.least(F.col("i"), F.col("t") + F.col("d") - F.col("i"))
-    placed = placed.withColumns({"low": low, "high": high}).filter("low <= high").withColumn("shift", F.explode(F.sequence("low", "high"))).withColumn("at", F.col("from") - F.col("shift"))
-    placed = placed.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= n))
-    shorter = placed.select("batch_id", F.col("seq").alias("y"), "m", "i", F.substring("k", F.col("at") + 1, F.col("size")).alias("part"))
-    return longer.join(shorter, ["batch_id", "m", "i", "part"]).select("batch_id", "x", "y")
-
-
-#: Sizes of the begins by which contained keys are found: a key is looked for by the longest that it has.
-BEGINS = (6, 8, 11, 15, 20, 27, 36, 48)
-
-
-def _contained(keys: DataFrame, ratio: float) -> DataFrame:
-    """Candidate pairs (x, y) where y is in x and has at least `ratio` of its length, or begins x.
-
-    y's begin, of the longest size in BEGINS that it has, stands in x at most as far from the start as x is
-    longer than y. So x gives its parts of these sizes there, and a begin meets them by equality.
-    """
-    n, size = F.length("k"), F.col("size")
-    sizes = F.filter(F.array(*map(F.lit, BEGINS)), lambda s: s <= F.length("k"))
-    begins = keys.filter(n >= BEGINS[0]).select("batch_id", F.col("seq").alias("y"), F.array_max(sizes).alias("size"), "k").select("batch_id", "y", "size", F.substring("k", F.lit(1), size).alias("part"))
-    least = F.ceil(n * ratio).cast("int")
-    spread = keys.filter(n >= BEGINS[0]).withColumn("size", F.explode(sizes))
-    # a y of this size class is shorter than the next class begins; only then it may lie inside
-    following = F.coalesce(F.array_min(F.filter(F.array(*map(F.lit, BEGINS)), lambda s: s > size)), F.lit(1 << 30))
-    last = F.when(following > least, n - F.greatest(least, size)).otherwise(0)
-    parts = spread.withColumn("at", F.explode(F.sequence(F.lit(0), last))).select("batch_id", F.col("seq").alias("x"), "size", F.substring("k", F.col("at") + 1, size).alias("part")).distinct()
-    return parts.join(begins, ["batch_id", "size", "part"]).select("batch_id", "x", "y")
-
-
-def _sharing_words(rows: DataFrame, share: float) -> DataFrame:
-    """Candidate pairs (x, y) of rows(batch_id, seq, words) where y has so large a share of the fewer words, by number of x's words.
-
-    Of x's n words, some must be y's: of the n - ceil(share * fewer) + 1 rarest ones at least one is. So only
-    those are joined, for each number of words that y may have.
-    """
-    own = rows.filter(F.size("words") >= 2).withColumn("n", F.size("words"))
-    most = own.agg(F.max("n")).first()[0] or 2
-    each = own.select("batch_id", "seq", "n", F.posexplode("words").alias("pos", "word"))
-    often = each.select("batch_id", "seq", "word").distinct().groupBy("batch_id", "word").agg(F.count("*").alias("often"))
-    rare = F.row_number().over(Window.partitionBy("batch_id", "seq").orderBy("often", "word", "pos"))
-    ranked = each.join(often, ["batch_id", "word"]).withColumn("rank", rare).withColumn("m", F.explode(F.sequence(F.lit(2), F.lit(most))))
-    left = ranked.filter(F.col("rank") <= F.col("n") - F.ceil(share * F.least("n", "m")) + 1).select("batch_id", F.col("seq").alias("x"), "word", "m").distinct()
-    right = each.select("batch_id", F.col("seq").alias("y"), "word", F.col("n").alias("m")).distinct()
-    return left.join(right, ["batch_id", "word", "m"]).select("batch_id", "x", "y")
-
-
-#: Of each rule: the decision, the form that is compared beside the key, shares of edits of keys and of that form, of containment and of words.
-RULES = {
-    "key": (fuzzy_key_match, lambda t: roman_key(title_key(t)), 0.2, 0.15, 0.7, None, None),
-    "title": (fuzzy_title_match, roman_key, 0.2, 0.15, 0.7, title_words, 0.7),
-    "search": (lambda a, b: fuzzy_search_match(b, a), search_key, 0.2, None, 0.65, search_words, 0.7),
-}
-
-
-def fuzzy_pairs(records: DataFrame, rule: str = "key") -> DataFrame:
-    """Pairs (a, b), a before b, of a batch's records that a rule matches.
-
-    "key" compares keys of representatives (see there for the other records), "title" whole titles, "search"
-    whole titles as search results: b is held against a, found before. Keys under three characters take no
-    part. Candidates come from joins by equality: of keys, of their other forms, of begins with the parts of
-    keys that may contain them, of segments within the bounds on edits, and of rare words. The rule decides.
-    """
-    match, form, edits, form_edits, ratio, words, share = RULES[rule]
-    reps = representatives(records).withColumn("title", F.col("title_key")) if rule == "key" else records.filter(F.length("title_key") >= 3).select("batch_id", "seq", "title", "title_key")
-    keys = reps.select("batch_id", "seq", F.col("title_key").alias("k"))
-    other = reps.select("batch_id", "seq", form(F.col("title")).alias("k"))
-    equal = lambda rows: rows.withColumnRenamed("seq", "x").join(rows.withColumnRenamed("seq", "y"), ["batch_id", "k"]).select("batch_id", "x", "y")
-    found = _contained(keys, ratio).union(equal(other)).union(_within_edits(keys, edits))
-    found = found if rule == "key" else found.union(equal(keys))
-    found = found.union(_within_edits(other, form_edits)) if form_edits else found
-    found = found.union(_sharing_words(reps.select("batch_id", "seq", words(F.col("title")).alias("words")), share)) if words else found
-    pairs = found.filter("x <> y").select("batch_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    side = lambda c: reps.select("batch_id", F.col("seq").alias(c), F.col("title").alias(f"title_{c}"))
-    both = pairs.join(side("a"), ["batch_id", "a"]).join(side("b"), ["batch_id", "b"])
-    return both.filter(match(F.col("title_a"), F.col("title_b"))).select("batch_id", "a", "b")
-
-
-def scan_leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """seq and leader of nodes(seq): scanning in order, a node joins the first earlier leader that pairs(a, b) links it with, else it leads.
-
-    A round decides all nodes whose earlier neighbours are decided, the first open one at least.
-    """
-    pairs = written(pairs.select("a", "b"), "pairs")
-    state = written(nodes.select("seq", F.lit(None).cast("boolean").alias("leads")), "leads")
-    while True:
-        seen = pairs.join(state.select(F.col("seq").alias("a"), F.col("leads").alias("a_leads")), "a").groupBy(F.col("b").alias("seq"))
-        seen = seen.agg(F.max(F.coalesce("a_leads", F.lit(False))).alias("some"), F.min(F.coalesce(~F.col("a_leads"), F.lit(False))).alias("none"))
-        verdict = F.coalesce("leads", F.when(F.coalesce("some", F.lit(False)), False).when(F.coalesce("none", F.lit(True)), True))
-        state = written(state.join(seen, "seq", "left").select("seq", verdict.alias("leads")), "leads")
-        if state.filter("leads is null").isEmpty():
-            break
-    leaders = state.filter("leads").select(F.col("seq").alias("a"))
-    joined = pairs.join(leaders, "a").groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("first"))
-    return state.join(joined, "seq", "left").select("seq", F.when(F.col("leads"), F.col("seq")).otherwise(F.col("first")).alias("leader"))
-
-
-def fuzzy_cluster(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """seq and its leader: scanning in order, a record joins the first earlier leader it matches, else it leads.
-
-    The representatives are scanned; a record with an earlier one's key matches what that one matches.
-    """
-    reps = written(representatives(records), "representatives")
-    led = scan_leaders(reps, pairs)
-    return records.select("batch_id", "title_key", "seq").join(reps.join(led, "seq").select("batch_id", "title_key", "leader"), ["batch_id", "title_key"]).select("seq", "leader")
-
-
 def upsert(catalog: DataFrame, batch: DataFrame) -> DataFrame:
     """The merged snapshot of (title_key, rating, chapter_count, description, action): new keys are inserted; a rating
     that is not N/A and a longer description replace the stored ones, and the larger count stands."""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.folders import written
-from .catalog import fuzzy_pairs, scan_leaders
+from .matching import in_order, node_pairs, nodes_of, scan_leaders
 from .merge import upsert_titles
 
 #: What a query's word in a field adds to a title's score.
@@ -65,15 +65,13 @@ def ranked(df: DataFrame, query: str) -> DataFrame:
 def dedupe_search(results: DataFrame, order: list[Column]) -> DataFrame:
     """results(batch_id, seq, title, title_key, ...) but for those that repeat one kept before, taken in the given order within a batch; keys under three characters go.
 
-    Places are numbered within a batch; with the batch they name the nodes of the pair join and the scan.
+    Of equal titles the first stands for all: where it is kept the others repeat it, else they repeat what it does.
     """
     rest = results.filter(F.length("title_key") >= 3)
-    place = F.row_number().over(Window.partitionBy("batch_id").orderBy(*order))
-    placed = written(rest.withColumn("_row", F.struct("*")).select("batch_id", "title", "title_key", "_row", place.alias("_place")), "placed")
-    numbered = placed.withColumn("seq", F.struct("batch_id", "_place"))
-    pairs = fuzzy_pairs(numbered, "search").select("a", "b")
-    led = scan_leaders(numbered.select("seq"), pairs)
-    return numbered.join(led.filter("seq = leader").select("seq"), "seq", "left_semi").select("_row.*")
+    placed = in_order(rest.withColumn("_row", F.struct("*")), ["batch_id", *order])
+    nodes = nodes_of(placed, "search")
+    kept = scan_leaders(nodes, node_pairs(nodes, "search")).filter("seq = leader").select("seq")
+    return placed.join(kept, "seq", "left_semi").select("_row.*")
 
 
 def clean_record(df: DataFrame) -> DataFrame:

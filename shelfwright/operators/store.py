@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.buckets import BucketedTable
-from .catalog import BEGINS, representatives
+from .matching import BEGINS, representatives
 from .merge import SNAPSHOT, SNAPSHOT_SCHEMA, upsert_titles
 from .search import WEIGHTS, contains_any
 
