@@ -44,6 +44,8 @@ RULES = {
 
 #: Sizes of the begins by which contained keys are found: a key is looked for by the longest that it has.
 BEGINS = (6, 8, 11, 15, 20, 27, 36, 48)
+#: Keys above this length meet those of about their length, as segments with their places would grow with its square.
+LONG = 200
 
 
 def _token(kind: str, *values: Column | str) -> Column:
@@ -61,7 +63,7 @@ def _within_edits(nodes: DataFrame, c: str, share: float) -> tuple[DataFrame, Da
 
     The longer one has d + 1 segments for d edits. Some segment i (from 0) stands unchanged in the shorter one
     with at most i edits before and d - i behind it, so its place differs by s with |s| <= i and
-    |difference - s| <= d - i.
+    |difference - s| <= d - i. Where the longer one is above LONG, lengths alone make a candidate.
     """
     n = F.length(c)
     start = lambda i: F.floor(i * F.col("m") / (F.col("d") + 1)).cast("int")
@@ -71,12 +73,15 @@ def _within_edits(nodes: DataFrame, c: str, share: float) -> tuple[DataFrame, Da
         return rows.withColumns({"from": start(F.col("i")), "size": start(F.col("i") + 1) - start(F.col("i"))})
 
     own = nodes.filter(n >= 3).select("batch_id", "seq", c)
-    longer = segments(own.withColumn("m", n)).select("seq", _token(f"edits {c}", "m", "i", F.substring(c, F.col("from") + 1, F.col("size"))))
-    placed = segments(own.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("m", n + F.col("t")))
+    longer = segments(own.filter(n <= LONG).withColumn("m", n)).select("seq", _token(f"edits {c}", "m", "i", F.substring(c, F.col("from") + 1, F.col("size"))))
+    at_most = own.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("m", n + F.col("t"))
+    placed = segments(at_most.filter(F.col("m") <= LONG))
     low, high = F.greatest(-F.col("i"), F.col("t") - F.col("d") + F.col("i")), F.least(F.col("i"), F.col("t") + F.col("d") - F.col("i"))
     placed = placed.withColumns({"low": low, "high": high}).filter("low <= high").withColumn("shift", F.explode(F.sequence("low", "high"))).withColumn("at", F.col("from") - F.col("shift"))
     placed = placed.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= n))
-    return longer, placed.select("seq", _token(f"edits {c}", "m", "i", F.substring(c, F.col("at") + 1, F.col("size"))))
+    placed = placed.select("seq", _token(f"edits {c}", "m", "i", F.substring(c, F.col("at") + 1, F.col("size"))))
+    of_length = lambda rows: rows.filter(F.col("m") > LONG).select("seq", _token(f"long {c}", "m"))
+    return longer.union(of_length(own.withColumn("m", n))), placed.union(of_length(at_most))
 
 
 def _contained(nodes: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:

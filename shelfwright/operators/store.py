@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.buckets import BucketedTable
-from .matching import BEGINS, representatives
+from .matching import BEGINS, LONG, representatives
 from .merge import SNAPSHOT, SNAPSHOT_SCHEMA, upsert_titles
 from .search import WEIGHTS, contains_any
 
@@ -141,7 +141,7 @@ def _segments(kind: str, k: Column, share: float) -> Column:
     m = F.length(k)
     d, start = _cut(m, share)
     tokens = F.transform(F.sequence(F.lit(0), d - 1), lambda i: _token(kind, m, i, F.substring(k, start(i) + 1, start(i + 1) - start(i))))
-    return F.when(m >= 3, tokens).otherwise(_none())
+    return F.when(m > LONG, F.array(_token(f"long {kind}", m, F.lit(0), F.lit("")))).when(m >= 3, tokens).otherwise(_none())
 
 
 def _segments_asked(kind: str, k: Column, share: float) -> Column:
@@ -164,13 +164,16 @@ def _segments_asked(kind: str, k: Column, share: float) -> Column:
 
         return F.flatten(F.transform(F.sequence(F.lit(0), e), of_segment))
 
-    return F.when(n >= 3, F.flatten(F.transform(F.sequence(F.greatest(F.lit(3), n - LONGER), n + LONGER), of_size))).otherwise(_none())
+    few = F.flatten(F.transform(F.sequence(F.greatest(F.lit(3), n - LONGER), F.least(n + LONGER, F.lit(LONG))), of_size))
+    lengths = F.transform(F.sequence(F.greatest(n - LONGER, F.lit(LONG + 1)), n + LONGER), lambda m: _token(f"long {kind}", m, F.lit(0), F.lit("")))
+    return F.concat(F.when((n >= 3) & (n - LONGER <= LONG), few).otherwise(_none()), F.when(n + LONGER > LONG, lengths).otherwise(_none()))
 
 
 def _middle(k: Column) -> Column:
-    """A stored key's middle third, which every part of it has that is seven tenths long."""
+    """A stored key's middle third, which every part of it has that is seven tenths long; of a long one what stands where such a part may begin."""
     m = F.length(k)
-    return F.array(_token("middle", m, F.lit(0), F.substring(k, F.floor(m / 3).cast("int") + 1, F.floor(2 * m / 3).cast("int") - F.floor(m / 3).cast("int"))))
+    parts = F.transform(F.sequence(F.lit(0), m - F.ceil(m * RATIO).cast("int")), lambda p: _token("inside", F.lit(BEGINS[-1]), F.lit(0), F.substring(k, p + 1, F.lit(BEGINS[-1]))))
+    return F.when(m > LONG, parts).otherwise(F.array(_token("middle", m, F.lit(0), F.substring(k, F.floor(m / 3).cast("int") + 1, F.floor(2 * m / 3).cast("int") - F.floor(m / 3).cast("int")))))
 
 
 def _middles_asked(k: Column) -> Column:
@@ -182,7 +185,9 @@ def _middles_asked(k: Column) -> Column:
         places = _places(F.greatest(F.lit(0), low - m + n), F.least(low, n - high + low))
         return F.transform(places, lambda p: _token("middle", m, F.lit(0), F.substring(k, p + 1, high - low)))
 
-    return F.flatten(F.transform(F.sequence(n, F.ceil(n / RATIO).cast("int")), of_size))
+    few = F.flatten(F.transform(F.sequence(n, F.least(F.ceil(n / RATIO).cast("int"), F.lit(LONG))), of_size))
+    begin = F.array(_token("inside", F.lit(BEGINS[-1]), F.lit(0), F.substring(k, F.lit(1), F.lit(BEGINS[-1]))))
+    return F.concat(F.when(n <= LONG, few).otherwise(_none()), F.when(F.ceil(n / RATIO) > LONG, begin).otherwise(_none()))
 
 
 def _sizes(k: Column) -> Column:

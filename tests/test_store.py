@@ -112,7 +112,7 @@ def test_catalog_keeps_its_indexes_with_it(spark, tmp_path):
 
 
 def made_up(rng, n):
-    stems = ["".join(rng.choice("abcdeouf") for _ in range(rng.choice([4, 6, 7, 9, 12, 20, 33, 50]))) for _ in range(25)]
+    stems = ["".join(rng.choice("abcdeouf") for _ in range(rng.choice([4, 6, 7, 9, 12, 20, 33, 50, 196, 260]))) for _ in range(25)]
     out = set()
     while len(out) < n:
         s = rng.choice(stems)
