@@ -122,6 +122,12 @@ def parsed_ratings(spark, sf_dir):
     return read(spark, sf_dir, "events", "event_id", "props").select("event_id", T.parse_rating(F.col("props")).alias("rating"))
 
 
+@query("""WITH r AS (SELECT page_id, regexp_extract(html, '([0-9.]+)', 1) AS run FROM pages), n AS (SELECT *, TRY_CAST(nullif(regexp_extract(run, '^([0-9]+[.]?[0-9]*|[.][0-9]+)', 1), '') AS DOUBLE) AS n FROM r)
+SELECT page_id, CASE WHEN n <= 10 THEN run ELSE 'N/A' END AS grade FROM n""")
+def parsed_grades(spark, sf_dir):
+    return read(spark, sf_dir, "pages", "page_id", "html").select("page_id", T.parse_grade(F.col("html")).alias("grade"))
+
+
 @query(f"WITH {RECORDS_SQL} SELECT title_key, min(seq) AS seq FROM records WHERE length(title_key) >= 3 GROUP BY 1")
 def dedupe_exact(spark, sf_dir):
     return C.first_of(records(spark, sf_dir).filter(F.length("title_key") >= 3), ["title_key"], [F.asc("seq")]).select("title_key", "seq")

@@ -163,7 +163,8 @@ def with_origin(spark, sf_dir):
 
 
 @query("""SELECT page_id, contains(lower(html), 'page not found') OR contains(lower(html), 'nothing found') OR regexp_matches(html, '(?i)<h1[^>]*>.*404') AS is_end,
-  CAST(greatest(1, coalesce(list_max([CAST(x AS INTEGER) FOR x IN regexp_extract_all(html, '[?&]page=(\\d{1,9})', 1)]), 1)) AS INTEGER) AS last_page, coalesce(list_extract(list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda p : p <> ''), -1), '') AS slug FROM pages""")
+  CAST(greatest(1, coalesce(list_max([CAST(x AS INTEGER) FOR x IN regexp_extract_all(html, '[?&]page=(\\d{1,9})', 1)]), 1)) AS INTEGER) AS last_page, coalesce(CASE WHEN regexp_matches(url, '(?i)^[a-z]+://[^/?#]*omegascans\\.org') AND list_position(parts, 'series') > 0 THEN list_extract(parts, list_position(parts, 'series') + 1) ELSE list_extract(parts, -1) END, '') AS slug
+FROM (SELECT *, list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda p : p <> '') AS parts FROM pages)""")
 def page_functions(spark, sf_dir):
     html = F.col("html")
     return read(spark, sf_dir, "pages", "page_id", "url", "html").select("page_id", U.is_end_page(html).alias("is_end"), U.max_page(html).alias("last_page"), U.source_slug(F.col("url")).alias("slug"))
@@ -203,7 +204,7 @@ def source_stats(spark, sf_dir):
     return P.source_stats(titles(spark, sf_dir))
 
 
-_VALID = f"""WITH {TITLES_SQL}, v AS (SELECT title_key, min(id) AS id FROM titles WHERE length(title) >= 3 AND NOT regexp_matches(lower(title), 'manga lists|latest updates|home|search|page not found|404') GROUP BY 1)
+_VALID = f"""WITH {TITLES_SQL}, v AS (SELECT title_key, min(id) AS id FROM titles WHERE length(title) >= 3 AND NOT regexp_matches(lower(title), 'manga lists|latest updates|home|search|scythe scans|demonic scans|page not found|404') GROUP BY 1)
 SELECT title_key, id, (SELECT count(*) FROM v) > {{0}} AS has_more FROM v ORDER BY id LIMIT 30 OFFSET {{1}}"""
 
 

@@ -87,10 +87,17 @@ def max_page(html: Column) -> Column:
     return F.greatest(F.lit(1), most(r"[?&]page=(\d+)"), most(r"(?i)/page/(\d+)"), F.regexp_extract(html, r"(?i)Page\s+\d+\s+of\s+(\d+)", 1).try_cast("int"))
 
 
+# Fixed value: the host whose titles stand behind `series` in the path.
+SERIES_HOST = "omegascans.org"
+
+
 def source_slug(url: Column) -> Column:
-    """The last part of the url's path; empty without one."""
-    parts = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/"), lambda p: p != "")
-    return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    """The last part of the url's path, or at one host the part behind `series` if there is one; empty without it."""
+    address = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
+    parts = F.filter(F.split(F.regexp_extract(url, address, 2), "/"), lambda p: p != "")
+    at = F.array_position(parts, "series")
+    named = F.lower(F.regexp_extract(url, address, 1)).contains(SERIES_HOST) & (at > 0)
+    return F.coalesce(F.when(named, F.get(parts, at.cast("int"))).otherwise(F.try_element_at(parts, F.lit(-1))), F.lit(""))
 
 
 def client_ip(forwarded: Column, real: Column, real_first: bool = False) -> Column:

@@ -75,6 +75,13 @@ def parse_rating(text: Column) -> Column:
     return F.when(number.try_cast("double") <= 10, number).otherwise("N/A")
 
 
+def parse_grade(text: Column) -> Column:
+    """The first run of digits and points, if the number that it begins with is at most 10; else N/A."""
+    run = F.regexp_extract(text, r"([\d.]+)", 1)
+    number = F.regexp_extract(run, r"^(\d+\.?\d*|\.\d+)", 1)
+    return F.when(number.try_cast("double") <= 10, run).otherwise("N/A")
+
+
 def detect_status(text: Column, rule: str = "first", known: Column | None = None) -> Column:
     """The status that a page's text tells of.
 
@@ -180,7 +187,11 @@ def relevance_score(title: Column, description: Column, query: str) -> Column:
     return score
 
 
-def is_relevant(title: Column, query: str, denied: tuple[str, ...] = ("latest updates", "popular", "home", "search")) -> Column:
+# What a relevant title does not hold.
+DENIED = ("manga lists", "latest updates", "popular", "home", "search", "scythe scans", "demonic scans")
+
+
+def is_relevant(title: Column, query: str, denied: tuple[str, ...] = DENIED) -> Column:
     q, words = _query_words(query)
     t = plain_words(title)
     need = -(-len(words) * 6 // 10) if len(words) >= 4 else max(1, -(-len(words) // 2))

@@ -84,6 +84,10 @@ def search_by_substring(spark, sf_dir):
 _Q = lambda c: f"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
+# The phrases as the rule states them, apart from the code's own list.
+DENIED_PHRASES = "manga lists|latest updates|popular|home|search|scythe scans|demonic scans"
+
+
 def _ranked_sql(q: str) -> str:
     words = [w for w in q.split() if len(w) > 1]
     hits = lambda c: "(" + " + ".join(f"CAST(contains({c}, '{w}') AS INTEGER)" for w in words) + ")"
@@ -94,7 +98,7 @@ def _ranked_sql(q: str) -> str:
     more = f" + CASE WHEN {share} >= 0.8 THEN 120 WHEN {share} >= 0.6 THEN 50 ELSE 0 END" if len(words) >= 4 else ""
     return f"""WITH {RECORDS_SQL}, p AS (SELECT seq, batch_id, title, title_key, {_Q("title")} AS t, {_Q("description")} AS d FROM records),
 ranked AS (SELECT seq, batch_id, title, title_key, CAST((CASE WHEN t = '{q}' THEN 1000 ELSE 0 END) + (CASE WHEN contains(t, '{q}') THEN 300 ELSE 0 END) + (CASE WHEN contains('{q}', t) AND length(t) > 8 THEN 120 ELSE 0 END) + 25 * {hits("t")} + 5 * {hits("d")}{more} AS INTEGER) AS score
-  FROM p WHERE NOT (contains(t, 'latest updates') OR contains(t, 'popular') OR contains(t, 'home') OR contains(t, 'search')) AND (contains(t, '{q}') OR {enough}))"""
+  FROM p WHERE NOT regexp_matches(t, '{DENIED_PHRASES}') AND (contains(t, '{q}') OR {enough}))"""
 
 
 @query(_ranked_sql("the and") + " SELECT seq, score FROM ranked")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.store import Catalog
@@ -58,6 +60,124 @@ def empty_streaks(crawl: DataFrame, limit: int = 5, most: int = 3600) -> DataFra
     return crawl.groupBy("source").applyInPandasWithState(step, STREAK, "streak long", "append", GroupStateTimeout.NoTimeout)
 
 
+def query_sessions(log: DataFrame, gap: str = "30 days", late: str = "2 minutes") -> DataFrame:
+    """Each lower-cased, trimmed query's hits until it went unasked for the gap; given, and forgotten, once the gap has passed."""
+    keyed = log.select(F.lower(F.trim("query")).alias("query"), "ts").withWatermark("ts", late)
+    found = keyed.groupBy("query", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("hits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return found.drop("w")
+
+
+class Held(StatefulProcessor):
+    """Rows of a key are held until the watermark has passed their time, then taken in order: a late one still comes at its place.
+
+    The subclass says what is held beside a row's time in microseconds (`columns`), what stays between turns
+    (`memory`), and what rows that are due give: due(key, rows, memory) -> (rows out, memory, time to forget at).
+    """
+
+    columns: list[tuple[str, str]] = []
+    memory = ""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", ", ".join(["at long", *(f"{c} {t}" for c, t in self.columns)]))
+        self.kept = handle.getValueState("kept", self.memory)
+
+    def due(self, key: tuple, rows: list[tuple], memory: tuple | None) -> tuple[pd.DataFrame, tuple | None, int | None]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        came = [x for part in rows for x in part[["at", *(c for c, _ in self.columns)]].itertuples(index=False, name=None)]
+        came = [tuple(None if v != v else v for v in map(_plain, x)) for x in came]
+        if came:
+            self.waiting.appendList(came)
+            self.handle.registerTimer(min(x[0] for x in came) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        ready, later = [x for x in held if x[0] // 1000 < now], [x for x in held if x[0] // 1000 >= now]
+        out, memory, forget = self.due(key, sorted(ready, key=_order), tuple(self.kept.get()) if self.kept.exists() else None)
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(x[0] for x in later) // 1000 + 1)
+        else:
+            self.waiting.clear()
+        if memory is None or (forget is not None and forget <= now and not later):
+            self.kept.clear()
+        else:
+            self.kept.update(memory)
+            if forget is not None and forget > now:
+                self.handle.registerTimer(forget)
+        return iter([out] if len(out) else [])
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(v):
+    return v.item() if hasattr(v, "item") else v
+
+
+def _order(row: tuple) -> tuple:
+    return tuple((v is not None, v) for v in row)
+
+
+class _Limits(Held):
+    columns, memory = [("request", "long")], "times array<long>"
+
+    def __init__(self, most: int, seconds: int):
+        self.most, self.window = most, seconds * 1_000_000
+
+    def due(self, key, rows, memory):
+        times = list(memory[0]) if memory else []
+        mine = times + [x[0] for x in rows]  # in order: what was due before is earlier
+        found, low = [], 0
+        for at, request in rows:
+            while mine[low] < at - self.window:
+                low += 1
+            n = bisect.bisect_right(mine, at) - low
+            found.append((*key, request, n, n > self.most))
+        last = mine[-1] if mine else 0
+        left = [t for t in mine if t >= last - self.window]
+        return pd.DataFrame(found, columns=["ip", "endpoint", "request", "in_window", "limited"]), (left,), (last + self.window) // 1000 + 1
+
+
+def _stateful(rows: DataFrame, late: str, keys: list[str], processor: Held, schema: str) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = rows.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    return timed.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
+
+
+def rate_limits(log: DataFrame, most: int, seconds: int, late: str = "2 minutes") -> DataFrame:
+    """An answer for each request of log(request, ip, endpoint, ts): how many its ip made on its endpoint in the window that ends with it, and whether that is too many.
+
+    A request is answered once the watermark has passed it, so late ones count as in rate_limit_audit. The state
+    of an ip is the times of one window, and goes when it has made none for that long.
+    """
+    return _stateful(log, late, ["ip", "endpoint"], _Limits(most, seconds), "ip string, endpoint string, request long, in_window long, limited boolean")
+
+
+class _Streaks(Held):
+    columns, memory = [("page", "long"), ("items", "long"), ("more", "boolean")], "streak long"
+
+    def __init__(self, limit: int, most: int, hold_ms: int):
+        self.limit, self.most, self.hold = limit, most, hold_ms
+
+    def due(self, key, rows, memory):
+        streak, found = memory[0] if memory else 0, []
+        for _, page, items, more in rows:
+            streak = 0 if items else streak + 1
+            found.append((key[0], page, streak, bool(streak >= self.limit or more is False or page >= self.most)))
+        forget = rows[-1][0] // 1000 + self.hold if rows else 0
+        return pd.DataFrame(found, columns=["source", "page", "streak", "dead"]), (streak,), forget
+
+
+def ordered_streaks(crawl: DataFrame, limit: int = 5, most: int = 3600, late: str = "10 minutes", hold_hours: int = 24) -> DataFrame:
+    """empty_streaks of crawl(source, page, ts, items, more) in order of time, whatever the order of files: a page waits until the watermark has passed it. A source that tells of no page for hold_hours begins anew."""
+    return _stateful(crawl, late, ["source"], _Streaks(limit, most, hold_hours * 3_600_000), STREAK)
+
+
 def catalog_merge(catalog: Catalog, now: datetime.datetime) -> Callable[[DataFrame, int], None]:
     """merge(batch, id) for run_sync_stream: upserts a batch into the stored catalog, of which only the buckets that it touches are written.
 

@@ -136,3 +136,25 @@ def test_output_functions(spark):
     assert values(spark, lambda t: T.is_nav_label(t), [("Latest",), ("Spoiler",), ("New Moon",), ("Newton",)]) == [True, True, True, False]
     titles = spark.createDataFrame([(["Smut", "Drama"],)], "genres array<string>")
     assert of_genre(titles, " SMUT").count() == 0 and of_genre(titles, "drama").count() == 1
+
+
+PHRASES = ["manga lists", "latest updates", "popular", "home", "search", "scythe scans", "demonic scans"]
+NO_ENTRY = ["manga lists", "latest updates", "home", "search", "scythe scans", "demonic scans", "page not found", "404"]
+
+
+def test_denied_phrases(spark):
+    from shelfwright.functions import text as T
+    from shelfwright.operators import catalog as C
+
+    titles = [f"Red tower {p}" for p in PHRASES] + ["Red tower", "Red tower page not found"]
+    assert values(spark, lambda t: T.is_relevant(t, "red tower"), [(t,) for t in titles]) == [False] * 7 + [True, True]
+    rows = spark.createDataFrame([(f"A {p.title()} x",) for p in NO_ENTRY] + [("Popular",), ("ab",), ("abc",)], "title string")
+    assert sorted(r["title"] for r in C.valid_entry(rows).collect()) == ["Popular", "abc"]
+
+
+def test_slugs_and_grades(spark):
+    from shelfwright.functions import text as T
+
+    urls = ["https://omegascans.org/series/one/chapter-2", "https://www.omegascans.org/x/two", "https://omegascans.org/series", "https://a.example/series/one/last/?q=1", "no url", None]
+    assert values(spark, U.source_slug, [(u,) for u in urls]) == ["one", "two", "", "last", "", ""]
+    assert values(spark, T.parse_grade, [("grade 9.75 of",), ("9.5.1",), ("..",), ("10.01",), (".5",), (None,)]) == ["9.75", "9.5.1", "N/A", "N/A", ".5", "N/A"]

@@ -88,6 +88,59 @@ def test_streaks_go_on_between_batches(feed):
     assert [(r["page"], r["streak"], r["dead"]) for r in sorted(rows, key=lambda r: r["page"])] == [(1, 0, False), (2, 1, False), (3, 2, False), (4, 3, False), (5, 4, False), (6, 5, True), (7, 0, False), (8, 1, True)]
 
 
+def test_query_sessions_equal_the_batch(spark, feed):
+    from shelfwright.operators.requests import query_frequency
+
+    rows = [row(m, s, query=q) for m, s, q in ((0, 0, "a"), (0, 30, " A"), (1, 0, "b"), (1, 10, "a"), (9, 0, "a"), (9, 5, "b"))]
+    for part in (rows[1:2], rows[:1], rows[2:4], rows[4:]):
+        feed.write(*part)
+    feed.write(row(59, query="end"))
+    feed.write(row(59, 1, query="end"))
+    got = {(r["query"], r["hits"], r["first_ts"], r["last_ts"]) for r in feed.run(S.query_sessions(feed.stream(LOG), "3 minutes"), "sessions")}
+    batch = query_frequency(spark.read.schema(LOG).json(str(feed.folder)), "3 minutes").filter("query <> 'end'")
+    assert got == {tuple(r[c] for c in ("query", "hits", "first_ts", "last_ts")) for r in batch.collect()} and len(got) == 4
+
+
+REQUEST = "request long, ip string, endpoint string, ts timestamp"
+
+
+def test_rate_limits_equal_the_batch(spark, feed):
+    import random
+
+    from shelfwright.operators.requests import rate_limit_audit
+
+    rng = random.Random(8)
+    rows = [{"request": k, "ip": rng.choice("ab"), "endpoint": rng.choice(["/s", "/t"]), "ts": at(k // 6, rng.randrange(60))} for k in range(120)]
+    for k in range(0, 120, 20):
+        part = rows[k : k + 20]
+        rng.shuffle(part)
+        feed.write(*part[:10])
+        feed.write(*part[10:])
+    feed.write({"request": 900, "ip": "z", "endpoint": "/", "ts": at(50)})
+    feed.write({"request": 901, "ip": "z", "endpoint": "/", "ts": at(59)})
+    got = {(r["request"], r["in_window"], r["limited"]) for r in feed.run(S.rate_limits(feed.stream(REQUEST), 3, 60, "5 minutes"), "limits") if r["request"] < 900}
+    batch = rate_limit_audit(spark.read.schema(REQUEST).json(str(feed.folder)).filter("request < 900"), 3, 60)
+    assert got == {(r["request"], r["in_window"], r["limited"]) for r in batch.collect()} and len(got) == 120 and any(x[2] for x in got)
+
+
+def test_streaks_in_any_order_of_files(spark, feed):
+    import random
+
+    from shelfwright.operators.requests import empty_streaks
+
+    rng = random.Random(9)
+    pages = [{"source": s, "page": n, "items": rng.choice([0, 0, 3]), "more": n < 30, "ts": at(n // 2, 30 * (n % 2))} for s in "st" for n in range(1, 31)]
+    rng.shuffle(pages)
+    for k in range(0, 60, 9):
+        feed.write(*pages[k : k + 9])
+    feed.write({"source": "z", "page": 1, "items": 1, "more": True, "ts": at(58)})
+    feed.write({"source": "z", "page": 2, "items": 1, "more": True, "ts": at(59)})
+    schema = "source string, page long, items long, more boolean, ts timestamp"
+    got = {(r["source"], r["page"], r["streak"]) for r in feed.run(S.ordered_streaks(feed.stream(schema), late="20 minutes"), "ordered") if r["source"] != "z"}
+    batch = empty_streaks(spark.read.schema(schema).json(str(feed.folder)).filter("source <> 'z'"))
+    assert got == {(r["source"], r["page"], r["streak"]) for r in batch.collect()} and len(got) == 60
+
+
 def test_sync_stream_is_repeatable(spark, feed, tmp_path):
     now = datetime.datetime(2027, 1, 1, tzinfo=datetime.timezone.utc)
     schema = "seq long, title_key string, title string, description string, rating string, status string, type string, genres array<string>, author string, artist string, cover_url string, url string, source string, chapters array<struct<title:string,url:string,date:string>>"
