@@ -38,8 +38,18 @@ _ABOUT = re.compile(r"(?:^|(?<=\s))(?:\S*[_-])?(?:has|have|no|not|with|without)[
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 #: What a notice weighs.
 LIGHT = 0.02
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+def attributes(text: str) -> list[tuple[str, str]]:
+    """The names, in lower case, and values of a tag's attributes; a word in a value is no name."""
+    return [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)]
+
+
+def is_hidden(found: list[tuple[str, str]]) -> bool:
+    return any(k == "hidden" or k == "aria-hidden" and v.strip().lower() == "true" or k == "style" and _NO_DISPLAY.search(v) for k, v in found)
 
 
 class Node:
@@ -122,8 +132,9 @@ def parse(page: str) -> tuple[Node, Node]:
             depth = now.deepest(*ENDS[name])
             if depth > now.deepest("ul", "ol", "dl", "table"):
                 now.close(depth)
-        junk = name in UNSEEN or bool(_HIDDEN.search(attrs))
-        named = name in NOTICE or any(_NOTICE.search(_ABOUT.sub("", v)) for found in _NAMED.findall(attrs) for v in found if v)
+        found = attributes(attrs) if attrs else []
+        junk = name in UNSEEN or is_hidden(found)
+        named = name in NOTICE or any(_NOTICE.search(_ABOUT.sub("", v)) for k, v in found if k in ("class", "id", "role"))
         kid = Node(name, now.stack[-1], junk, named)
         kid.parent.kids.append(kid)
         if name in RAW:  # up to its own end tag, whatever stands there
@@ -218,6 +229,23 @@ def _blocks(top: Node, least: float, main: Node) -> list[str]:
     return out
 
 
+def _headings(main: Node, body: Node) -> list[Node]:
+    """The headings that stand right before the main subtree, or before what it begins."""
+    out, x = [], main
+    while x is not body and x.parent:
+        before = x.parent.kids[: x.parent.kids.index(x)]
+        for k in reversed(before):
+            if isinstance(k, Node) and (k.junk or k.tag in VOID):
+                continue
+            if isinstance(k, str) and not k.strip():
+                continue
+            if isinstance(k, str) or k.tag not in HEADING or k.weight < 1:
+                return out[::-1]
+            out.append(k)
+        x = x.parent
+    return out[::-1]
+
+
 def main_text(page: str | None) -> str:
     """The text of the densest subtree of a page, a line for each block; empty for a page without text."""
     _, body = parse(page or "")
@@ -240,7 +268,8 @@ def main_text(page: str | None) -> str:
         x = x.parent
         if x.tag in ("article", "main"):
             main = x
-    return "\n".join(_blocks(main, min(path), main))
+    heads = [] if main.tag in ("article", "main") else _headings(main, body)
+    return "\n".join([*(t for h in heads for t in _blocks(h, 0.0, h)), *_blocks(main, min(path), main)])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
