@@ -280,6 +280,28 @@ def query_frequency(spark, sf_dir):
     return R.query_frequency(log, "12 hours")
 
 
+_HOUR_CUT = """WITH c AS (SELECT date_trunc('hour', ts) AS hour, lower(trim(user_id || ' ' || event_type)) AS query, count(*) AS hits FROM events GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY hits DESC, query) AS n FROM c), x AS (SELECT hour, max(hits) FILTER (WHERE n = 4) AS next FROM n GROUP BY 1),
+h AS (SELECT hour, query, hits - coalesce(next, 0) AS hits, coalesce(next, 0) AS error FROM n JOIN x USING (hour) WHERE n <= 3 AND (hits > coalesce(next, 0) OR n = 1))"""
+
+
+def _asked(spark, sf_dir):
+    return read(spark, sf_dir, "events", "ts", "user_id", "event_type").select("ts", F.concat_ws(" ", F.col("user_id").cast("string"), F.upper("event_type")).alias("query"))
+
+
+@query(f"{_HOUR_CUT} SELECT hour, query, CAST(hits AS BIGINT) AS hits, CAST(error AS BIGINT) AS error FROM h")
+def frequent_by_hour(spark, sf_dir):
+    return R.frequent_by_hour(_asked(spark, sf_dir), 3).withColumn("hour", F.col("hour").cast("timestamp"))
+
+
+@query(f"""{_HOUR_CUT}, e AS (SELECT sum(error) AS error FROM (SELECT hour, max(error) AS error FROM h GROUP BY 1)), s AS (SELECT query, sum(hits) AS hits FROM h GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY hits DESC, query) AS n FROM s), y AS (SELECT coalesce(max(hits) FILTER (WHERE n = 51), 0) AS next FROM r)
+SELECT query, CAST(hits - next AS BIGINT) AS hits, CAST(error + next AS BIGINT) AS error FROM r, e, y WHERE n <= 50 AND (hits > next OR n = 1)""")
+def frequent_queries(spark, sf_dir):
+    """The summaries of all hours, merged."""
+    return R.frequent_queries(R.frequent_by_hour(_asked(spark, sf_dir), 3), "1970-01-01", "9999-01-01", 50)
+
+
 @query("SELECT event_type AS query, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, query LIMIT 3")
 def top_queries(spark, sf_dir):
     return S.top_queries(read(spark, sf_dir, "events", "event_type").withColumnRenamed("event_type", "query"), 3)

@@ -77,8 +77,7 @@ def latest_dates(spark, sf_dir):
 
 @query(f"""WITH {CHAPTERS_SQL} SELECT title_id, pos, coalesce(lag(pos) OVER w, pos) AS previous, coalesce(lead(pos) OVER w, pos) AS next FROM chapters WINDOW w AS (PARTITION BY title_id ORDER BY pos)""")
 def chapter_neighbors_by_place(spark, sf_dir):
-    w = Window.partitionBy("title_id").orderBy("pos")
-    return chapters(spark, sf_dir).select("title_id", "pos", F.coalesce(F.lag("pos").over(w), "pos").alias("previous"), F.coalesce(F.lead("pos").over(w), "pos").alias("next"))
+    return D.neighbors(chapters(spark, sf_dir).select("title_id", "pos"))
 
 
 _MERGE = f"""WITH {TITLES_SQL}, {CHAPTERS_SQL}, r AS (SELECT title_key AS cluster, id AS seq, genres FROM titles),

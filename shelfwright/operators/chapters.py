@@ -61,3 +61,9 @@ def merge_clusters(records: DataFrame, genres: DataFrame, chapters: DataFrame) -
     wins = counted.filter(F.col("first").isNull() | (F.col("own") > have))
     best = wins.groupBy("cluster").agg(F.max_by(F.struct(*records.columns), "seq").alias("x")).select("x.*")
     return best, all_genres, merged.select("cluster", "key", "x.label", "x.url", "at")
+
+
+def neighbors(chapters: DataFrame, order: str = "pos") -> DataFrame:
+    """chapters(title_id, ...) with previous and next in the given order; the first and the last are their own."""
+    w = Window.partitionBy("title_id").orderBy(order)
+    return chapters.withColumns({"previous": F.coalesce(F.lag(order).over(w), order), "next": F.coalesce(F.lead(order).over(w), order)})

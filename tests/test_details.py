@@ -158,3 +158,19 @@ def test_slugs_and_grades(spark):
     urls = ["https://omegascans.org/series/one/chapter-2", "https://www.omegascans.org/x/two", "https://omegascans.org/series", "https://a.example/series/one/last/?q=1", "no url", None]
     assert values(spark, U.source_slug, [(u,) for u in urls]) == ["one", "two", "", "last", "", ""]
     assert values(spark, T.parse_grade, [("grade 9.75 of",), ("9.5.1",), ("..",), ("10.01",), (".5",), (None,)]) == ["9.75", "9.5.1", "N/A", "N/A", ".5", "N/A"]
+
+
+def test_frequent_queries_bound_the_counts(spark):
+    from shelfwright.operators.requests import frequent_by_hour, frequent_queries
+
+    log = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("ts", F.concat_ws(" ", F.col("user_id").cast("string"), "event_type").alias("query")).cache()
+    for kept in (1, 5, 40, 100_000):
+        summary = frequent_by_hour(log, kept)
+        for since, until in (("1970-01-01", "9999-01-01"), *[tuple(r) for r in log.selectExpr("date_trunc('day', min(ts)) a", "date_trunc('day', min(ts)) + interval 3 day b").collect()]):
+            span = log.filter((F.col("ts") >= F.lit(since)) & (F.col("ts") < F.lit(until)))
+            exact = {r["query"]: r["n"] for r in span.groupBy("query").agg(F.count("*").alias("n")).collect()}
+            found = {r["query"]: (r["hits"], r["error"]) for r in frequent_queries(summary, since, until, kept).collect()}
+            error = max(e for _, e in found.values())
+            assert all(hits <= exact[q] <= hits + e for q, (hits, e) in found.items())
+            assert all(n <= error for q, n in exact.items() if q not in found) and error * (kept + 1) <= sum(exact.values()) and len(found) <= kept
+    assert frequent_queries(frequent_by_hour(log.limit(0)), "2000-01-01", "2001-01-01").count() == 0
