@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.buckets import BucketedTable
+from ..sources.folders import written
 from .matching import BEGINS, LONG, representatives
 from .merge import SNAPSHOT, SNAPSHOT_SCHEMA, upsert_titles
 from .search import WEIGHTS, contains_any
@@ -214,13 +215,13 @@ def _parts_asked(k: Column) -> Column:
 
 
 def match_postings(df: DataFrame, ident: list[str]) -> DataFrame:
-    """token and title_key of stored keys: their other form, segments of both, the middle third and begins."""
+    """token, the romanized form and what names a title, of stored keys: tokens of the form, segments of both, the middle third and begins."""
     k, r = F.col("title_key"), F.col("_roman")
     tokens = F.concat(F.array(F.concat(F.lit("form:"), r)), _segments("key", k, EDITS), _segments("roman", r, FORM_EDITS), _middle(k), _begin("shorter", k, True), _begin("begin", k, False))
-    return df.filter(F.length("title_key") >= 3).withColumn("_roman", T.roman_key(k)).select(*ident, F.explode(F.array_distinct(tokens)).alias("token"))
+    return df.filter(F.length("title_key") >= 3).withColumn("_roman", T.roman_key(k)).select(*ident, F.col("_roman").alias("roman"), F.explode(F.array_distinct(tokens)).alias("token"))
 
 
-Postings.KINDS["matches"] = (match_postings, "token string")
+Postings.KINDS["matches"] = (match_postings, "token string, roman string")
 
 
 def catalog_matches(batch: DataFrame, matches: Postings) -> DataFrame:
@@ -233,9 +234,9 @@ def catalog_matches(batch: DataFrame, matches: Postings) -> DataFrame:
     k, r = F.col("k"), F.col("_roman")
     reps = representatives(batch).select("batch_id", "seq", F.col("title_key").alias("k")).withColumn("_roman", T.roman_key(k))
     tokens = F.concat(F.array(F.concat(F.lit("form:"), r)), _segments_asked("key", k, EDITS), _segments_asked("roman", r, FORM_EDITS), _middles_asked(k), _parts_asked(k), _begin("begin", k, True))
-    asked = reps.select("batch_id", "seq", "k", F.explode(F.array_distinct(tokens)).alias("token"))
-    met = asked.join(matches.table.read(matches.table.buckets_of(asked)), "token").select("batch_id", "seq", "k", "title_key").distinct()
-    return met.filter(T.fuzzy_key_match(F.col("title_key"), k)).select("batch_id", "seq", "title_key")
+    asked = written(reps.select("batch_id", "seq", "k", "_roman", F.explode(F.array_distinct(tokens)).alias("token")), "asked")
+    met = asked.join(matches.table.read(matches.table.buckets_of(asked)), "token").select("batch_id", "seq", "k", "_roman", "title_key", "roman").distinct()
+    return met.filter(T.key_match(F.col("title_key"), k, F.col("roman"), r)).select("batch_id", "seq", "title_key")
 
 
 class Catalog:
