@@ -27,7 +27,7 @@ GROUPS = [*"etaoinshrdlcumwfgypbvkjxqz", *("".join(map(chr, range(0xC0 + k, 0x10
 #: Depths at which nodes may be shards.
 DEPTHS = (3, 8, 16, len(GROUPS))
 #: Words of a shard, and searches of a block.
-SHARD = 12_000
+SHARD = 50_000
 #: Pairs of words and searches below which a node is verified at once; pairs that are verified in one go; words that are compared as rows of a matrix.
 FEW, MANY, ROW = 2_000, 100_000, 48
 _GROUP = np.zeros(256, np.int64)
