@@ -82,7 +82,8 @@ TEMPLATES: list[tuple[int, float, str, str]] = [
     (2, 1.0, r"{text}", ""),
     (3, 0.95, r"(?:licen[cs]ed|released|distributed|available|published|provided|covered) (?:\w+ ){{0,2}}?under (?:the )?(?:terms of )?(?:the )?(?:(?:{name})(?: licen[cs]e)?|{id}(?: licen[cs]e)?)(?: version \d+(?: \d+)?)?(?= |$)", "under"),
     (4, 0.8, r"(?:(?:{name})|{id}) licen[cs]e(?= |$)", "licen"),
-    (5, 0.6, r"licen[cs]e(?: is)?(?: the)? (?:{name}|{id})(?= |$)", "licen"),
+    # not where a name is a German word of the sentence: `die License mit der Klausel`
+    (5, 0.6, r"licen[cs]e(?: is)?(?: the)? (?:{name}|{id})(?= |$)(?! (?:der|die|das|dem|den|des|ein|eine|einem|einen|einer|allen|nur|zusatz\w*)(?= |$))", "licen"),
 ]
 
 #: Notices that name no license: label, pattern, keyword.
@@ -158,6 +159,46 @@ PASSAGES: list[tuple[str, float, str]] = [
     ("beerware", 0.8, r"as long as you retain this notice you can do whatever you want with this stuff"),
 ]
 
+#: Names and short forms that tell of a license alone: label, weight, pattern, and keywords of which every match has one.
+SHORT_FORMS: list[tuple[str, float, str, str]] = [
+    ("gpl-3.0", 0.7, r"gplv3(?: 0)?|gpl (?:v3|3)(?: 0)?(?: only| or later)", "gpl"),
+    ("gpl-3.0", 0.6, r"gpl (?:v3|3 0)", "gpl"),
+    ("gpl-2.0", 0.7, r"gplv2(?: 0)?|gpl (?:v2|2)(?: 0)?(?: only| or later)", "gpl"),
+    ("gpl-2.0", 0.6, r"gpl (?:v2|2 0)", "gpl"),
+    ("gpl-1.0", 0.6, r"gplv1|gpl (?:v1|1 0)(?: only| or later)?", "gpl"),
+    ("lgpl-3.0", 0.7, r"lgplv3(?: 0)?|lgpl (?:v3|3)(?: 0)?(?: only| or later)?", "lgpl"),
+    ("lgpl-2.1", 0.7, r"lgplv2 1|lgpl (?:v2|2) 1(?: only| or later)?", "lgpl"),
+    ("lgpl-2.0", 0.6, r"lgplv2(?! 1)|lgpl (?:v2|2 0)(?! 1)(?: only| or later)?", "lgpl"),
+    ("agpl-3.0", 0.7, r"agplv3(?: 0)?|agpl (?:v3|3)(?: 0)?(?: only| or later)?", "agpl"),
+    ("apache-2.0", 0.6, r"apache 2 0", "apache 2"),
+    ("apache-1.1", 0.6, r"apache 1 1", "apache 1"),
+    ("mpl-2.0", 0.6, r"mplv2(?: 0)?|mpl 2 0", "mplv2|mpl 2 0"),
+    ("mpl-1.1", 0.6, r"mplv1 1|mpl 1 1", "mplv1 1|mpl 1 1"),
+    ("epl-2.0", 0.6, r"eplv2|epl 2 0", "eplv2|epl 2 0"),
+    ("epl-1.0", 0.6, r"eplv1|epl 1 0", "eplv1|epl 1 0"),
+    ("bsd-3-clause", 0.7, r"bsd 3 clause|three clause bsd|3 clause bsd", "bsd"),
+    ("bsd-2-clause", 0.7, r"bsd 2 clause|two clause bsd|2 clause bsd", "bsd"),
+    ("bsd-4-clause", 0.7, r"bsd 4 clause|four clause bsd|4 clause bsd", "bsd"),
+    ("cc0-1.0", 0.6, r"cc0 1 0", "cc0"),
+    ("cc-by-4.0", 0.6, r"cc by 4 0", "cc by"),
+    ("cc-by-3.0", 0.6, r"cc by 3 0", "cc by"),
+    ("cc-by-sa-4.0", 0.6, r"cc by sa 4 0", "cc by sa"),
+    ("cc-by-sa-3.0", 0.6, r"cc by sa 3 0", "cc by sa"),
+    ("cddl-1.0", 0.6, r"cddl 1 0", "cddl"),
+    ("ofl-1.1", 0.6, r"ofl 1 1", "ofl 1 1"),
+    ("zpl-2.1", 0.8, r"zope public license(?: zpl)?(?: version| v)?(?: 2 1)?|zpl 2 1", "zope public license|zpl 2 1"),
+    ("cecill-2.1", 0.8, r"cecill(?: free software license agreement)?(?: version| v)? ?2 1", "cecill"),
+    ("cecill-b", 0.8, r"cecill b", "cecill b"),
+    ("cecill-c", 0.8, r"cecill c", "cecill c"),
+    ("sspl-1.0", 0.8, r"server side public license(?: sspl)?(?: version| v)?(?: 1(?: 0)?)?|sspl(?: v1|v1| 1 0)", "server side public license|sspl"),
+    ("elastic-2.0", 0.8, r"elastic license(?: version| v)? ?2(?: 0)?|elv2", "elastic license|elv2"),
+    ("busl-1.1", 0.8, r"business source license(?: version| v)?(?: 1 1)?|busl 1 1", "business source license|busl 1 1"),
+    ("afl-3.0", 0.8, r"academic free license(?: version| v)? ?3(?: 0)?|afl 3 0", "academic free license|afl 3 0"),
+    ("osl-3.0", 0.8, r"open software license(?: version| v)? ?3(?: 0)?|osl 3 0", "open software license|osl 3 0"),
+    ("blueoak-1.0.0", 0.8, r"blue ?oak model license(?: 1 0 0)?|blueoak 1 0 0", "blue oak model|blueoak"),
+    ("mulanpsl-2.0", 0.8, r"mulan permissive software license(?: version| v)? ?2|mulanpsl 2 0", "mulan"),
+]
+
 _WORDS = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -201,6 +242,8 @@ def build_rules() -> list[Rule]:
             rules.append(Rule(5, label, 0.6, re.compile(rf"(?:(?<= )|^)(?:{name})(?= |$)"), _own_keywords(name), words))
     for label, weight, pattern in PASSAGES:
         rules.append(Rule(3, label, weight, re.compile(rf"(?:(?<= )|^)(?:{pattern})(?= |$)"), (_longest_word(re.sub(r"\(\?:[^()]*\)\??|\[[^]]*\]\S*|[a-z]\?", "|", pattern)),)))
+    for label, weight, pattern, keyword in SHORT_FORMS:
+        rules.append(Rule(5, label, weight, re.compile(rf"(?:(?<= )|^)(?:{pattern})(?= |$)"), tuple(keyword.split("|"))))
     for label, pattern, keyword in NOTICES:
         rules.append(Rule(6, label, 0.3, re.compile(r"(?:(?<= )|^)(?:" + pattern + r")(?= |$)"), tuple(keyword.split("|"))))
     return sorted(rules, key=lambda r: r.order)
