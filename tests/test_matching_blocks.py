@@ -28,8 +28,9 @@ def made_up(n):
 
 
 @pytest.mark.parametrize("rule", ["key", "title", "search"])
-def test_pairs_equal_all_pairs_in_small_blocks(spark, monkeypatch, rule):
+def test_pairs_equal_all_pairs_in_small_blocks_and_chunks(spark, monkeypatch, rule):
     monkeypatch.setattr(edits, "BLOCK", 20)
+    monkeypatch.setattr(matching, "CHUNK", 2)
     records = spark.createDataFrame([(*r, None) for r in made_up(240)] + [("b", 1000 + k, "the same title", None) for k in range(7)], SCHEMA).withColumn("title_key", T.title_key("title"))
     taking = matching.representatives(records) if rule == "key" else records.filter("length(title_key) >= 3")
     side = lambda c: taking.select("batch_id", F.col("seq").alias(c), F.col("title_key" if rule == "key" else "title").alias(f"{c}_name"))
@@ -43,8 +44,7 @@ def test_pairs_equal_all_pairs_in_small_blocks(spark, monkeypatch, rule):
 def test_joins_of_pairs_broadcast_nothing(spark):
     records = spark.createDataFrame([(*r, None) for r in made_up(60)], SCHEMA).withColumn("title_key", T.title_key("title"))
     for rule in matching.RULES:
-        nodes = matching.nodes_of(records, rule)
-        assert "Broadcast" not in matching.node_pairs(nodes, rule)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in matching.fuzzy_pairs(records, rule)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_few_pairs_of_common_syllables_are_candidates(spark):
