@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.buckets import BucketedTable
 from ..sources.folders import written
-from .matching import BEGINS, LONG, representatives
+from .matching import BEGINS, LONG, node_pairs, representatives
 from .merge import SNAPSHOT, SNAPSHOT_SCHEMA, upsert_titles
 from .search import WEIGHTS, contains_any
 
@@ -224,15 +224,35 @@ def match_postings(df: DataFrame, ident: list[str]) -> DataFrame:
 Postings.KINDS["matches"] = (match_postings, "token string, roman string")
 
 
+#: Keys from which on a batch may be large, and tokens that a key asks for, about.
+LARGE, ASKED = 200, 800
+
+
+def _matches_of_all(reps: DataFrame, matches: Postings) -> DataFrame:
+    """catalog_matches of a batch that asks for more tokens than are stored: its keys and all stored ones, read from the index, are nodes whose pairs are found as those of records."""
+    stored = matches.table.read().select(F.col("title_key").alias("k"), F.col("roman").alias("r"), F.lit(True).alias("stored"), F.lit(False).alias("came"))
+    came = reps.select("k", F.col("_roman").alias("r"), F.lit(False).alias("stored"), F.lit(True).alias("came"))
+    each = stored.union(came).groupBy("k", "r").agg(F.bool_or("stored").alias("stored"), F.bool_or("came").alias("came"))
+    nodes = written(each.select(F.lit("all").alias("batch_id"), F.monotonically_increasing_id().alias("seq"), "k", "r", F.lit(None).cast("array<string>").alias("w"), "stored", "came"), "nodes")
+    both = nodes.filter("stored and came").select(F.col("k").alias("title_key"), "k")
+    side = lambda c, kind, name: nodes.filter(kind).select(F.col("seq").alias(c), F.col("k").alias(name)).hint("merge")
+    apart = node_pairs(nodes, "key", both=True).join(side("a", "stored", "title_key"), "a").join(side("b", "came", "k"), "b").select("title_key", "k")
+    return reps.join(apart.union(both).hint("merge"), "k").select("batch_id", "seq", "title_key")
+
+
 def catalog_matches(batch: DataFrame, matches: Postings) -> DataFrame:
     """batch_id, seq and title_key of the stored titles that a batch's representatives (batch_id, seq, title_key) match by key.
 
     The catalog isn't read, only the index files of the tokens that the batch asks for, and they meet these by
-    equality; the rule then decides. A stored key gives a few tokens, the batch's key asks for all it might match.
-    Keys under three characters take no part.
+    equality; the rule then decides. A stored key gives a few tokens, the batch's key asks for all it might match,
+    so a batch that would ask for more tokens than are stored meets all stored keys instead. Keys under three
+    characters take no part.
     """
     k, r = F.col("k"), F.col("_roman")
     reps = representatives(batch).select("batch_id", "seq", F.col("title_key").alias("k")).withColumn("_roman", T.roman_key(k))
+    keys = reps.select("k").distinct().count()
+    if keys >= LARGE and keys * ASKED >= matches.table.read().count():
+        return _matches_of_all(reps, matches)
     tokens = F.concat(F.array(F.concat(F.lit("form:"), r)), _segments_asked("key", k, EDITS), _segments_asked("roman", r, FORM_EDITS), _middles_asked(k), _parts_asked(k), _begin("begin", k, True))
     asked = written(reps.select("batch_id", "seq", "k", "_roman", F.explode(F.array_distinct(tokens)).alias("token")), "asked")
     met = asked.join(matches.table.read(matches.table.buckets_of(asked)), "token").select("batch_id", "seq", "k", "_roman", "title_key", "roman").distinct()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwright.functions import text as T
-from shelfwright.operators import edits, matching
+from shelfwright.operators import edits, matching, store
 
 SCHEMA = "batch_id string, seq long, title string, title_key string"
 MATCH = {"title": lambda a, b: T.fuzzy_title_match(a, b), "search": lambda a, b: T.fuzzy_search_match(b, a)}
@@ -53,3 +53,18 @@ def test_few_pairs_of_common_syllables_are_candidates(spark):
     texts = ["".join(rng.choice(syllables) for _ in range(24))[:48] for _ in range(400)]
     nodes = spark.createDataFrame([("b", k, t) for k, t in enumerate(texts)], "batch_id string, seq long, k string")
     assert edits.within_edits(nodes, "k", 0.2).count() < 400 * 399 / 2 / 100
+
+
+@pytest.mark.parametrize("large", [1, 10**9])
+def test_large_and_small_batches_meet_the_same_stored_keys(spark, tmp_path, monkeypatch, large):
+    monkeypatch.setattr(store, "LARGE", large)
+    asked = []
+    monkeypatch.setattr(store, "_segments_asked", lambda *a, real=store._segments_asked: asked.append(a) or real(*a))
+    rows = spark.createDataFrame([(*r, None) for r in made_up(120)] + [("c", 500, "ab", None)], SCHEMA).withColumn("title_key", T.title_key("title"))
+    index = store.Postings(spark, str(tmp_path), "matches", {"title_key": "string"}, 4)
+    index.build(rows.filter("seq % 3 > 0").select("title_key").distinct())
+    came = rows.filter("seq % 2 = 0")
+    pairs = rows.filter("seq % 3 > 0 and length(title_key) >= 3").select(F.col("title_key").alias("s")).distinct().join(matching.representatives(came), F.length("s") >= 3)
+    want = sorted(tuple(r) for r in pairs.filter(T.fuzzy_key_match(F.col("s"), F.col("title_key"))).select("batch_id", "seq", "s").collect())
+    assert sorted(tuple(r) for r in store.catalog_matches(came, index).collect()) == want and len(want) > 50
+    assert bool(asked) == (large > 1)
