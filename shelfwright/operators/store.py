@@ -230,14 +230,19 @@ LARGE, ASKED = 200, 800
 
 def _matches_of_all(reps: DataFrame, matches: Postings) -> DataFrame:
     """catalog_matches of a batch that asks for more tokens than are stored: its keys and all stored ones, read from the index, are nodes whose pairs are found as those of records."""
-    stored = matches.table.read().select(F.col("title_key").alias("k"), F.col("roman").alias("r"), F.lit(True).alias("stored"), F.lit(False).alias("came"))
+    # a stored key has one token of its form
+    stored = matches.table.read().filter(F.col("token").startswith("form:")).select(F.col("title_key").alias("k"), F.col("roman").alias("r"), F.lit(True).alias("stored"), F.lit(False).alias("came"))
     came = reps.select("k", F.col("_roman").alias("r"), F.lit(False).alias("stored"), F.lit(True).alias("came"))
     each = stored.union(came).groupBy("k", "r").agg(F.bool_or("stored").alias("stored"), F.bool_or("came").alias("came"))
-    nodes = written(each.select(F.lit("all").alias("batch_id"), F.monotonically_increasing_id().alias("seq"), "k", "r", F.lit(None).cast("array<string>").alias("w"), "stored", "came"), "nodes")
-    both = nodes.filter("stored and came").select(F.col("k").alias("title_key"), "k")
-    side = lambda c, kind, name: nodes.filter(kind).select(F.col("seq").alias(c), F.col("k").alias(name)).hint("merge")
-    apart = node_pairs(nodes, "key", both=True).join(side("a", "stored", "title_key"), "a").join(side("b", "came", "k"), "b").select("title_key", "k")
-    return reps.join(apart.union(both).hint("merge"), "k").select("batch_id", "seq", "title_key")
+    nodes = written(each.select(F.lit("all").alias("batch_id"), F.monotonically_increasing_id().alias("seq"), "k", "r", "stored", "came"), "nodes")
+    of = nodes.filter("came").select("k", F.col("seq").alias("b"), "stored").hint("merge")
+    named = written(reps.join(of, "k").select(F.col("batch_id").alias("batch"), F.col("seq").alias("rep"), "b", "k", "stored"), "named")
+    pairs = node_pairs(nodes.filter("came"), "key", both=True)
+    if not nodes.filter("NOT came").isEmpty():  # stored keys aren't paired among themselves
+        pairs = pairs.union(node_pairs(nodes.withColumn("led", F.col("came")), "key", both=True))
+    side = nodes.filter("stored").select(F.col("seq").alias("a"), F.col("k").alias("title_key")).hint("merge")
+    apart = pairs.select("a", "b").join(named.select("b", "batch", "rep").hint("merge"), "b").join(side, "a").select("batch", "rep", "title_key")
+    return apart.union(named.filter("stored").select("batch", "rep", F.col("k").alias("title_key"))).withColumnsRenamed({"batch": "batch_id", "rep": "seq"})
 
 
 def catalog_matches(batch: DataFrame, matches: Postings) -> DataFrame:
