@@ -84,3 +84,13 @@ def test_stored_keys_are_not_paired_among_themselves(spark, tmp_path, monkeypatc
     pairs = came.crossJoin(index.table.read().select(F.col("title_key").alias("s")).distinct())
     want = sorted((str(r["batch_id"]), r["seq"], r["s"]) for r in pairs.filter(T.fuzzy_key_match(F.col("s"), F.col("title_key"))).collect())
     assert got == want and len(want) > 200 and sum(listed) < 3 * 2 * len(keys) < len(keys) * (len(keys) - 1) / 2
+
+
+@pytest.mark.parametrize("rule", ["title", "search"])
+def test_titles_that_come_once_are_not_dealt_into_chunks(spark, monkeypatch, rule):
+    dealt, real = [], matching._directed
+    monkeypatch.setattr(matching, "_directed", lambda pairs: dealt.append(pairs.count()) or real(pairs))
+    rows = [("b", k, f"the iron tower of the lake {k}") for k in range(40)] + [("b", 100 + k, "the iron tower of the lake 7") for k in range(3)]
+    got = sorted(tuple(r) for r in matching.fuzzy_pairs(keyed(spark, rows), rule).select("a", "b").collect())
+    seqs = [k for _, k, _ in rows]
+    assert got == [(a, b) for a in seqs for b in seqs if a < b] and dealt == [39]
