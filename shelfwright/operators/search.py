@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.folders import written
-from .matching import in_order, node_pairs, nodes_of, scan_leaders
+from .matching import in_order, leaders, nodes_of
 from .merge import upsert_titles
 
 #: What a query's word in a field adds to a title's score.
@@ -69,8 +69,7 @@ def dedupe_search(results: DataFrame, order: list[Column]) -> DataFrame:
     """
     rest = results.filter(F.length("title_key") >= 3)
     placed = in_order(rest.withColumn("_row", F.struct("*")), ["batch_id", *order])
-    nodes = nodes_of(placed, "search")
-    kept = scan_leaders(nodes, node_pairs(nodes, "search")).filter("seq = leader").select("seq")
+    kept = leaders(nodes_of(placed, "search"), "search")
     return placed.join(kept, "seq", "left_semi").select("_row.*")
 
 

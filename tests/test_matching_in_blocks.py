@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwright.functions import text as T
-from shelfwright.operators import edits, matching, store
+from shelfwright.operators import edits, matching, search, store
 
 SCHEMA = "batch_id string, seq long, title string"
 
@@ -94,3 +94,20 @@ def test_titles_that_come_once_are_not_dealt_into_chunks(spark, monkeypatch, rul
     got = sorted(tuple(r) for r in matching.fuzzy_pairs(keyed(spark, rows), rule).select("a", "b").collect())
     seqs = [k for _, k, _ in rows]
     assert got == [(a, b) for a in seqs for b in seqs if a < b] and dealt == [39]
+
+
+def test_a_scan_lists_few_of_the_pairs_of_many_near_titles(spark, monkeypatch):
+    monkeypatch.setattr(matching, "FIRST", 8, raising=False)
+    listed = counted(monkeypatch, matching)
+    rng = random.Random(9)
+    stems = ["the iron tower of the lake", "a moon over red water"]
+    rows = [("bc"[k % 3 // 2], k, edit(rng, stems[k % 2], rng.randint(0, 4), "abcdef ")) for k in range(300)]
+    records = keyed(spark, rows)
+    kept = {r["seq"] for r in search.dedupe_search(records, [F.desc("seq")]).collect()}
+    x, y = (records.select(F.col("batch_id"), F.col("seq").alias(c), F.col("title").alias(f"title_{c}")) for c in "ab")
+    pairs = {(r["a"], r["b"]) for r in x.join(y, "batch_id").filter("a > b").filter(T.fuzzy_search_match(F.col("title_b"), F.col("title_a"))).collect()}
+    want = set()
+    for _, seq, _ in reversed(rows):
+        if not any((a, seq) in pairs for a in want):
+            want.add(seq)
+    assert kept == want and len(pairs) > 5000 and sum(listed) < len(pairs) / 4
